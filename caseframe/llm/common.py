@@ -61,18 +61,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return Written(df, what).df
 
 
-def numbered(df: DataFrame, within: list[str], key: str, name: str, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, within: list[str], key: str, name: str, buckets: int = 64, few_groups: bool = True) -> DataFrame:
     """A gapless long from 0 in each group of `within`, without gathering a group in one task.
 
     Rows are bucketed by a hash of `key` (unique, or ties are ordered anyhow); a row's number is the size of the
-    earlier buckets of its group, from a table of at most groups x buckets rows, plus its rank in its own bucket."""
+    earlier buckets of its group, from a table of at most groups x buckets rows, plus its rank in its own bucket. That
+    table is broadcast where the caller knows that the groups are few (shards, lengths)."""
     b = f"__{name}_bucket"
     df = df.withColumn(b, F.pmod(F.xxhash64(F.col(key), F.lit(name)), F.lit(buckets)).cast("int"))
     sizes = df.groupBy(*within, b).agg(F.count(F.lit(1)).alias("__n"))
     over = W.partitionBy(*within).orderBy(b).rowsBetween(W.unboundedPreceding, -1) if within else W.orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(over), F.lit(0))).drop("__n")
     rank = F.row_number().over(W.partitionBy(*within, b).orderBy(key))
-    joined = df.withColumn("__rank", rank).join(F.broadcast(offsets), [*within, b])
+    joined = df.withColumn("__rank", rank).join(F.broadcast(offsets) if few_groups else offsets, [*within, b])
     return joined.withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop(b, "__before", "__rank")
 
 

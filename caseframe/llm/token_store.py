@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import Written, mix, shuffle_width, slices, whole_texts
+from caseframe.llm.common import Written, shuffle_width, slices, whole_texts
 from caseframe.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 1
-WINDOW, LEAST, MOST, MASK = 8, 64, 2048, np.uint64(255)
+WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
+#: A random 32-bit code for each of 65,536 classes of ids.
+_CODES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 DIGEST = 16
 
 
@@ -52,11 +54,11 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def cut_points(ids: np.ndarray, texts: np.ndarray) -> list[list[int]]:
     """For each text (texts: where each one begins in ids, and the end) the ends of its chunks."""
-    codes = mix(ids.astype(np.uint64) + np.uint64(1))
+    codes = _CODES[ids & np.uint32(0xFFFF)]
     rolling = codes.copy()
     for back in range(1, WINDOW):
-        rolling[back:] += codes[:-back] << np.uint64(back)
-    hits = np.flatnonzero((mix(rolling) & MASK) == 0) + 1
+        rolling[back:] += codes[:-back] << np.uint32(back)
+    hits = np.flatnonzero((rolling * np.uint32(0x9E3779B1)) >> np.uint32(32 - MEAN_BITS) == 0) + 1
     out = []
     for begin, end, lo, hi in zip(texts[:-1].tolist(), texts[1:].tolist(), np.searchsorted(hits, texts[:-1] + WINDOW).tolist(), np.searchsorted(hits, texts[1:]).tolist(), strict=True):
         ends, last = [], begin
@@ -86,21 +88,22 @@ def _staged(docs: DataFrame, path: str, end_id: int, by_chunk: bool, width: int)
             bounds = np.concatenate([[0], np.cumsum([len(t) // 4 for t in tokens])])
             ids = np.frombuffer(b"".join(tokens), "<u4")
             content = ids.astype(kind).tobytes()
-            digests, news = [], []
+            digests, news, names, contents = [], [0], [], []
             for begin, ends in zip(bounds[:-1].tolist(), cut_points(ids, bounds), strict=True):
-                mine, new = [], []
+                mine = []
                 for stop in ends:
                     chunk = content[width * begin : width * stop]
                     d = digest(chunk)
                     mine.append(d)
                     if d not in sent:
                         sent.add(d)
-                        new.append((d, chunk))
+                        names.append(d)
+                        contents.append(chunk)
                     begin = stop
                 digests.append(b"".join(mine))
-                news.append(new)
-            rows = pa.array([{"digest": d, "ids": c} for new in news for d, c in new], pa.struct([("digest", pa.binary()), ("ids", pa.binary())]))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(n) for n in news])]).astype(np.int32))
+                news.append(len(names))
+            rows = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(contents, pa.binary())], ["digest", "ids"])
+            offsets = pa.array(news, pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(offsets, rows)], ["doc_id", "n_tokens", "digests", "new"])
             if len(sent) > 1_000_000:
                 sent.clear()  # the pack drops what is sent twice
@@ -161,41 +164,37 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
 def _times(matrix: list[int], vector: int) -> int:
     total = 0
     for row in matrix:
-        if not vector:
-            break
         if vector & 1:
             total ^= row
         vector >>= 1
     return total
 
 
-class JoinedCrc:
-    """crc32 of a concatenation from the parts' crcs and lengths: appending zero bytes is a linear map of the 32 bits."""
-
-    def __init__(self):
-        bit = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-        for _ in range(3):
-            bit = [_times(bit, row) for row in bit]
-        self.powers = [bit]  # powers[k]: 2**k zero bytes
-        self.tables: dict[int, list[int]] = {}
+def _zero_byte_tables(most_bits: int = 40) -> list[np.ndarray]:
+    """For each k, what appending 2**k zero bytes makes of a crc, as four tables of 256: it is linear in the 32 bits."""
+    matrix = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit (the polynomial of crc32)
+    for _ in range(3):
+        matrix = [_times(matrix, row) for row in matrix]
+    out = []
+    for _ in range(most_bits):
+        out.append(np.array([[_times(matrix[8 * b : 8 * b + 8], v) for v in range(256)] for b in range(4)], np.uint32))
+        matrix = [_times(matrix, row) for row in matrix]
+    return out
 
-    def table(self, n: int) -> list[int]:
-        """What each of the 32 bits becomes after n zero bytes."""
-        if n not in self.tables:
-            if len(self.tables) > 20_000:
-                self.tables.clear()
-            rows, k, left = [1 << i for i in range(32)], 0, n
-            while left:
-                while len(self.powers) <= k:
-                    self.powers.append([_times(self.powers[-1], row) for row in self.powers[-1]])
-                if left & 1:
-                    rows = [_times(self.powers[k], row) for row in rows]
-                left, k = left >> 1, k + 1
-            self.tables[n] = rows
-        return self.tables[n]
 
-    def join(self, a: int, b: int, length_b: int) -> int:
-        return _times(self.table(length_b), a) ^ b
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """crc32 of each group's concatenation; groups begin at `first` and none is empty. A part counts as its crc carried
+    over the bytes after it, and the group's crc is the exclusive or of its parts'."""
+    ends = np.cumsum(sizes)
+    group_end = ends[np.append(first[1:], len(sizes)) - 1]
+    after = np.repeat(group_end, np.diff(np.append(first, len(sizes)))) - ends
+    out, k = crcs.astype(np.uint32), 0
+    while (after >> k).any():
+        odd = (after >> k & 1).astype(bool)
+        x, t = out[odd], tables[k]
+        out[odd] = t[0][x & 255] ^ t[1][x >> 8 & 255] ^ t[2][x >> 16 & 255] ^ t[3][x >> 24]
+        k += 1
+    return np.bitwise_xor.reduceat(out, first) if len(first) else out
 
 
 def _checked(width: int):
@@ -232,19 +231,19 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     documents = found.groupBy("start", "doc_id", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "crc", "n_ids", "intact"))).alias("parts"))
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crcs = JoinedCrc()
+        tables = _zero_byte_tables()
         for batch in batches:
-            rows = []
-            for n_tokens, root, parts in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                crc, n, intact = 0, 0, merkle_root([p["digest"] for p in parts]) == root
-                for p in parts:
-                    if p["crc"] is None or not p["intact"]:
-                        intact = False
-                        continue
-                    crc, n = crcs.join(crc, p["crc"], 4 * p["n_ids"]) if n else p["crc"], n + p["n_ids"]
-                rows.append((n, crc, len(parts), intact and n == n_tokens))
-            n, crc, count, intact = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(count, pa.int64()), pa.array(intact, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "intact"])
+            column = batch.column("parts")
+            parts, first = column.flatten(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            digests = parts.field("digest").to_pylist()
+            crc, size = (parts.field(c).fill_null(0).to_numpy() for c in ("crc", "n_ids"))
+            fine = parts.field("intact").fill_null(False).to_numpy(zero_copy_only=False)
+            whole = np.logical_and.reduceat(fine, first[:-1]) if batch.num_rows else fine
+            n = np.add.reduceat(size, first[:-1]) if batch.num_rows else size
+            roots = [merkle_root(digests[a:b]) == r for a, b, r in zip(first[:-1].tolist(), first[1:].tolist(), batch.column("root").to_pylist(), strict=True)]
+            intact = whole & np.array(roots, bool) & (n == batch.column("n_tokens").to_numpy())
+            crcs = joined_crcs(crc, 4 * size, first[:-1], tables).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(intact, pa.bool_())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_chunks", "intact"])
 
     return documents.mapInArrow(put_together, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, intact boolean")
 

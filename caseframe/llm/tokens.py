@@ -6,11 +6,17 @@ import os
 import re
 from array import array
 
-#: Distinct chunks whose ids a worker remembers; then it forgets them all.
-REMEMBERED = 600_000
+#: Distinct chunks that a worker remembers in each of two generations; a new one begins when the first is full.
+REMEMBERED = 500_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
-_COMMA_OR_STOP = re.compile(rb"(?<=[a-z])[,.](?=[ \n])")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+#: A letter of ASCII or Latin-1 at the end.
+_LETTER_LAST = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+#: Words that no normaliser changes and no pre-tokeniser splits: lower-case letters of ASCII and Latin-1.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on.
+_BYTES = {b: chr(256 + i) for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,10 +28,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """encode(texts) gives the ids' bytes, little-endian unsigned 32-bit, as encode(text, add_special_tokens=False) would.
 
-    With `by_chunk` a text is lower-cased (ASCII), cut at blanks and line ends and before a comma or full stop that
-    ends a word, and the ids of chunks met before are taken from memory. That is right for tokenizers that lower-case,
-    drop white space and keep letters apart from punctuation, as the public word-level BPE file does; for others
-    pass by_chunk=False, which encodes whole texts."""
+    With `by_chunk` a text is lower-cased (ASCII) and cut at blanks and line ends, and the ids of chunks met before are
+    taken from memory; punctuation after a letter at a chunk's end is a chunk of its own. That is right for tokenizers
+    that lower-case, drop white space and keep letters apart from punctuation, as the public word-level BPE file does;
+    for others pass by_chunk=False, which encodes whole texts."""
 
     _made: dict[tuple[str, bool], Encoder] = {}
 
@@ -33,7 +39,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_chunk, self.known = Tokenizer.from_file(path), by_chunk, {b"": b""}
+        self.tokenizer, self.by_chunk, self.known, self.old = Tokenizer.from_file(path), by_chunk, {b"": b""}, {}
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     @classmethod
@@ -46,19 +52,42 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """A plain word goes straight to the tokenizer's model, all else through the whole tokenizer."""
+        model, out, other = self.tokenizer.model, {}, []
+        for c in chunks:
+            word = c if c.isascii() else c.decode("utf-8").lower().encode("utf-8")
+            if _PLAIN.fullmatch(word):
+                plain = word.decode("latin-1")
+                out[c] = array("I", [t.id for t in model.tokenize(plain if word.isascii() else plain.translate(_BYTES))]).tobytes()
+            else:
+                other.append(c)
+        out.update(zip(other, self.whole(other), strict=True))
+        return out
+
+    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that this generation doesn't know."""
+        out = {c: self.old[c] for c in missing if c in self.old}
+        missing = missing.difference(out)
+        heads = {c: head for c in missing if (head := c.rstrip(_MARKS)) != c and b"<|" not in c and _LETTER_LAST.search(head)}
+        parts = {part for c, head in heads.items() for part in (head, c[len(head) :])}
+        new = self._chunks(list(parts.union(missing.difference(heads)).difference(self.known, out)))
+        out.update(new)
+        for c, head in heads.items():
+            out[c] = b"".join([out[p] if p in out else self.known[p] for p in (head, c[len(head) :])])
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
-            self.known = {b"": b""}
-        marked = [b"<|" in t for t in texts]  # special tokens' strings keep their case
-        chunks = [([t] if m else _COMMA_OR_STOP.sub(rb" \g<0>", t.lower()).replace(b"\n", b" ").split(b" ")) for t, m in zip(texts, marked, strict=True)]
-        missing = list(set().union(*chunks).difference(self.known)) if chunks else []
-        fresh = dict(zip(missing, self.whole(missing), strict=True))
-        long = {c: i for c, i in fresh.items() if len(c) > LONGEST}
+            self.known, self.old = {b"": b""}, self.known
+        chunks = [[t] if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]  # special tokens keep their case
+        fresh = self._learn(set().union(*chunks).difference(self.known))
         self.known.update(fresh)
         get = self.known.__getitem__
         out = [b"".join(map(get, cs)) for cs in chunks]
-        for c in long:
-            del self.known[c]
+        for c in fresh:
+            if len(c) > LONGEST:
+                del self.known[c]
         return out
