@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Bytes of text that numpy handles at once; temporary arrays take about 60 bytes for each.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

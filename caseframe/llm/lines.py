@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caseframe.llm import mail
 from caseframe.llm.common import group_slices, mix, shuffle_width, slices
@@ -107,7 +108,14 @@ class LineIndex:
         return count, last
 
 
-def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The documents with all their columns and what is left of their texts; n_chars, where there is one, follows."""
+    left = drop_repeated_lines(docs, least_length, least_docs, carry=True)
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return left.select(*((own[c] if c in own else F.col("rest").getField(c)).alias(c) for c in docs.columns))
+
+
+def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, carry: bool = False) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the lines left, joined by a line end)."""
     shards = 2 * shuffle_width(docs.sparkSession)
     assert least_docs >= 2
@@ -178,7 +186,7 @@ def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least
                 kept.append(b"\n".join(x for j, x in enumerate(lines) if j not in drop))
         return pa.table([pa.array(doc_id, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
 
-    return mail.exchange(docs, send, shard, finish, shards, "doc_id long, n_lines long, n_dropped long, kept string")
+    return mail.exchange(docs, send, shard, finish, shards, "doc_id long, n_lines long, n_dropped long, kept string", carry)
 
 
 ORACLE = r"""

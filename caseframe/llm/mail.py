@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from caseframe.llm.common import bucket_of, group_slices, mix, numpy_bucket, whole_texts
 
@@ -88,8 +89,12 @@ def exchange(
     finish: Callable[[Iterator[pa.RecordBatch], Asked], pa.Table],
     buckets: int,
     schema: str,
+    carry: bool = False,
 ) -> DataFrame:
-    """finish() over all documents, with what answer() says of what send() sent."""
+    """finish() over all documents, with what answer() says of what send() sent.
+
+    With `carry` the rows also have `rest`, a struct of the documents' other columns; finish() must then keep the order
+    of rows."""
 
     def group(mail: pa.Table) -> pa.Table:
         ready = np.asarray(mail.column("bucket").to_numpy()) >= 0
@@ -101,6 +106,11 @@ def exchange(
     replies = texts.mapInArrow(send, MAIL).groupBy("grp").applyInArrow(group, ANSWER)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        return finish(iter(left.to_batches()), Asked(right))
+        out = finish(iter(left.to_batches()), Asked(right))
+        return out.append_column("rest", left.column("rest")) if carry else out
 
+    if carry:
+        rest = F.struct(F.lit(0).alias("__"), *(docs[c] for c in docs.columns if c not in ("doc_id", "text")))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest.alias("rest"))
+        schema = docs.sparkSession.createDataFrame([], schema).schema.add("rest", texts.schema["rest"].dataType)
     return texts.withColumn("bucket", bucket_of("doc_id", buckets)).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(last, schema)

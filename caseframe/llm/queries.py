@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm import decontamination, lines, packing, pii, sharding, substrings, token_store, toxicity
+from caseframe.llm import decontamination, lines, near_dup, packing, pii, pivots, sharding, substrings, token_store, toxicity
 from caseframe.llm.common import shared_folder, table
 
 
@@ -36,6 +36,14 @@ def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op4_weighted_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_pivot_permutation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_token_store": op2_token_store,
     "op3_label_propagation_shards": op3_label_propagation_shards,
+    "op4_weighted_minhash_near_dup": op4_weighted_minhash_near_dup,
+    "op5_pivot_permutation_links": op5_pivot_permutation_links,
     "op6_weak_supervision_toxicity": op6_weak_supervision_toxicity,
     "op7_suffix_tree_dedup": op7_suffix_tree_dedup,
     "op8_bin_slack_packing": op8_bin_slack_packing,
@@ -72,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_pivot_permutation_links": pivots.ORACLE,
     "op7_suffix_tree_dedup": substrings.ORACLE,
     "op9_ngram_decontamination": decontamination.ORACLE,
     "op10_perfect_hash_line_dedup": lines.ORACLE,

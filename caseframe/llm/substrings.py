@@ -31,7 +31,7 @@ WINDOW = 13
 #: Prefix lengths that a group can stand for, short of the whole window.
 LEVELS = (1, 3)
 #: Leaves that a task gathers before it sends them.
-BATCH = 2_500_000
+BATCH = 1_200_000
 
 
 def heavy_prefixes(docs: DataFrame, groups: int, window: int = WINDOW) -> list[np.ndarray]:

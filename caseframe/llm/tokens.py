@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: Distinct chunks that a worker remembers in each of two generations; a new one begins when the first is full.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
