@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caseframe.functions.text import ColumnOrName, col, text
 
@@ -85,13 +86,13 @@ def _best_window(short: str, long: str) -> tuple[float, int, int]:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel ratio for long strings."""
     return pd.Series([_row_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Indel ratio of the shorter string with the best window of the longer one."""
 
@@ -103,14 +104,14 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("struct<score:double,start:int,end:int>")
+@F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 def best_alignment(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
     """Where in the source the quote stands, as well as it can be found."""
     rows = [_best_window(q, s) if q and s and len(q) <= len(s) else (_row_ratio(q or "", s or ""), 0, len(s or "")) for q, s in zip(quote, source, strict=True)]
     return pd.DataFrame(rows, columns=["score", "start", "end"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_blocks_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 to 1: twice the letters in the longest matching blocks, found recursively, over both lengths."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
