@@ -132,23 +132,49 @@ def date_text_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", day.alias("written"), F.date_format(dates.parse_date(styles), "yyyy-MM-dd").alias("parsed"))
 
 
-_LCS = """
-CREATE OR REPLACE"""
+# Rows of the table of common subsequences, one letter of a after the other; d is the row's last value of each letter of b.
+_RATIO = "CASE WHEN {a} = {b} THEN 100.0 ELSE 200.0 * {lcs} / (length({a}) + length({b})) END"
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (
+  SELECT n_nationkey, r_regionkey, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey >= r_regionkey),
+t AS (
+  SELECT n_nationkey, r_regionkey, a, b, 0 AS i, 0 AS j, list_transform(range(0, length(b) + 1), lambda x: 0) AS above, CAST([] AS BIGINT[]) AS done FROM p
+  UNION ALL
+  SELECT n_nationkey, r_regionkey, a, b, CASE WHEN j = length(b) THEN i + 1 ELSE i END, CASE WHEN j = length(b) THEN 0 ELSE j + 1 END,
+    CASE WHEN j = length(b) THEN list_concat(CASE WHEN i = 0 THEN above ELSE done END, CAST([] AS BIGINT[])) ELSE above END,
+    CASE WHEN j = length(b) THEN CAST([0] AS BIGINT[])
+      ELSE list_append(done, CASE WHEN substr(a, i, 1) = substr(b, j + 1, 1) THEN above[j + 1] + 1 ELSE greatest(above[j + 2], done[j + 1]) END) END
+  FROM (SELECT * REPLACE (CASE WHEN i = 0 THEN length(b) ELSE j END AS j) FROM t) WHERE i < length(a) OR j < length(b)),
+l AS (SELECT n_nationkey, r_regionkey, a, b, done[len(done)] AS lcs FROM t WHERE i = length(a) AND j = length(b))
+SELECT n_nationkey, r_regionkey, round({_RATIO.format(a="a", b="b", lcs="lcs")}, 6) AS ratio FROM l
+""")
 def indel_ratio_pairs(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    pairs = n.join(r, F.col("n_regionkey") >= F.col("r_regionkey"))
+    pairs = n.join(F.broadcast(r), F.col("n_regionkey") >= F.col("r_regionkey"))
     return pairs.select("n_nationkey", "r_regionkey", F.round(similarity.indel_ratio("n_name", "r_name"), 6).alias("ratio"))
 
 
+@query("""
+WITH p AS (
+  SELECT p_partkey, c_custkey, list_distinct(string_split(p_name, ' ')) AS x, list_distinct(string_split(c_name, '#')) AS y
+  FROM part JOIN customer ON p_partkey = c_custkey)
+SELECT p_partkey, c_custkey, len(list_intersect(x, y)) AS common, len(x) AS left_words, len(y) AS right_words FROM p
+""")
+def common_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The word sets behind the token-set ratio, for parts and customers of one number."""
+    p = table(spark, sf, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("x"))
+    c = table(spark, sf, "customer").select("c_custkey", F.array_distinct(F.split("c_name", "#")).alias("y"))
+    sizes = {"common": F.size(F.array_intersect("x", "y")), "left_words": F.size("x"), "right_words": F.size("y")}
+    return p.join(c, F.col("p_partkey") == F.col("c_custkey")).select("p_partkey", "c_custkey", *(n.cast("long").alias(k) for k, n in sizes.items()))
+
+
 @query()
 def token_set_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Each benchmark item with the whole of the documents that begin like it."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"), F.substring("text", 1, 12).alias("head"))
-    d = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 1, 12).alias("head"))
-    return b.join(d, "head").select("item_id", "doc_id", F.round(similarity.token_set_ratio("item", "text"), 6).alias("score"))
+    """Each nation's name, with its key words in another order and some more, against itself."""
+    n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", F.round(similarity.token_set_ratio(F.concat_ws(" ", "n_name", F.lit("nation of"), "r_name"), F.concat_ws(" ", "r_name", F.lit("of nation"), "n_name", F.lit("again"))), 6).alias("score"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -349,8 +375,8 @@ def full_outer_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH o AS (SELECT o_custkey, o_orderpriority AS service, max(o_orderstatus = 'O') AS active FROM orders GROUP BY ALL),
-c AS (SELECT o_custkey, count(*) FILTER (active) AS n, count(*) AS k, min(service) FILTER (active) AS one, min(service) AS any FROM o GROUP BY 1)
-SELECT o_custkey, CASE WHEN n = 1 THEN 'active' WHEN n = 0 AND k = 1 THEN 'inactive' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN one WHEN n = 0 AND k = 1 THEN any END AS picked FROM c
+c AS (SELECT o_custkey, count(*) FILTER (active) AS n, count(*) AS k, min(service) FILTER (active) AS one, min(service) AS least FROM o GROUP BY 1)
+SELECT o_custkey, CASE WHEN n = 1 THEN 'active' WHEN n = 0 AND k = 1 THEN 'inactive' ELSE 'ambiguous' END AS state, CASE WHEN n = 1 THEN one WHEN n = 0 AND k = 1 THEN least END AS picked FROM c
 """)
 def service_pick_one_active(spark: SparkSession, sf: str) -> DataFrame:
     return matching.pick_active(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority", F.col("o_orderstatus") == "O")
