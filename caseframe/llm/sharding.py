@@ -1,9 +1,9 @@
 """Shards by balanced label propagation, in DataFrame operations only.
 
 Documents that share a link key are neighbours (all of them, through the key; no pairs are made). Linked documents are
-dealt evenly to the shards. In each round every key's documents look at where their neighbours are: the shard with
-most of them, among those with room, is where the others want to go; a shard lets in those with most neighbours there
-first and stops at its quota. Documents of one key in one shard have the same neighbours and want the same, so the state
+dealt evenly to the shards. In each round every key's documents look at where their neighbours are: those where few are
+want to go where most are, among the shards with room; a shard lets in those with most neighbours there first and stops
+at its quota. Documents of one key in one shard have the same neighbours and want the same, so the state
 is one row for each (key, shard) with a number of documents, however many documents share a key. At the end the numbers
 are dealt out to the documents of each key, the documents without links fill what is left of each quota, and row counts
 differ by one at most.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from caseframe.llm.common import Written, numbered, whole_texts
 
 SHARDS = 24
-ROUNDS = 10
+ROUNDS = 14
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -36,17 +36,31 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Writ
         now = state.df
         filled = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row for each shard
         room = [q - filled.get(s, 0) for s, q in enumerate(quotas)]
-        free = F.element_at(F.array(*(F.lit(r).cast("long") for r in room)), F.col("shard") + 1)
-        score = F.struct(F.col("n"), F.xxhash64("key", "shard"), F.col("shard"))
-        best = now.where(free > 0).groupBy("key").agg(F.max(score).alias("best"))
-        movers = now.join(best, "key").where((F.col("shard") != F.col("best.shard")) & (F.col("n") <= F.col("best.n")))
-        movers = movers.select("key", "shard", "n", F.col("best.shard").alias("to"), F.col("best.n").alias("there"))
+        room_of = F.array(*(F.lit(r).cast("long") for r in room))
+        free = F.element_at(room_of, F.col("shard") + 1)
+        # A key's cells, those in shards with room first, by size: the last goes to the first, the next to last to the
+        # second, up to the middle, so that copies beyond one shard's quota fill several shards at once. Cells in full
+        # shards that are larger than any with room stay out of this.
+        key = W.partitionBy("key")
+        sized = now.withColumn("open", free > 0).withColumn("most", F.max(F.when(F.col("open"), F.col("n"))).over(key))
+        # A key whose shards are all full sends its smallest cell ahead to a shard that has room for the whole key.
+        vacant = [s for s, r in enumerate(room) if r > 0]
+        ahead_of = F.element_at(F.array(*map(F.lit, vacant or [0])), F.pmod(F.xxhash64("key", "shard"), F.lit(len(vacant) or 1)).cast("int") + 1)
+        stuck = sized.where("most IS NULL").withColumn("total", F.sum("n").over(key)).withColumn("place", F.row_number().over(key.orderBy("n", "shard")))
+        stuck = stuck.where("place = 1 AND total > n").withColumn("to", ahead_of).where(F.col("total") <= F.element_at(room_of, F.col("to") + 1))
+        stuck = stuck.select("key", "shard", "n", "to", F.lit(0).cast("long").alias("there"))
+        sized = sized.where(F.col("open") | (F.col("n") <= F.col("most")))
+        sized = sized.withColumn("place", F.row_number().over(key.orderBy(F.desc("open"), F.desc("n"), F.xxhash64("key", "shard"), "shard")))
+        sized = sized.withColumn("across", F.count(F.lit(1)).over(key) + 1 - F.col("place"))
+        targets = sized.where("open").select("key", F.col("place").alias("across"), F.col("shard").alias("to"), F.col("n").alias("there"))
+        movers = sized.where("place > across").join(targets, ["key", "across"]).where("n <= there").select("key", "shard", "n", "to", "there")
+        movers = movers.unionByName(stuck)
         # The place of each in its shard's queue: those with most neighbours there first, by classes, then by hash.
         queued = movers.withColumn("class", F.lit(40) - F.floor(F.log2(F.col("there") + 1)).cast("int")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(32)).cast("int"))
         sizes = queued.groupBy("to", "class", "part").agg(F.sum("n").alias("total"))
         ahead = sizes.select("to", "class", "part", F.coalesce(F.sum("total").over(W.partitionBy("to").orderBy("class", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
         within = F.coalesce(F.sum("n").over(W.partitionBy("to", "class", "part").orderBy(F.desc("there"), "key", "shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        into = F.element_at(F.array(*(F.lit(r).cast("long") for r in room)), F.col("to") + 1)
+        into = F.element_at(room_of, F.col("to") + 1)
         placed = queued.withColumn("within", within).join(F.broadcast(ahead), ["to", "class", "part"])  # at most shards x 40 x 32 rows
         moved = placed.withColumn("go", F.greatest(F.lit(0), F.least("n", into - F.col("ahead") - F.col("within")))).where("go > 0")
         moved = Written(moved.select("key", "shard", "to", "go"), "moves")

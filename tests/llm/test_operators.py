@@ -20,7 +20,7 @@ WORDS = "the quick brown fox jumps over a lazy dog while seven wizards pack boxe
 
 def invented(seed: int, n: int) -> str:
     r = np.random.default_rng(seed)
-    return " ".join(WORDS[i] + str(r.integers(0, 30)) * (i % 3 == 0) for i in r.integers(0, len(WORDS), n))
+    return " ".join(WORDS[i] + str(r.integers(0, 30)) * int(i % 3 == 0) for i in r.integers(0, len(WORDS), n))
 
 
 SHARED = invented(99, 40)
@@ -96,7 +96,7 @@ def brute_base(text):
     out = []
     rules = (
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
-        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p.lstrip("0")[:4] or 0) <= 255 for p in s.split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(re.sub(r"\D", "", s)) <= 19 and pii.luhn(re.sub(r"\D", "", s))),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub(r"\D", "", s)) <= 15),
     )
