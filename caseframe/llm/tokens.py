@@ -39,7 +39,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_chunk, self.known, self.old = Tokenizer.from_file(path), by_chunk, {b"": b""}, {}
+        self.tokenizer, self.by_chunk = Tokenizer.from_file(path), by_chunk
+        self.model, self.known = self.tokenizer.model, _Known(self, {})
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     @classmethod
@@ -52,42 +53,39 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+    def chunk(self, c: bytes) -> bytes:
         """A plain word goes straight to the tokenizer's model, all else through the whole tokenizer."""
-        model, out, other = self.tokenizer.model, {}, []
-        for c in chunks:
-            word = c if c.isascii() else c.decode("utf-8").lower().encode("utf-8")
-            if _PLAIN.fullmatch(word):
-                plain = word.decode("latin-1")
-                out[c] = array("I", [t.id for t in model.tokenize(plain if word.isascii() else plain.translate(_BYTES))]).tobytes()
-            else:
-                other.append(c)
-        out.update(zip(other, self.whole(other), strict=True))
-        return out
-
-    def _learn(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of chunks that this generation doesn't know."""
-        out = {c: self.old[c] for c in missing if c in self.old}
-        missing = missing.difference(out)
-        heads = {c: head for c in missing if (head := c.rstrip(_MARKS)) != c and b"<|" not in c and _LETTER_LAST.search(head)}
-        parts = {part for c, head in heads.items() for part in (head, c[len(head) :])}
-        new = self._chunks(list(parts.union(missing.difference(heads)).difference(self.known, out)))
-        out.update(new)
-        for c, head in heads.items():
-            out[c] = b"".join([out[p] if p in out else self.known[p] for p in (head, c[len(head) :])])
-        return out
+        word = c if c.isascii() else c.decode("utf-8").lower().encode("utf-8")
+        if not _PLAIN.fullmatch(word):
+            return self.whole([c])[0]
+        plain = word.decode("latin-1")
+        return array("I", [t.id for t in self.model.tokenize(plain if word.isascii() else plain.translate(_BYTES))]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
         if len(self.known) > REMEMBERED:
-            self.known, self.old = {b"": b""}, self.known
-        chunks = [[t] if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]  # special tokens keep their case
-        fresh = self._learn(set().union(*chunks).difference(self.known))
-        self.known.update(fresh)
+            self.known = _Known(self, self.known)
         get = self.known.__getitem__
-        out = [b"".join(map(get, cs)) for cs in chunks]
-        for c in fresh:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return out
+        # special tokens keep their case
+        return [b"".join(map(get, [t] if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" "))) for t in texts]
+
+
+class _Known(dict):
+    """Ids of chunks; those not met in this generation come from the one before or are made."""
+
+    def __init__(self, encoder: Encoder, old: dict):
+        super().__init__({b"": b""})
+        self.encoder, self.old = encoder, dict(old)
+
+    def __missing__(self, c: bytes) -> bytes:
+        ids = self.old.get(c)
+        if ids is None:
+            head = c.rstrip(_MARKS)
+            if head and len(head) < len(c) and b"<|" not in c and _LETTER_LAST.search(head):
+                ids = self[head] + self[c[len(head) :]]
+            else:
+                ids = self.encoder.chunk(c)
+        if len(c) <= LONGEST:
+            self[c] = ids
+        return ids

@@ -225,7 +225,26 @@ def brute_classes(rows, idf, least=0.8):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
-def test_near_duplicates_are_those_of_all_pairs(docs, empty):
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 2])
+def test_near_duplicates_are_those_of_all_pairs(spark, block):
+    """Chains of texts, each a little unlike the one before, so that buckets hold several components."""
+    words = invented(50, 120).split()
+    rows = [(i, " ".join(words[:k] + [f"own{i}"] * 0 + words[k + 1 :])) for i, k in enumerate(range(5, 110, 7))]
+    rows += [(100 + i, " ".join(f"new{j}" if j < 2 * i else w for j, w in enumerate(words))) for i in range(12)]
+    table = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = by_id(near_dup.near_duplicates(table, block=block))
+    assert {i: r.class_id for i, r in got.items()} == brute_classes(sorted(rows), near_dup.count_common(table))
+
+
+def test_vectors_give_the_similarities_of_pairs():
+    texts = [invented(60, 100).encode(), invented(60, 100).replace("fox", "cat").encode(), invented(61, 40).encode(), b"one two", b""]
+    idf = near_dup.Idf(np.empty(0, np.uint64), np.empty(0), 5)
+    a, b = np.array([0, 1, 0, 3, 2, 4]), np.array([1, 2, 0, 3, 3, 0])
+    got = near_dup.Vectors(texts, idf).similarities(a, b)
+    assert got[:5] == pytest.approx(near_dup.jaccard([texts[i] for i in a], [texts[i] for i in b], idf)[:5])
+
+
+def test_near_duplicates_on_awkward_rows(docs, empty):
     rows = sorted(ROWS)
     got = by_id(near_dup.near_duplicates(docs))
     want = brute_classes(rows, near_dup.count_common(docs))
