@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: Distinct chunks that a worker remembers in each of two generations; a new one begins when the first is full.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -59,7 +59,10 @@ class Encoder:
         if not _PLAIN.fullmatch(word):
             return self.whole([c])[0]
         plain = word.decode("latin-1")
-        return array("I", [t.id for t in self.model.tokenize(plain if word.isascii() else plain.translate(_BYTES))]).tobytes()
+        return self.word(plain if word.isascii() else plain.translate(_BYTES))
+
+    def word(self, plain: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_chunk:
@@ -80,7 +83,9 @@ class _Known(dict):
 
     def __missing__(self, c: bytes) -> bytes:
         ids = self.old.get(c)
-        if ids is None:
+        if ids is None and c.isalpha():
+            ids = self.encoder.word(c.decode("ascii"))
+        elif ids is None:
             head = c.rstrip(_MARKS)
             if head and len(head) < len(c) and b"<|" not in c and _LETTER_LAST.search(head):
                 ids = self[head] + self[c[len(head) :]]
