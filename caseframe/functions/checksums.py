@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseframe.functions.text import ColumnOrName, text
+from caseframe.functions.text import ColumnOrName, bound, text
 
 #: Weights of the tax number's control digits (10 digits; 12 digits, first and second).
 TAX_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
@@ -24,6 +24,7 @@ def _weighted(c: Column, weights: tuple[int, ...]) -> Column:
     return total % 11 % 10
 
 
+@bound(1)
 def tax_number_valid(c: ColumnOrName) -> Column:
     """Control digits of a number of 10 or 12 digits; anything else is not valid."""
     v = text(c)
@@ -46,6 +47,7 @@ def zone_check_digit(c: ColumnOrName) -> Column:
     return F.aggregate(code, F.lit(0), lambda s, x: s + x) % 10
 
 
+@bound(1)
 def luhn_valid(c: ColumnOrName) -> Column:
     """Every second digit from the right counts double, nines cast out; the sum is a multiple of ten."""
     figures = F.filter(F.split(F.reverse(text(c)), ""), lambda x: x != "")
@@ -53,6 +55,7 @@ def luhn_valid(c: ColumnOrName) -> Column:
     return F.when(text(c).rlike("^[0-9]+$"), F.aggregate(value, F.lit(0), lambda s, x: s + x) % 10 == 0).otherwise(False)
 
 
+@bound(1)
 def document_number(c: ColumnOrName) -> Column:
     """'SSSS NNNNNN' from the first number of two, two and six digits, which may stand apart; null without one."""
     pattern = r"(?U)(?<![\d+])(\d{2})\s?(\d{2})\s?[№N]?\s?(\d{6})(?!\d)"

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from caseframe.functions.text import ColumnOrName, text
+from caseframe.functions.text import ColumnOrName, bound, text
 
 #: Month stems in calendar order, the third letter of May in either form.
 MONTH_STEMS = ("январ", "феврал", "март", "апрел", "ма[йя]", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр")
@@ -25,6 +25,7 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+@bound(1)
 def parse_date(c: ColumnOrName, as_of: date | None = None, short_years: bool = False) -> Column:
     """The earliest date in a text, numeric (day, month, year) or with the month as a word. If that one is wrong the result
     is null, whatever follows. Two-digit years count only with short_years: up to the year of as_of they are this
@@ -55,6 +56,7 @@ def iso_to_dmy(c: ColumnOrName) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(text(c)), r"^(\d{4})-(\d{2})-(\d{2}).*$", "$3.$2.$1"), r"^\s+|\s+$", "")
 
 
+@bound(3)
 def two_digit_year(year: ColumnOrName, month: ColumnOrName, day: ColumnOrName, as_of: date, future: bool = False) -> Column:
     """A date of a machine-readable zone: in this century, or a century earlier if that would be after as_of."""
     y, m, d = (_int(text(x)) for x in (year, month, day))
@@ -81,6 +83,7 @@ def _numbers(c: Column) -> Column:
     return F.array_compact(F.transform(F.regexp_extract_all(c, F.lit("[а-я]+"), 0), word_number))
 
 
+@bound(1)
 def parse_date_words(c: ColumnOrName) -> Column:
     """A date whose day and year may be words ('седьмое августа две тысячи двадцать шестого'); else as parse_date()."""
     low = F.translate(F.lower(text(c)), "ё", "е")

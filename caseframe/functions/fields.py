@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from caseframe.functions.dates import dmy, parse_date
 from caseframe.functions.issuer import issuer_similarity
 from caseframe.functions.similarity import token_set_ratio
-from caseframe.functions.text import ColumnOrName, country_code, digits, phone_digits, text, word_key
+from caseframe.functions.text import ColumnOrName, bound, country_code, digits, let, phone_digits, text, word_key
 
 OK, WARN, FAIL, NONE = "ok", "warn", "fail", ""
 ALIKE = 85.0
@@ -38,12 +38,15 @@ def normal(kind: str, c: ColumnOrName, alpha3: dict[str, str] | None = None, as_
 def same(kind: str, a: ColumnOrName, b: ColumnOrName, **options) -> Column:
     if kind in SPECIAL:
         return SPECIAL[kind](a, b)
-    x, y = normal(kind, a, **options), normal(kind, b, **options)
-    missing = (x == "") | (y == "")
-    if kind == "issuer":
-        score = issuer_similarity(a, b)
-        return F.when(missing, result(NONE)).when(x == y, result(OK)).otherwise(result(F.when(score >= ALIKE, WARN).otherwise(FAIL), score))
-    return F.when(missing, result(NONE)).when(x == y, result(OK)).otherwise(result(FAIL))
+    score = issuer_similarity(a, b) if kind == "issuer" else F.lit(None).cast("double")
+    both = F.struct(normal(kind, a, **options).alias("x"), normal(kind, b, **options).alias("y"), score.alias("score"))
+
+    def judge(s: Column) -> Column:
+        missing = (s["x"] == "") | (s["y"] == "")
+        unlike = result(F.when(s["score"] >= ALIKE, WARN).otherwise(FAIL), s["score"])
+        return F.when(missing, result(NONE)).when(s["x"] == s["y"], result(OK)).otherwise(unlike)
+
+    return let(both, judge)
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -88,6 +91,7 @@ def _abbreviations(words: Column) -> Column:
     return F.concat(*found)
 
 
+@bound(1)
 def organisation(c: ColumnOrName) -> Column:
     """struct(forms, name): codes of the legal form, and the name without form and quotes.
 
@@ -107,6 +111,7 @@ def organisation(c: ColumnOrName) -> Column:
     return F.when(quoted, F.struct(F.array_distinct(outer_codes).alias("forms"), inner.alias("name"))).otherwise(F.struct(F.array_distinct(bare_codes).alias("forms"), name.alias("name")))
 
 
+@bound(2)
 def same_organisation(a: ColumnOrName, b: ColumnOrName) -> Column:
     x, y = organisation(a), organisation(b)
     forms = (F.size(x["forms"]) > 0) & (F.size(y["forms"]) > 0)
@@ -130,6 +135,7 @@ STREET_TYPES = (
 )
 
 
+@bound(1)
 def house_key(c: ColumnOrName) -> Column:
     """Tokens of a house number: marks in one spelling, empty words left out, a letter joined to the number before."""
     v = F.translate(F.lower(text(c)), "ё", "е")
@@ -146,6 +152,7 @@ def house_key(c: ColumnOrName) -> Column:
     return F.aggregate(parts, F.array().cast("array<string>"), step)
 
 
+@bound(2)
 def same_house(a: ColumnOrName, b: ColumnOrName) -> Column:
     x, y = house_key(a), house_key(b)
     number = lambda k: F.regexp_extract(F.get(k, F.lit(0)), "^[0-9]+", 0)
@@ -153,6 +160,7 @@ def same_house(a: ColumnOrName, b: ColumnOrName) -> Column:
     return result(status)
 
 
+@bound(1)
 def street(c: ColumnOrName) -> Column:
     """struct(types, name)."""
     v, types = F.translate(F.lower(text(c)), "ё", "е"), []
@@ -164,6 +172,7 @@ def street(c: ColumnOrName) -> Column:
     return F.struct(F.array_compact(F.array(*types)).alias("types"), F.array_join(words, " ").alias("name"))
 
 
+@bound(2)
 def same_street(a: ColumnOrName, b: ColumnOrName) -> Column:
     x, y = street(a), street(b)
     score = token_set_ratio(x["name"], y["name"])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseframe.functions.similarity import token_set_ratio
-from caseframe.functions.text import ColumnOrName, digits, fold
+from caseframe.functions.text import ColumnOrName, bound, digits, fold
 
 #: Abbreviations in full, and words that say nothing.
 ABBREVIATIONS = (
@@ -25,6 +25,7 @@ def tokens(c: ColumnOrName) -> Column:
     return F.regexp_extract_all(fold(c), F.lit("[А-Я]+(?:-[А-Я]+)?"), 0)
 
 
+@bound(1)
 def stems(c: ColumnOrName) -> Column:
     """The first letters of the words, abbreviations written out, empty words left out."""
     full = F.create_map(*(F.lit(x) for pair in ABBREVIATIONS for x in pair))
@@ -32,6 +33,7 @@ def stems(c: ColumnOrName) -> Column:
     return F.transform(F.filter(words, lambda w: ~w.isin(*EMPTY_WORDS)), lambda w: F.substring(w, 1, STEM))
 
 
+@bound(2)
 def issuer_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """0 to 100; 0 if a side has no words."""
     return token_set_ratio(F.array_join(stems(a), " "), F.array_join(stems(b), " "))
@@ -47,6 +49,7 @@ def vocabulary_share(c: ColumnOrName, words: tuple[str, ...]) -> Column:
     return F.when(F.size(own) > 0, F.size(F.filter(own, lambda w: F.array_contains(known, w))) / F.size(own))
 
 
+@bound(1)
 def region_code(department: ColumnOrName, merged: dict[str, str]) -> Column:
     """The region's two digits of a six-digit department code, codes of merged regions replaced; null for other values."""
     d = digits(department)

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseframe.functions.similarity import indel_ratio
-from caseframe.functions.text import ColumnOrName, fold, text
+from caseframe.functions.text import ColumnOrName, bound, fold, let, text
 
 MALE_PATRONYMIC = r"(?:ВИЧ|ИЧ)(?:А|У|ЕМ|Е)?$|ОГЛЫ$|УУЛУ$"
 FEMALE_PATRONYMIC = r"(?:ВН|ИЧН)(?:А|Ы|Е|У|ОЙ)$|КЫЗЫ$"
@@ -31,6 +31,7 @@ ENDINGS = (
 )
 
 
+@bound(1)
 def gender(patronymic: ColumnOrName) -> Column:
     """'masc' or 'femn' by a patronymic in any case; null otherwise."""
     p = fold(patronymic)
@@ -47,6 +48,7 @@ def split_name(c: ColumnOrName) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) | (w == F.upper(w)) & (w != F.lower(w)))
 
 
+@bound(1)
 def ordered(words: Column) -> Column:
     """First name, patronymic, surname as surname, first name, patronymic; other orders unchanged."""
     turn = (F.size(words) == 3) & is_patronymic(F.get(words, F.lit(1))) & ~is_patronymic(F.get(words, F.lit(2)))
@@ -62,6 +64,7 @@ STOP_WORDS = (
 LEAD_WORDS = r"^(?:ГРАЖДАН[А-Я]*|ГР|РОССИЙСКОЙ|ФЕДЕРАЦИИ|РФ|ИП)$"
 
 
+@bound(1)
 def extract_name(c: ColumnOrName, most: int = 4) -> Column:
     """The name at the beginning of a text, as words in its order: a fold that skips what leads in, and ends at a stop
     word, a lower-case word, a patronymic in third place or after `most` words."""
@@ -82,27 +85,38 @@ def extract_name(c: ColumnOrName, most: int = 4) -> Column:
     return F.aggregate(split_name(c), start, step)["words"]
 
 
+@bound(2)
 def nominatives(word: Column, own_gender: Column) -> Column:
     """Candidates for the nominative of a word in any case, the word itself included."""
-    w = fold(word)
+    def candidate(w: Column, old: Column, new: Column) -> Column:
+        of = F.when(new.rlike("[АЯ]$"), "femn").otherwise("masc")
+        fits = own_gender.isNull() | (own_gender == of) | (F.length(old) < 2)
+        long = F.length(w) > F.length(old) + 1
+        return F.when(fits & long & w.endswith(old), F.concat(F.substring(w, F.lit(1), F.length(w) - F.length(old)), new))
 
-    def candidate(old: str, new: str) -> Column:
-        female = new.endswith(("А", "Я"))
-        fits = own_gender.isNull() | (own_gender == ("femn" if female else "masc")) | F.lit(len(old) < 2)
-        long = F.length(w) > len(old) + 1
-        return F.when(fits & long & w.endswith(old), F.concat(F.substring(w, F.lit(1), F.length(w) - len(old)), F.lit(new)))
+    def all_of(w: Column) -> Column:
+        table = F.split(F.lit(",".join(f"{old}:{new}" for old, new in ENDINGS)), ",")
+        found = F.transform(table, lambda e: candidate(w, F.split_part(e, F.lit(":"), F.lit(1)), F.split_part(e, F.lit(":"), F.lit(2))))
+        return F.array_distinct(F.concat(F.array(w), F.array_compact(found)))
 
-    return F.array_distinct(F.array_compact(F.array(w, *(candidate(*e) for e in ENDINGS))))
+    return let(fold(word), all_of)
 
 
+@bound(1)
 def to_nominative(c: ColumnOrName) -> Column:
     """A whole name in the nominative, surname first, by the first rule that fits each word and the name's gender."""
-    words = ordered(split_name(c))
-    g = F.when(F.size(words) >= 3, gender(F.element_at(words, -1)))
+    return let(_words_and_gender(c), _nominative)
+
+
+def _words_and_gender(c: Column) -> Column:
+    return let(ordered(split_name(c)), lambda words: F.struct(words.alias("words"), F.when(F.size(words) >= 3, gender(F.element_at(words, -1))).alias("g")))
+
+
+def _nominative(name: Column) -> Column:
+    words, g = name["words"], name["g"]
 
     def one(w: Column, i: Column) -> Column:
-        forms = nominatives(w, g)
-        return F.when(g.isNotNull() & (F.size(forms) > 1), F.get(forms, F.lit(1))).otherwise(fold(w))
+        return let(nominatives(w, g), lambda forms: F.when(g.isNotNull() & (F.size(forms) > 1), F.get(forms, F.lit(1))).otherwise(F.get(forms, F.lit(0))))
 
     def female(w: Column, i: Column) -> Column:
         return F.when((i == 0) & (g == "femn") & w.rlike("(?:ОВ|ЕВ|ИН|ЫН)$"), F.concat(w, F.lit("А"))).otherwise(w)
@@ -110,11 +124,15 @@ def to_nominative(c: ColumnOrName) -> Column:
     return F.array_join(F.transform(F.transform(words, one), female), " ")
 
 
+@bound(2)
 def name_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     """0 to 100, the mean over the parts in order: the best candidate of a's part against b's part (only a is inflected), 100
     for an initial that fits, 0 for a part that one side lacks. 0 if a side is empty."""
-    x, y = ordered(split_name(a)), ordered(split_name(b))
-    g = F.when(F.size(x) >= 3, gender(F.element_at(x, -1)))
+    return let(F.struct(_words_and_gender(a).alias("a"), ordered(split_name(b)).alias("y")), _similarity)
+
+
+def _similarity(names: Column) -> Column:
+    x, g, y = names["a"]["words"], names["a"]["g"], names["y"]
 
     def part(i: Column) -> Column:
         w, target = F.get(x, i), fold(F.get(y, i))
@@ -127,6 +145,7 @@ def name_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda s, v: s + v) / count)
 
 
+@bound(2)
 def reading_error_only(stated: ColumnOrName, read: ColumnOrName, lexicon: tuple[str, ...]) -> Column:
     """The names differ only in a first name or patronymic that was read as an unknown word and is stated as a known one much
     like it. lexicon: known first names and patronymics, folded."""

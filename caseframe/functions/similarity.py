@@ -9,13 +9,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseframe.functions.text import ColumnOrName, col, text
+from caseframe.functions.text import ColumnOrName, bound, col, text
 
 
 def _letters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
+@bound(2)
 def common_subsequence(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Length of the longest common subsequence: a fold over the letters of one string keeps a row of the table."""
     x, y = _letters(text(a)), _letters(text(b))
@@ -36,12 +37,14 @@ def common_subsequence(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.element_at(last, -1)).otherwise(0)
 
 
+@bound(2)
 def indel_ratio(a: ColumnOrName, b: ColumnOrName) -> Column:
     """0 to 100: twice the common subsequence over both lengths; two empty strings are alike."""
     size = F.length(text(a)) + F.length(text(b))
     return F.when(text(a) == text(b), F.lit(100.0)).otherwise(200.0 * common_subsequence(a, b) / size)
 
 
+@bound(2)
 def token_set_ratio(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Best indel ratio between the common words and the common words with either side's rest; words are sets."""
     x, y = (F.array_distinct(F.filter(F.split(text(c), r"(?U)\s+"), lambda w: w != "")) for c in (a, b))

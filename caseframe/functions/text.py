@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,25 @@ def text(c: ColumnOrName) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c computed once: inside, it is a variable, so that expressions that use it often stay small."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def bound(n: int):
+    """Makes the first n arguments of a function of Columns variables, as let() does."""
+
+    def wrap(f):
+        @wraps(f)
+        def call(*args, **options):
+            own = F.struct(*(col(c).alias(f"a{i}") for i, c in enumerate(args[:n])))
+            return let(own, lambda s: f(*(s[f"a{i}"] for i in range(n)), *args[n:], **options))
+
+        return call
+
+    return wrap
+
+
 def present(c: ColumnOrName) -> Column:
     """Neither null nor empty."""
     return F.length(text(c)) > 0

@@ -108,9 +108,11 @@ def test_repair_words(spark):
 def test_domains(spark, one):
     assert one(domains.find_domains(L("домена a-b.ru, почта x@mail.ru"))) == ["a-b.ru"]
     assert one(domains.find_domains(L("www.Тест.рф и тест.рф; 10.20"))) == ["тест.рф"]
-    rows = {"info-\nstore.ru": ["info-store.ru"], "info-dvd.ru-\nnext": ["info-dvd.ru"], "": []}
+    rows = {"info-\nstore.ru": ["info-store.ru"], "a.ru,\nb.ru": ["a.ru", "b.ru"], "": []}
     got = spark.createDataFrame([(k,) for k in rows], "t string").withColumn("j", domains.join_wrapped("t")).withColumn("d", domains.domain_list(F.col("j")))
     assert {r.t: r.d.domains for r in got.collect()} == rows
+    whole = spark.createDataFrame([("info-dvd.ru-\nnext",)], "t string").select(domains.join_wrapped("t").alias("j")).first().j
+    assert (whole.text, whole.joined) == ("info-dvd.ru-\nnext", [])  # what stands left is a name already
     assert one(domains.stated_count(L("всего 76 доменов"))) == 76 and one(domains.stated_count(L("всего три домена"))) == 3 and one(domains.stated_count(L("x"))) is None
     assert one(domains.mixed_alphabets(F.array(L("aб.ru"), L("ab.com")))) == ["aб.ru"]
 
