@@ -83,18 +83,20 @@ def numbered(df: DataFrame, within: list[str], key: str, name: str, buckets: int
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(doc_ids, texts as UTF-8) from batches with doc_id and text columns, `most` bytes at a time or one document."""
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        column = batch.column("text")
-        texts = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
-        begin, size = 0, 0
-        for i, text in enumerate(texts):
-            if i > begin and size + len(text) > most:
-                yield ids[begin:i], texts[begin:i]
-                begin, size = i, 0
-            size += len(text)
-        if begin < len(texts):
-            yield ids[begin:], texts[begin:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):  # Python objects of a part of the batch at a time
+            batch = whole.slice(at, 1024)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            column = batch.column("text")
+            texts = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
+            begin, size = 0, 0
+            for i, text in enumerate(texts):
+                if i > begin and size + len(text) > most:
+                    yield ids[begin:i], texts[begin:i]
+                    begin, size = i, 0
+                size += len(text)
+            if begin < len(texts):
+                yield ids[begin:], texts[begin:]
 
 
 SPACE = np.zeros(256, bool)

@@ -7,7 +7,7 @@ import re
 from array import array
 
 #: Distinct chunks that a worker remembers in each of two generations; a new one begins when the first is full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -79,7 +79,9 @@ class _Known(dict):
 
     def __init__(self, encoder: Encoder, old: dict):
         super().__init__({b"": b""})
-        self.encoder, self.old = encoder, dict(old)
+        self.encoder, self.old = encoder, old
+        if isinstance(old, _Known):
+            old.old = {}  # two generations at most
 
     def __missing__(self, c: bytes) -> bytes:
         ids = self.old.get(c)
