@@ -5,9 +5,12 @@ The numpy helpers work on slices of a few MB of text inside a task; Spark partit
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +80,24 @@ def numbered(df: DataFrame, within: list[str], key: str, name: str, buckets: int
     return joined.withColumn(name, (F.col("__before") + F.col("__rank") - 1).cast("long")).drop(b, "__before", "__rank")
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers stay for later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such function
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(f):
+    """A function over batches that releases memory when its task ends."""
+
+    @wraps(f)
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # slices of text
 

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import bucket_of, group_slices, mix, numpy_bucket, whole_texts
+from caseframe.llm.common import bucket_of, group_slices, mix, numpy_bucket, release, tidy, whole_texts
 
 #: kind 0: for the group; kind 1: an answer already, which the group passes on to `bucket`.
 MAIL = "grp int, bucket int, a binary, b binary, c binary"
@@ -103,10 +103,11 @@ def exchange(
         return pa.concat_tables([passed, answer(asked)]) if len(asked) else passed
 
     texts = whole_texts(docs)
-    replies = texts.mapInArrow(send, MAIL).groupBy("grp").applyInArrow(group, ANSWER)
+    replies = texts.mapInArrow(tidy(send), MAIL).groupBy("grp").applyInArrow(group, ANSWER)
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         out = finish(iter(left.to_batches()), Asked(right))
+        release()
         return out.append_column("rest", left.column("rest")) if carry else out
 
     if carry:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import Written, numbered, slices, whole_texts
+from caseframe.llm.common import Written, numbered, release, slices, tidy, whole_texts
 from caseframe.llm.tokens import Encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -89,6 +89,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                     rows.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n))
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        encoder.forget()
+        release()
 
     return whole_texts(docs).mapInArrow(cut, _PIECE)
 
@@ -113,6 +115,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     runs.sort()
     keys, window, each, offsets, lengths = (np.array(c, np.int64) for c in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 5
 
+    @tidy
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pieces in frames:
             key = pieces["length"].to_numpy() * wide + pieces["rank"].to_numpy()

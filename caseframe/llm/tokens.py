@@ -64,6 +64,10 @@ class Encoder:
     def word(self, plain: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(plain)]).tobytes()
 
+    def forget(self) -> None:
+        """Frees the chunks remembered, where other stages need a worker's memory."""
+        self.known = _Known(self, {})
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
