@@ -2,10 +2,17 @@
 
 Equal vectors are one entry with a number of copies. Pivots, PER_ROOT times the root of the number of entries (so that lists grow
 with the root too), are the first entries by a hash; that sample only chooses reference points, and every entry is
-indexed. An entry is described by its NEAREST pivots in order, and stands in the list of each of them. Two entries are
-candidates in a list when their descriptions share at least SHARED pivots; candidates are compared by cosine in double
-precision, and a pair that meets in several lists counts in that of its smallest shared pivot. Lists longer than BLOCK
-are cut into blocks by hash, and every two blocks meet in a task of their own.
+indexed.
+
+Dense groups are compared exactly. Leaders are pivots, none of which is within LEAD of an earlier one; an entry within LEAD of
+its nearest leader is dense and lives in the leader's cell. Into a cell come, as visitors, all entries that its radius and (if
+they live in a later cell) the plane between the two leaders do not rule out; a resident meets all residents and visitors, so
+that no pair with a dense entry is missed.
+
+All other entries are described by their NEAREST pivots in order, and stand in the list of each of them. Two of these are
+candidates in a list when their descriptions share at least SHARED pivots, and a pair that meets in several lists counts in that
+of its smallest shared pivot. Pairs are compared by cosine in double precision. Lists and cells longer than BLOCK are cut into
+blocks by hash, and every two blocks meet in a task of their own.
 
 A task returns one row for each entry that has links: how many vectors it is linked to there, and the smallest entry that the
 task's links reach from it. Components come from joining those.
@@ -31,6 +38,7 @@ from caseframe.llm.graph import components
 COSINE = 0.95
 PER_ROOT, LEAST_PIVOTS = 2.0, 32
 NEAREST, SHARED = 10, 2
+LEAD = 0.8
 BLOCK = 1024
 
 
@@ -55,23 +63,89 @@ def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
 
 
-def _describe(pivots: dict[int, np.ndarray], nearest: int):
+def leaders_of(pivots: np.ndarray) -> np.ndarray:
+    """Numbers of the pivots that are not within LEAD of an earlier leader."""
+    led, out = np.zeros(len(pivots), bool), []
+    for i in range(len(pivots)):
+        if not led[i]:
+            out.append(i)
+            led |= pivots @ pivots[i] >= LEAD
+    return np.array(out, np.int64)
+
+
+def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(vector length, rows of that length, their unit vectors)."""
+    for batch in batches:
+        sizes = np.fromiter((len(u) // 8 for u in batch.column("unit").to_pylist()), np.int64, batch.num_rows)
+        for size in np.unique(sizes).tolist():
+            part = batch.filter(pa.array(sizes == size))
+            yield size, part, _matrix(part.column("unit"), size)
+
+
+def _cells(units: np.ndarray, leaders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest leader, or -1 for entries that are not dense; cosines with all leaders)."""
+    cosines = units @ leaders.T
+    nearest = np.round(cosines, 12).argmax(1)
+    return np.where(cosines[np.arange(len(units)), nearest] >= LEAD, nearest, -1), cosines
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def _radii(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray]):
+    """The widest angle of a resident from the leader of each cell, of the rows of a task."""
+
+    def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widest = {size: np.full(len(own), -1.0) for size, own in leaders.items()}
+        for size, _, units in _by_size(batches):
+            cell, cosines = _cells(units, pivots[size][leaders[size]])
+            dense = np.flatnonzero(cell >= 0)
+            np.maximum.at(widest[size], cell[dense], _angles(cosines[dense, cell[dense]]))
+        for size, w in widest.items():
+            some = np.flatnonzero(w >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, np.int32)), pa.array(some.astype(np.int32)), pa.array(w[some])], ["size", "cell", "radius"])
+
+    return radii
+
+
+def _lists(rows: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """Lists of `values`, ordered by `rows`, for rows 0 to n - 1."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def _describe(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray], radii: dict[int, np.ndarray], nearest: int, cosine: float):
+    """near: the nearest pivots; home: the cell (-1 - place of its leader) or 0; places: lists (pivots) and cells to stand in."""
+    reach, slack = float(_angles(np.array(cosine))), 1e-6
+    sine = np.sin(min(reach, np.pi / 2))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.fromiter((len(u) // 8 for u in batch.column("unit").to_pylist()), np.int64, batch.num_rows)
-            for size in np.unique(sizes).tolist():
-                part = batch.filter(pa.array(sizes == size))
-                units, own = _matrix(part.column("unit"), size), pivots[size]
-                order = np.argsort(-np.round(units @ own.T, 12), axis=1, kind="stable")[:, :nearest].astype("<i4")
-                width = order.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * width), pa.array(order.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("entry"), part.column("copies"), part.column("unit"), pa.array(np.full(len(order), size, np.int32)), lists], ["entry", "copies", "unit", "size", "near"])
+        for size, part, units in _by_size(batches):
+            own, n = pivots[size], len(units)
+            order = np.argsort(-np.round(units @ own.T, 12), axis=1, kind="stable")[:, :nearest]
+            width = order.shape[1]
+            lead = own[leaders[size]]
+            cell, cosines = _cells(units, lead)
+            dense = np.flatnonzero(cell >= 0)
+            comes = _angles(cosines) <= radii[size] + reach + slack
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (lead @ lead.T)))
+            comes[dense] &= cosines[dense, cell[dense]][:, None] - cosines[dense] <= sine * apart[cell[dense]] + slack
+            comes[dense] &= np.arange(len(lead)) < cell[dense][:, None]
+            comes[dense, cell[dense]] = True
+            row, place = np.nonzero(comes)
+            loose = np.flatnonzero(cell < 0)
+            rows, places = np.concatenate([row, np.repeat(loose, width)]), np.concatenate([-1 - place, order[loose].ravel()])
+            by_row = np.argsort(rows, kind="stable")
+            near = _lists(np.repeat(np.arange(n), width), order.ravel(), n)
+            home = pa.array(np.where(cell >= 0, -1 - cell, 0).astype(np.int32))
+            columns = [part.column("entry"), part.column("copies"), part.column("unit"), pa.array(np.full(n, size, np.int32)), near, home, _lists(rows[by_row], places[by_row], n)]
+            yield pa.RecordBatch.from_arrays(columns, ["entry", "copies", "unit", "size", "near", "home", "places"])
 
     return describe
 
 
 def _meet(cosine: float, shared: int, pivots_of: dict[int, int]):
-    """Links between the blocks of one list: (entry, n, least)."""
+    """Links between the blocks of one list or cell: (entry, n, least)."""
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         size, pivot, left, right = (k.as_py() for k in key)
@@ -79,20 +153,24 @@ def _meet(cosine: float, shared: int, pivots_of: dict[int, int]):
         entry, copies = rows.column("entry").to_numpy(), rows.column("copies").to_numpy()
         units = _matrix(rows.column("unit"), size)
         near = np.array(rows.column("near").to_pylist(), np.int64)
-        holds = np.zeros((len(entry), pivots_of[size]), np.float32)
-        np.put_along_axis(holds, near, 1, 1)
+        cell = pivot < 0
+        resident = rows.column("home").to_numpy() == pivot
+        if not cell:
+            holds = np.zeros((len(entry), pivots_of[size]), np.float32)
+            np.put_along_axis(holds, near, 1, 1)
         a = np.flatnonzero(block == left)
         b = np.flatnonzero(block == right)
         found = []
         for at in range(0, len(a), BLOCK):
             some = a[at : at + BLOCK]
-            mask = (holds[some] @ holds[b].T >= min(shared, near.shape[1])) & (units[some] @ units[b].T >= cosine)
+            mask = resident[some][:, None] | resident[b] if cell else holds[some] @ holds[b].T >= min(shared, near.shape[1])
+            mask &= units[some] @ units[b].T >= cosine
             i, j = np.nonzero(mask)
             found.append(np.stack([some[i], b[j]], 1))
         i, j = np.concatenate(found).T if found else (np.empty(0, np.int64),) * 2
         keep = entry[i] < entry[j] if left == right else i != j
         i, j = i[keep], j[keep]
-        for begin in range(0, len(i), 65536):  # the list of the smallest shared pivot counts the pair
+        for begin in range(0, 0 if cell else len(i), 65536):  # the list of the smallest shared pivot counts the pair
             x, y = near[i[begin : begin + 65536]], near[j[begin : begin + 65536]]
             common = (x[:, :, None] == y[:, None, :]).any(2)
             first = np.where(common, x, np.iinfo(np.int64).max).min(1)
@@ -128,14 +206,22 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sha
         chosen = entries.where(F.length("unit") == 8 * size).orderBy(F.xxhash64("digest"), "digest").limit(wanted).select("unit").collect()
         pivots[size] = np.frombuffer(b"".join(bytes(r["unit"]) for r in chosen), np.float64).reshape(-1, size)
 
-    described = entries.select("entry", "copies", "unit").mapInArrow(_describe(pivots, nearest), "entry long, copies long, unit binary, size int, near array<int>")
+    leaders = {size: leaders_of(own) for size, own in pivots.items()}
+    radii = {size: np.full(len(own), -np.inf) for size, own in leaders.items()}
+    widest = entries.select("unit").mapInArrow(_radii(pivots, leaders), "size int, cell int, radius double").groupBy("size", "cell").agg(F.max("radius").alias("radius"))
+    for r in widest.collect():  # as many rows as leaders
+        radii[r["size"]][r["cell"]] = r["radius"]
+
+    described = entries.select("entry", "copies", "unit").mapInArrow(
+        _describe(pivots, leaders, radii, nearest, cosine), "entry long, copies long, unit binary, size int, near array<int>, home int, places array<int>"
+    )
     described = Written(described, "described").df
-    placed = described.select("*", F.explode("near").alias("pivot"))
-    lengths = described.select("size", F.explode("near").alias("pivot")).groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(F.broadcast(lengths), ["size", "pivot"])  # as many rows as pivots
+    placed = described.withColumn("pivot", F.explode("places")).drop("places")
+    lengths = described.select("size", F.explode("places").alias("pivot")).groupBy("size", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(F.broadcast(lengths), ["size", "pivot"])  # as many rows as pivots and leaders
     placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("entry", "copies", "unit", "size", "near", "pivot", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    placed = placed.select("entry", "copies", "unit", "size", "near", "home", "pivot", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     met = placed.groupBy("size", "pivot", "left", "right").applyInArrow(_meet(cosine, shared, {s: len(p) for s, p in pivots.items()}), "entry long, n long, least long")
     met = Written(met, "met").df
 

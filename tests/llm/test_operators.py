@@ -308,6 +308,20 @@ def test_links_are_those_of_all_pairs(spark):
     assert pivots.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_links_of_a_dense_group_are_whole(spark):
+    r = np.random.default_rng(4)
+    group = r.standard_normal(64) + 0.176 * r.standard_normal((1000, 64))
+    wide = r.standard_normal(64) + 0.55 * r.standard_normal((200, 64))  # some of them within LEAD of a leader
+    wide = np.concatenate([wide, wide + 0.3 * r.standard_normal(wide.shape)])
+    vectors = np.concatenate([group, wide, r.standard_normal((1600, 64))])
+    got = by_id(pivots.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)), "vec_id")
+    units = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    cosines = units @ units.T
+    many = (cosines >= 0.95).sum(1) - 1
+    close = {i: int(many[i]) for i in range(len(vectors)) if not (np.abs(cosines[i] - 0.95) < 1e-9).any()}
+    assert sum(close.values()) > 800_000 and {i: got[i].n_links for i in close} == close
+
+
 # ----------------------------------------------------------------------------------------------------- 6: toxicity
 
 
