@@ -136,6 +136,16 @@ def test_stretches_decode_as_whole_texts(field):
     assert pii.spans_of(texts, field) == pii.spans_of(texts, field, whole=True)
 
 
+def test_written_at_signs_are_found_without_another_trigger():
+    field = pii.train(pii.labelled_rows(pii.LABELLED_ROWS))
+    words = " ".join(["anon", "tion", "shle"] * 20)
+    texts = [f"{words} mail john{at}{host} {words}" for at in (" (at) ", " [at] ", "(at)", " arobase ", " arroba ", " AT ") for host in ("example.com", "mira.example.fr")]
+    texts += [f"{words} john (at) example.com", "john [at] example.com", "john arobase example.fr", f"{words} stay at home. {words}"]
+    found = pii.spans_of(texts, field)
+    assert found == pii.spans_of(texts, field, whole=True)
+    assert [[t[a:z] for _, a, z in f] for t, f in zip(texts, found, strict=True)] == [re.findall(r"john.*example\.(?:com|fr)", t) for t in texts]
+
+
 def test_pii_on_awkward_rows(docs, empty, field):
     got = by_id(pii.find(docs, field))
     assert len(got) == len(ROWS) and got[1].spans == [] and pii.find(empty, field).count() == 0
