@@ -92,6 +92,15 @@ def choose_vocabulary(presence: list[np.ndarray], labels: np.ndarray, most: int
     return features[order], odds[order]
 
 
+def capital_shares(texts: list[bytes]) -> np.ndarray:
+    """The share of A to Z among all bytes of each text."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    before = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+    ends = np.cumsum(length)
+    return (before[ends] - before[ends - length]) / np.maximum(length, 1)
+
+
 _TABLE = "doc_id long, size long, caps double, shouts double, symbols double, which binary, times binary"
 
 
@@ -111,7 +120,7 @@ def _vocabulary_table(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             size = np.diff(words.first)
             form = [(sum(map(t.count, (b"!", b"?"))), sum(map(t.count, (b"#", b"$", b"%", b"&", b"*", b"|"))), len(t)) for t in texts]
             shouts, symbols, length = (np.array(c, float) for c in zip(*form, strict=True))
-            capitals = np.array([sum(1 for c in t[:: max(1, len(t) // 400)] if 65 <= c <= 90) / max(1, len(t[:: max(1, len(t) // 400)])) for t in texts])
+            capitals = capital_shares(texts)
             least = np.maximum(size, 1)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -352,6 +352,13 @@ def test_toxicity_learns_from_training_rows_only(spark, empty, docs):
     assert toxicity.score(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_capitals_are_counted_in_whole_texts(spark):
+    texts = ["", "Ab", "aB" * 400, "Straße " * 300, "x" * 5_000 + "Y" * 333]
+    found = by_id(toxicity._vocabulary_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), np.empty(0, np.uint64)))
+    for i, t in enumerate(texts):
+        assert found[i].caps == pytest.approx(sum("A" <= c <= "Z" for c in t) / max(1, len(t.encode())), abs=1e-12)
+
+
 def test_label_model_does_not_count_a_voter_twice():
     r = np.random.default_rng(9)
     y = r.random(20_000) < 0.3
