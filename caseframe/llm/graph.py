@@ -13,16 +13,18 @@ def _mark(edges: DataFrame) -> tuple[int, int | None]:
     return row["n"], row["x"]
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> Written:
     """v and component (the smallest vertex that v reaches) for every vertex of edges (a, b).
 
     Large stars and small stars in turn: first every vertex links its larger neighbours to the smallest one, then its smaller
     ones and itself. Edges never grow in number, the diameter falls by more than half a round, and a round is two
-    aggregations and two joins. Rounds are cut from their past by tables in the shared folder."""
+    aggregations and two joins. Rounds are cut from their past by tables in the shared folder. An unfinished result is never
+    returned: it raises if the edges still change after `most_rounds`."""
     state = Written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _mark(state.df)
+    done = not before[0]
     for _ in range(most_rounds):
-        if not before[0]:
+        if done:
             break
         both = state.df.unionByName(state.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
@@ -36,9 +38,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = _mark(following.df)
         state.drop()
         state = following
-        if after == before:
-            break
+        done = after == before
         before = after
+    if not done:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # Every edge now leads from a vertex to the smallest of its component.
     tops = state.df.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
-    return state.df.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(tops)
+    found = Written(state.df.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(tops), "components")
+    state.drop()
+    return found

@@ -1,15 +1,16 @@
-"""Messages between tasks that look at documents and tasks that look at fingerprints.
+"""Messages between buckets of documents and groups of fingerprints.
 
-A look at all documents sends each fingerprint group what it must know, as one row of packed arrays for each group and
-few million fingerprints; the group's task answers with rows that name (document, fingerprint) pairs; a second look at
-the documents, dealt into buckets by doc_id, gets the answers of its bucket. No row is made for each fingerprint, texts
-move once, and what a task holds is bounded by the number of groups and buckets, which follow the number of shuffle
-partitions.
+Documents are dealt into buckets by doc_id, so that the rows of one doc_id are always together. A bucket's task sends each group
+one row of packed arrays; a group's task answers each bucket with one row. Later looks at the documents use the same
+exchange of texts again. No row is made for each fingerprint, and a task holds one bucket's texts or one group's arrays.
+
+The sizes of buckets and groups follow the bytes of text: UNIT words each, and more where the number of messages (buckets
+times groups) would otherwise grow faster than the input: messages hold 64 words at least on the mean.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,101 +18,74 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import bucket_of, group_slices, mix, numpy_bucket, release, tidy, whole_texts
-
-#: kind 0: for the group; kind 1: an answer already, which the group passes on to `bucket`.
-MAIL = "grp int, bucket int, a binary, b binary, c binary"
-ANSWER = "bucket int, docs binary, codes binary"
-MAIL_SCHEMA = pa.schema([("grp", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-ANSWER_SCHEMA = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("codes", pa.binary())])
+#: Words that a bucket or a group is made for, and bytes of text for each.
+UNIT, WORD_BYTES = 2_500_000, 6
+MAIL = "bucket int, part int, grp int, payload binary"
+MAIL_SCHEMA = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("grp", pa.int32()), ("payload", pa.binary())])
 
 
-def pack_sorted(values: np.ndarray) -> bytes:
-    """Ascending 64-bit values as differences, byte plane by byte plane."""
-    values = values.view(np.uint64)
-    steps = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+@dataclass
+class Bucketed:
+    """doc_id, text and bucket (and rest, a struct of the other columns, where asked for), dealt by bucket."""
 
-
-def unpack_sorted(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    texts: DataFrame
+    buckets: int
+    words: int  # by the bytes of text
+    unit: int
 
 
-def answers(docs: np.ndarray, codes: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, documents, fingerprints) for pairs of them."""
-    order = np.lexsort((codes, docs))
-    docs, codes = docs[order], codes[order]
-    bucket = numpy_bucket(docs, buckets)
-    order = np.argsort(bucket, kind="stable")
-    docs, codes, bucket = docs[order], codes[order], bucket[order]
-    for b, part in group_slices(bucket):
-        yield b, docs[part].astype("<i8").tobytes(), codes[part].astype("<u8").tobytes()
+def bucketed(docs: DataFrame, carry: bool = False, unit: int = UNIT) -> Bucketed:
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    words = size // WORD_BYTES + 1
+    unit = max(unit, int((64 * words) ** 0.5))
+    buckets = -(-words // unit)
+    own = [F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
+    if carry:
+        own.append(F.struct(F.col("text").isNull().alias("__no_text"), *(F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text"))).alias("rest"))
+    return Bucketed(docs.where(F.col("doc_id").isNotNull()).select(*own).repartition(buckets, "bucket"), buckets, words, unit)
 
 
-def mail_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MAIL_SCHEMA, strict=True)], schema=MAIL_SCHEMA)
+def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(doc_ids, texts as UTF-8, rows of the table), by doc_id and text, so that every look at a bucket sees one order."""
+    ids = table.column("doc_id").to_numpy()
+    kind = table.schema.field("text").type
+    texts = table.column("text").cast(pa.binary() if pa.types.is_string(kind) else pa.large_binary()).to_pylist()
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    return ids[order], [texts[i] for i in order], np.array(order, np.int64)
 
 
-def answer_table(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
+def mail_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, MAIL_SCHEMA, strict=True)], schema=MAIL_SCHEMA)
 
 
-def pair_codes(docs: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return mix(docs.view(np.uint64)) ^ codes
+def letters(table: pa.Table) -> dict[tuple[int, int], bytes]:
+    """The payloads of a bucket's answers by (part, group)."""
+    return dict(zip(zip(table.column("part").to_pylist(), table.column("grp").to_pylist(), strict=True), table.column("payload").to_pylist(), strict=True))
 
 
-class Asked:
-    """The (document, fingerprint) pairs that a bucket's answers name."""
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-    def __init__(self, table: pa.Table):
-        join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        docs = join("docs", "<i8")
-        self.pairs = np.sort(pair_codes(docs, join("codes", "<u8")))
-        self.documents = np.unique(docs)
 
-    def has(self, docs: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        if not len(self.pairs):
-            return np.zeros(len(codes), bool)
-        asked = pair_codes(docs, codes)
-        return self.pairs[np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)] == asked
+def stretch(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    def names(self, docs: np.ndarray) -> np.ndarray:
-        return np.isin(docs, self.documents)
 
+def planes(values: np.ndarray) -> bytes:
+    """Integers byte plane by byte plane, which compress better so."""
+    return squeeze(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
-def exchange(
-    docs: DataFrame,
-    send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    answer: Callable[[pa.Table], pa.Table],
-    finish: Callable[[Iterator[pa.RecordBatch], Asked], pa.Table],
-    buckets: int,
-    schema: str,
-    carry: bool = False,
-) -> DataFrame:
-    """finish() over all documents, with what answer() says of what send() sent.
 
-    With `carry` the rows also have `rest`, a struct of the documents' other columns; finish() must then keep the order
-    of rows."""
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(stretch(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    def group(mail: pa.Table) -> pa.Table:
-        ready = np.asarray(mail.column("bucket").to_numpy()) >= 0
-        passed = mail.filter(pa.array(ready)).select(["bucket", "a", "b"]).rename_columns(["bucket", "docs", "codes"]).cast(ANSWER_SCHEMA)
-        asked = mail.filter(pa.array(~ready))
-        return pa.concat_tables([passed, answer(asked)]) if len(asked) else passed
 
-    texts = whole_texts(docs)
-    replies = texts.mapInArrow(tidy(send), MAIL).groupBy("grp").applyInArrow(group, ANSWER)
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit values as differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)))
 
-    def last(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = finish(iter(left.to_batches()), Asked(right))
-        release()
-        return out.append_column("rest", left.column("rest")) if carry else out
 
-    if carry:
-        rest = F.struct(F.lit(0).alias("__"), *(docs[c] for c in docs.columns if c not in ("doc_id", "text")))
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), rest.alias("rest"))
-        schema = docs.sparkSession.createDataFrame([], schema).schema.add("rest", texts.schema["rest"].dataType)
-    return texts.withColumn("bucket", bucket_of("doc_id", buckets)).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(last, schema)
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(packed, "<u8"), dtype=np.uint64)

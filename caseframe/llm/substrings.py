@@ -1,159 +1,326 @@
-"""Repeated passages across documents by prefix-partitioned suffix trees.
+"""Repeated passages across documents by prefix-partitioned suffix trees over words.
 
-Every word of every document begins a suffix. Suffixes are split by the first words they begin with: a prefix of one word
-where few suffixes begin so, and of 3 or 13 words where more do than a group should hold (the counts cover all
-documents). Each group builds its part of the tree down to WINDOW words: leaves in the order of their 13-word path
-labels, internal nodes where neighbouring leaves share the whole label. A leaf ships the label's 64-bit fingerprint, not
-its 13 words, and where one document of a task's batch stands for others of the batch under the same node, only the
-smallest does; the others are answered in place. So the leaves of one node number at most the batches, however many
-documents share the passage, and texts move once.
+Every word of every document begins a suffix; only its first WINDOW words matter, since a longer repeat shows itself at each of its
+suffixes in turn. The work goes in four looks at buckets of documents, whose texts are shuffled once:
 
-A node that leaves of two or more documents share is a repeat; the windows of all but its smallest doc_id are removed,
-and the runs of words that removed windows cover are the document's maximal repeats.
+1. Each part of a bucket (PART words at most; long documents are cut with an overlap) finds its distinct suffixes and sends their
+   fingerprints, cut to a few bits more than the number of suffixes needs, to screening groups, and counts suffixes by
+   hashed prefixes of 1, 2, 4 and 8 words. A screening group answers which fingerprints came from two parts. That only
+   leaves suffixes out that can't have a partner; it decides nothing else.
+2. The counts say which prefixes begin more suffixes than one subtree should hold: these are made longer, to 2, 4, 8 or all words,
+   so that prefixes of several lengths split the suffixes into groups that fit in memory. Each part sends what is left,
+   once for all its documents that share it, to the group of its prefix: as words, with the smallest doc_id.
+3. Each group sorts its suffixes by their words and takes the common-prefix lengths of neighbours: the leaves of a node of
+   depth WINDOW are the places of one repeat. It answers those whose document isn't the smallest, with the smallest.
+4. Each bucket removes the words that its repeats cover. Consecutive suffixes with one source are one maximal repeat.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Null and empty texts have none. Texts below 13 words
-have no window and stay whole. Rows with one doc_id never remove each other's words. Other columns are ignored.
+Words are compared as words: fingerprints that agree for two texts cost time but never a word. A suffix in a third of all
+documents is sent once for each part. Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. Null and empty texts have
+none. Texts below 13 words have no window and stay whole. Rows with one doc_id never remove each other's words; rows without doc_id
+are left out. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from caseframe.llm import mail
-from caseframe.llm.common import Words, covered, group_slices, runs_hash, shuffle_width, slices, whole_texts
+from caseframe.llm.common import chain, group_slices, mix, release, span_digests, window_digests
 
 WINDOW = 13
-#: Prefix lengths that a group can stand for, short of the whole window.
-LEVELS = (1, 3)
-#: Leaves that a task gathers before it sends them.
-BATCH = 1_200_000
-
-
-def heavy_prefixes(docs: DataFrame, groups: int, window: int = WINDOW) -> list[np.ndarray]:
-    """For each level the prefixes that begin more suffixes than a quarter of a group's share: at most 4 x groups each."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches):
-            words = Words(texts)
-            first, _ = words.windows(window)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(first)], pa.int64())], ["level", "prefix", "n"])
-            for level in LEVELS:
-                found, n = np.unique(runs_hash(words.hashes, first, first + level), return_counts=True)
-                many = n * groups * 16 > len(first)
-                first = first[np.isin(runs_hash(words.hashes, first, first + level), found[many])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), level, np.int32)), pa.array(found[many].view(np.int64)), pa.array(n[many])], ["level", "prefix", "n"])
-
-    counts = whole_texts(docs).mapInArrow(count, "level int, prefix long, n long").groupBy("level", "prefix").agg(F.sum("n").alias("n"))
-    total = counts.where("level = 0").select(F.col("n").alias("total"))
-    heavy = counts.where("level > 0").join(F.broadcast(total), F.col("n") * groups * 4 > F.col("total")).select("level", "prefix").toPandas()
-    return [np.sort(heavy["prefix"][heavy["level"] == level].to_numpy(np.int64).view(np.uint64)) for level in LEVELS]
-
-
-def prefix_groups(words: np.ndarray, first: np.ndarray, labels: np.ndarray, heavy: list[np.ndarray], groups: int) -> np.ndarray:
-    """The group of the suffix that begins at each of `first`: by the shortest prefix that is not heavy, else the label."""
-    group = (labels >> np.uint64(32)) % np.uint64(groups)
-    open_ = np.arange(len(first))
-    for level, many in zip(LEVELS, heavy, strict=True):
-        prefix = runs_hash(words, first[open_], first[open_] + level)
-        more = np.isin(prefix, many)
-        group[open_[~more]] = (prefix[~more] >> np.uint64(32)) % np.uint64(groups)
-        open_ = open_[more]
-    return group.astype(np.int32)
-
-
-def shared_nodes(labels: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves in label order, docs ascending within a node: (labels, docs, smallest doc of the leaf's node, order)."""
-    order = np.argsort(docs, kind="stable")
-    order = order[np.argsort(labels[order], kind="stable")]
-    labels, docs = labels[order], docs[order]
-    begins = np.flatnonzero(np.concatenate([[True], labels[1:] != labels[:-1]])) if len(labels) else np.empty(0, np.int64)
-    return labels, docs, np.repeat(docs[begins], np.diff(np.concatenate([begins, [len(labels)]]))), order
-
-
-def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and repeats (first word and number of words
-    of each maximal removed run)."""
-    groups = 2 * shuffle_width(docs.sparkSession)
-    heavy = heavy_prefixes(docs, groups, window)
-
-    def flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        docs, labels, group = (np.concatenate(x) for x in zip(*parts, strict=True))
-        labels, docs, least, order = shared_nodes(labels, docs)
-        group = group[order]
+LEVELS = (1, 2, 4, 8)
+#: Hashed prefixes that are counted at each level, and the groups that add the counts up.
+CELLS, COUNTERS = 1 << 16, 8
+#: Suffixes that a prefix may begin before it is made longer.
+HEAVY = 500_000
+#: Words of a part.
+PART = 1_500_000
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+class Numbers(dict):
+    """word -> number, in the order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def numbers_of(text: bytes, known: Numbers) -> np.ndarray:
+    """The numbers of a text's words; Python objects of a megabyte at a time."""
+    out, at = [np.empty(0, np.int32)], 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + (1 << 20))
+        end = cut.start() if cut else len(text)
+        words = text[at:end].split()
+        out.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        at = end
+    return np.concatenate(out)
+
+
+class Part:
+    """The distinct suffixes (classes) of some stretches of words: (row, first word, numbers)."""
+
+    def __init__(self, stretches: list[tuple[int, int, np.ndarray]], doc_ids: np.ndarray, symbols: np.ndarray, window: int):
+        self.words = np.concatenate([s[2] for s in stretches])
+        size = np.array([len(s[2]) for s in stretches])
+        begins = np.cumsum(size) - size
+        leaves = np.maximum(size - window + 1, 0)
+        self.first = np.arange(leaves.sum()) + np.repeat(begins - (np.cumsum(leaves) - leaves), leaves)
+        self.row = np.repeat([s[0] for s in stretches], leaves)
+        self.place = self.first - np.repeat(begins, leaves) + np.repeat([s[1] for s in stretches], leaves)
+        self.doc = doc_ids[self.row]
+        self.levels: dict[int, np.ndarray] = {}
+        label = window_digests(symbols[self.words], window, levels=self.levels)[self.first]
+        order = np.argsort(label, kind="stable")  # documents ascend within a class
+        new = np.concatenate([[True], label[order][1:] != label[order][:-1]]) if len(label) else np.empty(0, bool)
+        again = np.flatnonzero(~new)
+        unlike = self._differ(self.first[order[again]], self.first[order[again - 1]], window)
+        if unlike.any():  # one fingerprint of different words: by the words, then
+            matrix = self.words[self.first[:, None] + np.arange(window)]
+            order = np.lexsort((*matrix.T[::-1], label))
+            new = np.concatenate([[True], (label[order][1:] != label[order][:-1]) | (matrix[order][1:] != matrix[order][:-1]).any(1)])
+        heads = order[new]
+        self.label, self.head, self.least = label[heads], self.first[heads], self.doc[heads]
+        self.of = np.empty(len(label), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+
+    def _differ(self, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k in range(window):
+            out |= self.words[a + k] != self.words[b + k]
+        return out
+
+    def prefixes(self, level: int) -> np.ndarray:
+        return self.levels[level][self.head]
+
+    def screens(self, bits: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct cut fingerprints, ascending, and their screening groups, ascending too)."""
+        cut = np.unique(self.label >> np.uint64(64 - bits))
+        return cut, spread(cut << np.uint64(64 - bits), groups)
+
+
+def spread(values: np.ndarray, groups: int) -> np.ndarray:
+    """Groups of 64-bit values by their highest 32 bits, in order."""
+    return ((values >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
+def parts_of(ids: np.ndarray, texts: list[bytes], window: int, part: int) -> Iterator[tuple[int, Part, Numbers]]:
+    """(number, part, words) of a bucket's documents in order."""
+    known, waiting, size, n = Numbers(), [], 0, 0
+    digests = np.empty(0, np.uint64)
+
+    def done() -> Part:
+        nonlocal digests
+        if len(known) > len(digests):
+            words = list(known)[len(digests) :]
+            ends = np.cumsum([len(w) for w in words])
+            digests = np.concatenate([digests, span_digests(b"".join(words), np.append(0, ends[:-1]), ends)])
+        return Part(waiting, ids, digests, window)
+
+    for row, text in enumerate(texts):
+        words = numbers_of(text, known)
+        for start in range(0, len(words) - window + 1, part):
+            piece = words[start : start + part + window - 1]
+            if waiting and size + len(piece) > part + window:
+                yield n, done(), known
+                waiting, size, n = [], 0, n + 1
+            waiting.append((row, start, piece))
+            size += len(piece)
+    if waiting:
+        yield n, done(), known
+
+
+def common_prefixes(suffixes: np.ndarray) -> np.ndarray:
+    """How many first words each of some sorted suffixes has in common with the one before it."""
+    unlike = suffixes[1:] != suffixes[:-1]
+    return np.where(unlike.any(1), unlike.argmax(1), suffixes.shape[1]) if len(suffixes) else np.empty(0, np.int64)
+
+
+def sorted_suffixes(suffixes: np.ndarray, words: int) -> np.ndarray:
+    """The order of suffixes (rows of ranks below `words`): several ranks in one key."""
+    bits = max(1, int(words - 1).bit_length())
+    each = 63 // bits
+    keys = []
+    for at in range(0, suffixes.shape[1], each):
+        key = np.zeros(len(suffixes), np.int64)
+        for column in suffixes[:, at : at + each].T:
+            key = key << bits | column
+        keys.append(key)
+    return np.lexsort(keys[::-1])
+
+
+def nodes(depths: np.ndarray, least: int) -> np.ndarray:
+    """The number of each leaf's node of at least this depth; leaves without one have a number of their own."""
+    return np.cumsum(np.concatenate([[0], depths < least]))
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, unit: int = mail.UNIT, part: int = PART, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) and repeats (first word, number of words and source
+    document of each maximal repeat of an earlier document; those of different sources may overlap)."""
+    own = mail.bucketed(docs, unit=unit)
+    groups = -(-own.words // own.unit)
+    bits = min(64, int(own.words).bit_length() + 12)
+    levels = [n for n in LEVELS if n < window]
+    each = CELLS // COUNTERS
+
+    def ask(table: pa.Table) -> pa.Table:
+        rows, bucket = [], table.column("bucket")[0].as_py()
+        counts = np.zeros((len(levels), CELLS), np.int64)
+        ids, texts, _ = mail.ordered(table)
+        for n, p, _ in parts_of(ids, texts, window, part):
+            cut, group = p.screens(bits, groups)
+            rows += [(bucket, n, g, mail.pack_sorted(cut[s])) for g, s in group_slices(group)]
+            for k, level in enumerate(levels):
+                counts[k] += np.bincount((p.prefixes(level) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        for c in range(COUNTERS):
+            rows.append((bucket, -1, -1 - c, mail.squeeze(counts[:, c * each : (c + 1) * each].astype("<u4").tobytes())))
+        release()
+        return mail.mail_table(rows)
+
+    def screen(table: pa.Table) -> pa.Table:
+        group = table.column("grp")[0].as_py()
+        where = list(zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), strict=True))
+        payloads = table.column("payload")
+        if group < 0:  # prefixes that begin too many suffixes
+            total = sum(np.frombuffer(mail.stretch(p.as_py()), "<u4").astype(np.int64) for p in payloads)
+            mask = mail.squeeze(np.packbits(total > heavy).tobytes())
+            return mail.mail_table([(bucket, n, group, mask) for bucket, n in where])
+        found = [mail.unpack_sorted(p.as_py()) for p in payloads]
+        every = np.sort(np.concatenate(found))
+        twice = every[1:][every[1:] == every[:-1]]
         rows = []
-        again = docs != least
-        for bucket, d, c in mail.answers(docs[again], labels[again], groups):
-            rows.append((bucket, bucket, d, c, None))
-        first = np.concatenate([[True], labels[1:] != labels[:-1]])
-        labels, docs, group = labels[first], docs[first], group[first]
-        order = np.argsort(group, kind="stable")
-        labels, docs, group = labels[order], docs[order], group[order]
-        for g, part in group_slices(group):
-            known, number = np.unique(docs[part], return_inverse=True)
-            kind = "<u2" if len(known) < 1 << 16 else "<u4"
-            rows.append((g, -1, mail.pack_sorted(labels[part]), number.astype(kind).tobytes(), mail.pack_sorted(known)))
-        return mail.mail_batch(rows)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for ids, texts in slices(batches):
-            words = Words(texts)
-            first, labels = words.windows(window)
-            parts.append((ids[words.text_of[first]], labels, prefix_groups(words.hashes, first, labels, heavy, groups)))
-            size += len(first)
-            if size >= BATCH:
-                yield flush(parts)
-                parts, size = [], 0
-        if size:
-            yield flush(parts)
-
-    def subtree(asked: pa.Table) -> pa.Table:
-        labels, docs = [], []
-        for a, b, c in zip(*(asked.column(x).to_pylist() for x in "abc"), strict=True):
-            known, own = mail.unpack_sorted(c).view(np.int64), mail.unpack_sorted(a)
-            labels.append(own)
-            docs.append(known[np.frombuffer(b, "<u2" if len(known) < 1 << 16 else "<u4")])
-        labels, docs, least, _ = shared_nodes(np.concatenate(labels), np.concatenate(docs))
-        again = docs != least
-        return mail.answer_table(list(mail.answers(docs[again], labels[again], groups)))
-
-    def finish(batches: Iterator[pa.RecordBatch], asked: mail.Asked) -> pa.Table:
-        out: list[tuple] = []
-        for ids, texts in slices(batches):
-            cut = set(np.flatnonzero(asked.names(ids)).tolist())
-            for i, text in enumerate(texts):
-                if i not in cut:
-                    words = text.split()
-                    out.append((ids[i], len(words), 0, b" ".join(words), []))
-            some = sorted(cut)
-            if not some:
+        for (bucket, n), cut in zip(where, found, strict=True):
+            hit = twice[np.minimum(np.searchsorted(twice, cut), len(twice) - 1)] == cut if len(twice) else np.zeros(len(cut), bool)
+            if hit.any():
+                rows.append((bucket, n, group, mail.squeeze(np.packbits(hit).tobytes())))
+        release()
+        return mail.mail_table(rows)
+
+    def leaves(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, bucket = [], (left if len(left) else right).column("bucket")[0].as_py()
+        told = mail.letters(right)
+        many = np.concatenate([np.unpackbits(np.frombuffer(mail.stretch(told[-1, -1 - c]), np.uint8)).reshape(len(levels), each) for c in range(COUNTERS)], 1).astype(bool)
+        ids, texts, _ = mail.ordered(left)
+        for n, p, known in parts_of(ids, texts, window, part):
+            for group, chosen in sent(p, told, n, many):
+                matrix = p.words[p.head[chosen][:, None] + np.arange(window)]
+                used, local = np.unique(matrix, return_inverse=True)
+                names = list(known)
+                kind = "<u2" if len(used) <= 1 << 16 else "<u4"
+                body = b"\n".join(names[w] for w in used.tolist())
+                columns = np.ascontiguousarray(local.reshape(matrix.shape).T).astype(kind).ravel()
+                fields = [mail.squeeze(body), mail.planes(columns), mail.planes(p.least[chosen].astype("<i8")), mail.planes(chosen.astype("<u4"))]
+                head = np.array([len(used), *(len(f) for f in fields)], "<u4").tobytes()
+                rows.append((bucket, n, group, head + b"".join(fields)))
+        release()
+        return mail.mail_table(rows)
+
+    def sent(p: Part, told: dict[tuple[int, int], bytes], n: int, many: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(group, classes) of what the screens have left of a part."""
+        cut, group = p.screens(bits, groups)
+        open_ = np.zeros(len(cut), bool)
+        for g, s in group_slices(group):
+            if (n, g) in told:
+                open_[s] = np.unpackbits(np.frombuffer(mail.stretch(told[n, g]), np.uint8), count=s.stop - s.start).astype(bool)
+        chosen = np.flatnonzero(open_[np.searchsorted(cut, p.label >> np.uint64(64 - bits))])
+        to, left = mix(p.label[chosen]), np.arange(len(chosen))
+        for k, level in enumerate(levels):
+            prefix = p.prefixes(level)[chosen[left]]
+            light = ~many[k][(prefix & np.uint64(CELLS - 1)).astype(np.int64)]
+            to[left[light]] = chain(prefix[light], np.full(light.sum(), level, np.uint64))
+            left = left[~light]
+        to = spread(to, groups)
+        order = np.argsort(to, kind="stable")
+        for g, s in group_slices(to[order]):
+            yield g, chosen[order[s]]
+
+    def subtree(table: pa.Table) -> pa.Table:
+        group = table.column("grp")[0].as_py()
+        read = []
+        for payload in table.column("payload").to_pylist():
+            head = np.frombuffer(payload[:20], "<u4").astype(np.int64)
+            a, b, c, d = 20 + np.cumsum(head[1:])
+            names = mail.stretch(payload[20:a]).split(b"\n")
+            local = mail.unplanes(payload[a:b], "<u2" if head[0] <= 1 << 16 else "<u4").reshape(window, -1).T
+            read.append((names, local, mail.unplanes(payload[b:c], "<i8"), payload[c:d]))
+        alphabet = sorted({w for names, *_ in read for w in names})
+        rank = {w: i for i, w in enumerate(alphabet)}
+        suffixes = np.concatenate([np.fromiter(map(rank.__getitem__, names), np.int32, len(names))[local] for names, local, *_ in read])
+        doc = np.concatenate([r[2] for r in read])
+        order = sorted_suffixes(suffixes, len(alphabet))
+        node = nodes(common_prefixes(suffixes[order]), window)
+        least = np.full(node[-1] + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, doc[order])
+        first = np.empty(len(doc), np.int64)
+        first[order] = least[node]
+        rows, at = [], 0
+        for bucket, n, (*_, d, number) in zip(table.column("bucket").to_pylist(), table.column("part").to_pylist(), read, strict=True):
+            mine = first[at : at + len(d)]
+            at += len(d)
+            later = mine < d
+            if later.any():
+                numbers = mail.planes(mail.unplanes(number, "<u4")[later])
+                rows.append((bucket, n, group, len(numbers).to_bytes(4, "little") + numbers + mail.planes(mine[later].astype("<i8"))))
+        release()
+        return mail.mail_table(rows)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = defaultdict(list)
+        for n, payload in zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True):
+            told[n].append(payload)
+        ids, texts, _ = mail.ordered(left)
+        gone: dict[int, list[np.ndarray]] = defaultdict(list)
+        runs: dict[int, list[dict]] = defaultdict(list)
+        for n, p, _ in parts_of(ids, texts, window, part):
+            least = p.least.copy()
+            for payload in told[n]:
+                cut = 4 + int.from_bytes(payload[:4], "little")
+                least[mail.unplanes(payload[4:cut], "<u4")] = mail.unplanes(payload[cut:], "<i8")
+            least = least[p.of]
+            again = np.flatnonzero(least < p.doc)
+            row, place, source = p.row[again], p.place[again], least[again]
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1])]) if len(again) else np.empty(0, bool)
+            at = np.flatnonzero(new)
+            for i, size in zip(at.tolist(), np.diff(np.append(at, len(again))).tolist(), strict=True):
+                runs[int(row[i])].append({"first": int(place[i]), "words": size + window - 1, "source": int(source[i])})
+            for r, s in group_slices(row):
+                gone[r].append(place[s])
+        out = []
+        for row, text in enumerate(texts):
+            words = text.split()
+            if row not in gone:
+                out.append((ids[row], len(words), 0, b" ".join(words), []))
                 continue
-            words = Words([texts[i] for i in some])
-            first, labels = words.windows(window)
-            gone = covered(first[asked.has(ids[some][words.text_of[first]], labels)], window, len(words.hashes))
-            for k, i in enumerate(some):
-                mine = gone[words.first[k] : words.first[k + 1]]
-                edges = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
-                kept = [w for w, g in zip(texts[i].split(), mine.tolist(), strict=True) if not g]
-                runs = [{"first": a, "words": b - a} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
-                out.append((ids[i], len(mine), int(mine.sum()), b" ".join(kept), runs))
+            steps = np.zeros(len(words) + 1, np.int64)
+            places = np.concatenate(gone[row])
+            np.add.at(steps, places, 1)
+            np.add.at(steps, places + window, -1)
+            cut = np.cumsum(steps[:-1]) > 0
+            out.append((ids[row], len(words), int(cut.sum()), b" ".join(w for w, c in zip(words, cut.tolist(), strict=True) if not c), runs[row]))
         doc_id, n_words, n_removed, kept, repeats = zip(*out, strict=True) if out else ([],) * 5
-        runs = pa.array(repeats, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))
-        return pa.table([pa.array(doc_id, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), runs], ["doc_id", "n_words", "n_removed", "kept", "repeats"])
+        kind = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("source", pa.int64())]))
+        release()
+        return pa.table([pa.array(doc_id, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(repeats, kind)], ["doc_id", "n_words", "n_removed", "kept", "repeats"])
 
-    schema = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<first:long,words:long>>"
-    return mail.exchange(docs, send, subtree, finish, groups, schema)
+    schema = "doc_id long, n_words long, n_removed long, kept string, repeats array<struct<first:long,words:long,source:long>>"
+    screened = own.texts.groupBy("bucket").applyInArrow(ask, mail.MAIL).groupBy("grp").applyInArrow(screen, mail.MAIL)
+    sent_ = own.texts.groupBy("bucket").cogroup(screened.groupBy("bucket")).applyInArrow(leaves, mail.MAIL)
+    answered = sent_.groupBy("grp").applyInArrow(subtree, mail.MAIL)
+    return own.texts.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(finish, schema)
 
 
+#: Windows are grouped by their words, so that the SQL shares no fingerprint with the operator.
 ORACLE = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13),
-v AS (SELECT s.doc_id, s.i, hash(array_to_string(ws[s.i:s.i + 12], ' ')) AS h FROM s JOIN w ON s.doc_id = w.doc_id),
+v AS (SELECT s.doc_id, s.i, array_to_string(ws[s.i:s.i + 12], ' ') AS h FROM s JOIN w ON s.doc_id = w.doc_id),
 g AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM v JOIN g USING (h) WHERE doc_id <> least),
 p AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id),
