@@ -1,15 +1,20 @@
 """Line deduplication with a sharded minimal perfect hash over distinct line hashes.
 
-A line's key is the line stripped of ASCII white space and lower-cased (A-Z). Keys of at least LEAST_LENGTH code points
-are hashed; each shard's task numbers its distinct hashes by a minimal perfect hash (levels of bit arrays; a hash that is
-alone in its cell gets the cell's rank, others go on to the next level) and keeps arrays of fingerprints, document counts
-and largest doc_ids in that order. What documents say of their lines is looked up in the arrays, and only lines to drop
-are answered. Where three or more documents of one batch hold a key, the batch sends their number and the largest of
-them, so that a line in a third of all documents costs a shard a few numbers for each batch.
+A line's key is the line stripped of ASCII white space and lower-cased (A-Z). Keys of at least LEAST_LENGTH code points are hashed.
+
+Counting: one row for each (hash, doc_id), then one for each hash with its number of documents and largest doc_id; both
+aggregations combine before the shuffle, so that a line in a third of all documents is a row for each task.
+Index: distinct hashes are dealt into shards of SHARD keys. A shard numbers its keys by a minimal perfect hash (levels of bit
+arrays; a key that is alone in its cell gets the cell's rank, others go on to the next level) and keeps arrays of
+fingerprints, counts and largest doc_ids in that order; its bytes are one row of a table in the shared folder. The keys themselves
+aren't kept.
+Probing: each bucket of documents sends its distinct hashes to the shards that they belong to, packed, one row for each shard.
+A shard's task looks them up in the arrays and answers which are repeated, and the largest doc_id. Lines are never joined.
 
 Null and empty texts are one empty line. Short keys stay. A document that holds a key several times counts once and, if
-it is the last to hold it, keeps all its lines. Rows that repeat a doc_id within one task's batch count as one document.
-Other columns are ignored.
+it is the last to hold it, keeps all its lines. Rows that repeat a doc_id are one document for counting, and each row loses its own
+lines. Rows without doc_id give no result; without_repeated_lines() returns them as they are. Other columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.llm import mail
-from caseframe.llm.common import group_slices, mix, shuffle_width, slices
+from caseframe.llm.common import Written, group_slices, mix, slices, tidy, whole_texts
 
 LEAST_LENGTH, LEAST_DOCS = 20, 3
 WHITE = b" \t\n\x0b\x0c\r"
-#: Lines that a task gathers before it sends them.
-BATCH = 1_000_000
+#: Keys of a shard of the index.
+SHARD = 1_000_000
+_INDEX = "grp int, payload binary"
+_HASH = np.dtype([("hash", "<u8"), ("print", "<u4")])
 
 
 def line_key(line: bytes) -> bytes:
@@ -44,26 +51,30 @@ def line_hash(key: bytes) -> bytes:
     return hashlib.blake2b(key, digest_size=12).digest()
 
 
-_HASH = np.dtype([("hash", "<u8"), ("print", "<u4")])
-
-
-def code(hashes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    return mix(hashes ^ (prints.astype(np.uint64) << np.uint64(32)))
+def text_hashes(text: bytes, least_length: int) -> tuple[list[int], list[bytes]]:
+    """(numbers of the lines whose keys are long enough, their hashes)."""
+    keys = [(i, k) for i, k in enumerate(map(line_key, text.split(b"\n"))) if long_enough(k, least_length)]
+    return [i for i, _ in keys], [line_hash(k) for _, k in keys]
 
 
 class PerfectHash:
-    """Numbers n distinct 64-bit keys 0 to n - 1; keys outside may get any number."""
+    """Numbers n distinct 64-bit keys 0 to n - 1; keys outside get -1 or any number."""
 
     def __init__(self, keys: np.ndarray, spread: float = 1.6):
-        self.levels, base, level = [], 0, 0
+        self.levels: list[np.ndarray] = []
         while len(keys):
             size = max(8, int(len(keys) * spread))
-            cell = self._cell(keys, level, size)
+            cell = self._cell(keys, len(self.levels), size)
             alone = np.bincount(cell, minlength=size) == 1
-            rank = np.cumsum(alone) - 1 + base
-            self.levels.append((size, alone, rank.astype(np.int64)))
+            keys = keys[~alone[cell]]
+            self.levels.append(alone)
+        self._rank()
+
+    def _rank(self) -> None:
+        self.ranks, base = [], 0
+        for alone in self.levels:
+            self.ranks.append(np.cumsum(alone) - 1 + base)
             base += int(alone.sum())
-            keys, level = keys[~alone[cell]], level + 1
         self.size = base
 
     @staticmethod
@@ -72,29 +83,43 @@ class PerfectHash:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, (size, alone, rank) in enumerate(self.levels):
-            cell = self._cell(keys[open_], level, size)
+        for level, (alone, rank) in enumerate(zip(self.levels, self.ranks, strict=True)):
+            cell = self._cell(keys[open_], level, len(alone))
             here = alone[cell]
             out[open_[here]] = rank[cell[here]]
             open_ = open_[~here]
         return out
 
+    def dump(self) -> bytes:
+        sizes = np.array([len(self.levels), *map(len, self.levels)], "<u4")
+        return sizes.tobytes() + b"".join(np.packbits(x).tobytes() for x in self.levels)
+
+    @classmethod
+    def load(cls, data: bytes) -> tuple[PerfectHash, int]:
+        """(the perfect hash, the bytes that it takes)."""
+        out, n = cls.__new__(cls), int(np.frombuffer(data, "<u4", 1)[0])
+        out.levels, at = [], 4 + 4 * n
+        for size in np.frombuffer(data, "<u4", n, 4).tolist():
+            taken = -(-size // 8)
+            out.levels.append(np.unpackbits(np.frombuffer(data, np.uint8, taken, at), count=size).astype(bool))
+            at += taken
+        out._rank()
+        return out, at
+
 
 class LineIndex:
-    """One shard: a perfect hash and arrays by its numbers. Hashes that two fingerprints share are kept apart by name."""
+    """One shard: a perfect hash of the 64-bit hashes, and fingerprints, counts and last documents by its numbers. Keys that share
+    a hash but not a fingerprint (one in 10 ** 19 pairs) lie behind the arrays, by hash."""
 
-    def __init__(self, hashes: np.ndarray, prints: np.ndarray, counts: np.ndarray, docs: np.ndarray):
+    def __init__(self, hashes: np.ndarray, prints: np.ndarray, counts: np.ndarray, last: np.ndarray):
         order = np.lexsort((prints, hashes))
-        hashes, prints = hashes[order], prints[order]
-        begins = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1])])) if len(hashes) else np.empty(0, np.int64)
-        hashes, prints = hashes[begins], prints[begins]
-        counts, docs = (np.add.reduceat(counts[order], begins), np.maximum.reduceat(docs[order], begins)) if len(begins) else (counts, docs)
+        hashes, prints, counts, last = hashes[order], prints[order], counts[order], last[order]
         first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.empty(0, bool)
         self.number = PerfectHash(hashes[first])
         at = self.number(hashes[first])
-        self.prints, self.counts, self.last = (np.empty(len(at), x.dtype) for x in (prints, counts, docs))
-        self.prints[at], self.counts[at], self.last[at] = prints[first], counts[first], docs[first]
-        self.shared = {(h, p): (n, d) for h, p, n, d in zip(*(x[~first].tolist() for x in (hashes, prints, counts, docs)), strict=True)}
+        self.prints, self.counts, self.last = (np.empty(len(at), kind) for kind in ("<u4", "<i8", "<i8"))
+        self.prints[at], self.counts[at], self.last[at] = prints[first], counts[first], last[first]
+        self.more = tuple(x[~first].astype(k) for x, k in ((hashes, "<u8"), (prints, "<u4"), (counts, "<i8"), (last, "<i8")))
 
     def probe(self, hashes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents that hold the key, the last of them); 0 and -1 for keys that are not here."""
@@ -103,90 +128,137 @@ class LineIndex:
         there[there] = self.prints[at[there]] == prints[there]
         count, last = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
         count[there], last[there] = self.counts[at[there]], self.last[at[there]]
-        for i in np.flatnonzero(~there) if self.shared else ():
-            count[i], last[i] = self.shared.get((int(hashes[i]), int(prints[i])), (0, -1))
+        for h, p, n, d in zip(*(x.tolist() for x in self.more), strict=True):
+            same = (hashes == np.uint64(h)) & (prints == np.uint32(p))
+            count[same], last[same] = n, d
         return count, last
 
+    def dump(self) -> bytes:
+        parts = [self.number.dump(), self.prints.tobytes(), self.counts.tobytes(), self.last.tobytes(), *(x.tobytes() for x in self.more)]
+        return np.array([len(self.prints), len(self.more[0])], "<u4").tobytes() + b"".join(parts)
+
+    @classmethod
+    def load(cls, data: bytes) -> LineIndex:
+        out, (n, more) = cls.__new__(cls), np.frombuffer(data, "<u4", 2).tolist()
+        out.number, at = PerfectHash.load(data[8:])
+        at += 8
+        arrays = []
+        for kind, size in (("<u4", n), ("<i8", n), ("<i8", n), ("<u8", more), ("<u4", more), ("<i8", more), ("<i8", more)):
+            arrays.append(np.frombuffer(data, kind, size, at))
+            at += size * np.dtype(kind).itemsize
+        out.prints, out.counts, out.last, out.more = arrays[0], arrays[1], arrays[2], tuple(arrays[3:])
+        return out
+
+
+def line_counts(docs: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
+    """hash, print, n (documents that hold the line) and last (the largest doc_id) for each distinct line."""
+
+    @tidy
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            docs_, hashes = [], []
+            for doc_id, text in zip(ids.tolist(), texts, strict=True):
+                own = set(text_hashes(text, least_length)[1])
+                docs_ += [doc_id] * len(own)
+                hashes += own
+            found = np.frombuffer(b"".join(hashes), _HASH)
+            yield pa.RecordBatch.from_arrays([pa.array(found["hash"].astype(np.int64)), pa.array(found["print"].astype(np.int64)), pa.array(docs_, pa.int64())], ["hash", "print", "doc_id"])
+
+    held = whole_texts(docs).mapInArrow(look, "hash long, print long, doc_id long").distinct()
+    return held.groupBy("hash", "print").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
+
+
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """In the order of the hashes, by their highest 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def build_index(counts: DataFrame, shards: int) -> DataFrame:
+    """grp (shard) and payload (its perfect hash and arrays)."""
+
+    def build(table: pa.Table) -> pa.Table:
+        hashes, prints, n, last = (table.column(c).to_numpy() for c in ("hash", "print", "n", "last"))
+        index = LineIndex(hashes.view(np.uint64), prints.astype(np.uint32), n, last)
+        return pa.table([pa.array([table.column("grp")[0].as_py()], pa.int32()), pa.array([index.dump()], pa.binary())], ["grp", "payload"])
+
+    grp = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * F.lit(shards), 32).cast("int")
+    return counts.withColumn("grp", grp).groupBy("grp").applyInArrow(build, _INDEX)
+
 
 def without_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The documents with all their columns and what is left of their texts; n_chars, where there is one, follows."""
+    """The documents with all their columns and what is left of their texts. A column n_chars, the number of code points of a
+    document's text in `documents`, is counted anew where a text has lost lines; null texts stay null."""
     left = drop_repeated_lines(docs, least_length, least_docs, carry=True)
-    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return left.select(*((own[c] if c in own else F.col("rest").getField(c)).alias(c) for c in docs.columns))
+    changed = F.col("n_dropped") > 0
+    rest = lambda c: F.col("rest").getField(c)
+    own = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.when(~rest("__no_text"), F.col("kept"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(rest("n_chars"))
+    named = left.select(*((own[c] if c in own else rest(c)).alias(c) for c in docs.columns))
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, carry: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least_length: int = LEAST_LENGTH, least_docs: int = LEAST_DOCS, carry: bool = False, shard: int = SHARD, unit: int = mail.UNIT) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept (the lines left, joined by a line end)."""
-    shards = 2 * shuffle_width(docs.sparkSession)
-    assert least_docs >= 2
-
-    def flush(docs: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((docs, found["print"], found["hash"]))
-        docs, found = docs[order], found[order]
-        new = np.concatenate([[True], found[1:] != found[:-1]])
-        one = new | np.concatenate([[True], docs[1:] != docs[:-1]])  # a document counts once for a key
-        docs, found, new = docs[one], found[one], new[one]
-        begins = np.flatnonzero(new)
-        size = np.diff(np.concatenate([begins, [len(docs)]]))
-        many = np.repeat(size >= least_docs, size)
-        last = np.zeros(len(docs), bool)
-        last[np.concatenate([begins[1:], [len(docs)]]) - 1] = True
+    counts = Written(line_counts(docs, least_length), "line-counts")
+    shards = -(-max(1, counts.df.count()) // shard)
+    index = Written(build_index(counts.df, shards), "line-index").df
+    counts.drop()
+    own = mail.bucketed(docs, carry, unit)
+
+    def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct hashes of a bucket by shard and hash, their shards)."""
+        found = np.unique(np.frombuffer(b"".join(h for t in texts for h in set(text_hashes(t, least_length)[1])), _HASH))
+        return found, shard_of(found["hash"], shards)
+
+    def ask(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        found, shard_ = distinct(mail.ordered(table)[1])
+        return mail.mail_table([(bucket, 0, s, found[at].tobytes()) for s, at in group_slices(shard_)])
+
+    def look_up(asked: pa.Table, index: pa.Table) -> pa.Table:
         rows = []
-        gone = many & ~last
-        for bucket, d, c in mail.answers(docs[gone], code(found["hash"][gone], found["print"][gone]), shards):
-            rows.append((bucket, bucket, d, c, None))
-        told = np.flatnonzero(~gone)
-        number = np.where(many, np.repeat(size, size), 1)[told]
-        docs, found = docs[told], found[told]
-        shard = (found["hash"] % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        docs, found, number, shard = docs[order], found[order], number[order], shard[order]
-        for s, part in group_slices(shard):
-            rows.append((s, -1, found[part].tobytes(), number[part].astype("<u4").tobytes(), docs[part].astype("<i8").tobytes()))
-        return mail.mail_batch(rows)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, hashes = [], []
-        for ids, texts in slices(batches):
-            for doc_id, text in zip(ids.tolist(), texts, strict=True):
-                keys = {k for k in map(line_key, text.split(b"\n")) if long_enough(k, least_length)}
-                docs += [doc_id] * len(keys)
-                hashes += map(line_hash, keys)
-            if len(docs) >= BATCH:
-                yield flush(np.array(docs, np.int64), np.frombuffer(b"".join(hashes), _HASH))
-                docs, hashes = [], []
-        if docs:
-            yield flush(np.array(docs, np.int64), np.frombuffer(b"".join(hashes), _HASH))
-
-    def shard(asked: pa.Table) -> pa.Table:
-        found, counts, docs = (np.frombuffer(b"".join(asked.column(x).to_pylist()), kind) for x, kind in zip("abc", (_HASH, "<u4", "<i8"), strict=True))
-        hashes, prints = found["hash"].copy(), found["print"].copy()
-        count, last = LineIndex(hashes, prints, counts.astype(np.int64), docs).probe(hashes, prints)
-        gone = (count >= least_docs) & (last != docs)
-        return mail.answer_table(list(mail.answers(docs[gone], code(hashes[gone], prints[gone]), shards)))
-
-    def finish(batches: Iterator[pa.RecordBatch], asked: mail.Asked) -> pa.Table:
-        doc_id, n_lines, n_dropped, kept = [], [], [], []
-        for ids, texts in slices(batches):
-            doc_id += ids.tolist()
-            for i, named in zip(range(len(ids)), asked.names(ids).tolist(), strict=True):
-                if not named:
-                    n_lines.append(texts[i].count(b"\n") + 1)
-                    n_dropped.append(0)
-                    kept.append(texts[i])
-                    continue
-                lines = texts[i].split(b"\n")
-                keys = [line_key(x) for x in lines]
-                long = [j for j, k in enumerate(keys) if long_enough(k, least_length)]
-                found = np.frombuffer(b"".join(line_hash(keys[j]) for j in long), _HASH)
-                gone = asked.has(np.full(len(long), ids[i]), code(found["hash"], found["print"]))
-                drop = {j for j, g in zip(long, gone.tolist(), strict=True) if g}
-                n_lines.append(len(lines))
-                n_dropped.append(len(drop))
-                kept.append(b"\n".join(x for j, x in enumerate(lines) if j not in drop))
-        return pa.table([pa.array(doc_id, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
-
-    return mail.exchange(docs, send, shard, finish, shards, "doc_id long, n_lines long, n_dropped long, kept string", carry)
+        if len(asked):
+            arrays = LineIndex.load(index.column("payload")[0].as_py())
+            for bucket, s, payload in zip(*(asked.column(c).to_pylist() for c in ("bucket", "grp", "payload")), strict=True):
+                found = np.frombuffer(payload, _HASH)
+                count, last = arrays.probe(found["hash"].copy(), found["print"].copy())
+                many = np.flatnonzero(count >= least_docs)
+                if len(many):
+                    rows.append((bucket, 0, s, np.array(len(many), "<u4").tobytes() + many.astype("<u4").tobytes() + last[many].astype("<i8").tobytes()))
+        return mail.mail_table(rows)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, texts, order = mail.ordered(left)
+        told = mail.letters(right)
+        found, shard_ = distinct(texts) if told else (None, None)
+        last: dict[bytes, int] = {}
+        for s, at in group_slices(shard_) if told else ():
+            if (0, s) in told:
+                payload = told[0, s]
+                n = int(np.frombuffer(payload, "<u4", 1)[0])
+                names = found[at][np.frombuffer(payload, "<u4", n, 4)]
+                last |= {h.tobytes(): d for h, d in zip(names, np.frombuffer(payload, "<i8", n, 4 + 4 * n).tolist(), strict=True)}
+        n_lines, n_dropped, kept = [], [], []
+        for doc_id, text in zip(ids.tolist(), texts, strict=True):
+            numbers, hashes = text_hashes(text, least_length) if last else ([], [])
+            drop = {i for i, h in zip(numbers, hashes, strict=True) if last.get(h, doc_id) != doc_id}
+            n_lines.append(text.count(b"\n") + 1)
+            n_dropped.append(len(drop))
+            kept.append(b"\n".join(x for i, x in enumerate(text.split(b"\n")) if i not in drop) if drop else text)
+        columns = [pa.array(ids, pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+        names = ["doc_id", "n_lines", "n_dropped", "kept"]
+        if carry:
+            columns.append(left.column("rest").take(pa.array(order)).combine_chunks())
+            names.append("rest")
+        return pa.table(columns, names)
+
+    schema = docs.sparkSession.createDataFrame([], "doc_id long, n_lines long, n_dropped long, kept string").schema
+    if carry:
+        schema = schema.add("rest", own.texts.schema["rest"].dataType)
+    asked = own.texts.groupBy("bucket").applyInArrow(ask, mail.MAIL)
+    answered = asked.groupBy("grp").cogroup(index.groupBy("grp")).applyInArrow(look_up, mail.MAIL)
+    return own.texts.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(finish, schema)
 
 
 ORACLE = r"""
