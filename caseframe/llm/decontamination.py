@@ -1,16 +1,16 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams, in native expressions only.
 
-The set of distinct item windows goes to every task as the hash set of an IN expression, and so does the set of their
-rarest-looking words (each window's longest). A document's words are looked up in the small set; only windows around hits
-are joined to strings and looked up in the large one, as strings, so that no other check is needed. Documents are not
-shuffled; what is found, a few strings for each contaminated document, is joined to the items by the window's string.
+The distinct item windows are broadcast as a hash set of strings. A scan of the documents makes every window of their words, one at
+a time (a row each inside one stage, never shuffled), and keeps those that the set holds: equal strings, so that no other check is
+needed. What is found, a few rows for each contaminated document, and one row for each document are then grouped by document.
 
-Both sets are bounded by MOST_WINDOWS, which is checked; a larger benchmark takes the shuffled join of all document
-windows with all item windows instead, with the same rows.
+BROADCAST bounds the windows that are broadcast at once. A larger set is dealt into as many sets as that takes, each of which scans
+the documents: the same plan at every size, and documents are shuffled at none.
 
 Words are runs of other than `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Null and empty texts have none, on
 either side. An item of fewer than WINDOW words is one window of them all. Items with equal texts occur together, item_ids
-that repeat count once. Rows that repeat a doc_id are looked at one by one. Other columns are ignored.
+that repeat count once, and items without item_id are left out. Rows that repeat a doc_id are looked at one by one; rows without
+doc_id give no result, and remove_contaminated() keeps them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from caseframe.llm.common import Written, whole_texts
 
 WINDOW = 10
-#: Distinct item windows that are broadcast.
-MOST_WINDOWS = 50_000
+#: Distinct item windows that are broadcast at once (about 60 MB).
+BROADCAST = 400_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,71 +42,37 @@ def windows(of: Column, n: Column | int) -> Column:
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, n (words of the window) and window."""
-    items = benchmark.select("item_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).where(F.size("words") > 0)
+    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
     return items.select("item_id", n.alias("n"), F.explode(windows(F.col("words"), n)).alias("window")).distinct()
 
 
-def _window_at(i: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.col("words"), i + 1, F.lit(n)), " ")
-
-
-def _begins(n: int, own: list[str]) -> Column:
-    """Where windows of n words that are in the set begin, ascending; only windows around an anchor are looked at."""
-    last = F.size("words") - n
-    around = F.transform("anchors", lambda i: F.when((last >= 0) & (i - n + 1 <= last), F.sequence(F.greatest(i - n + 1, F.lit(0)), F.least(i, last))).otherwise(F.array().cast("array<int>")))
-    return F.filter(F.array_sort(F.array_distinct(F.flatten(around))), lambda i: _window_at(i, n).isin(own))
-
-
-def _found_by_sets(docs: DataFrame, sets: dict[int, list[str]]) -> DataFrame:
-    """row, doc_id, n_words, n_hit and found (distinct windows), without a join."""
-    anchors = sorted({max(w.split(" "), key=lambda x: (len(x), x)) for ws in sets.values() for w in ws})
-    hits = docs.withColumn("anchors", F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(anchors), i))))
-    for n, own in sets.items():
-        hits = hits.withColumn(f"begins_{n}", _begins(n, own))
-
-    def inside(n: int) -> Column:
-        return F.transform(f"begins_{n}", lambda i: F.sequence(i, i + n - 1))
-
-    def found(n: int) -> Column:
-        return F.transform(f"begins_{n}", lambda i: _window_at(i, n))
-
-    covered = F.array_distinct(F.flatten(F.concat(*map(inside, sets))))
-    return hits.select("row", "doc_id", F.size("words").alias("n_words"), F.size(covered).alias("n_hit"), F.array_distinct(F.concat(*map(found, sets))).alias("found"))
-
-
-def _found_by_join(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same through a join of all windows of the documents with those of the items."""
-
-    def places(n: int) -> Column:
-        return F.transform(windows(F.col("words"), n), lambda w, i: F.struct(F.lit(n).alias("n"), i.alias("at"), w.alias("window")))
-
-    known = items.select("n", "window").distinct()
-    hits = docs.select("row", F.explode(F.flatten(F.array(*map(places, lengths)))).alias("x")).select("row", "x.*").join(known, ["n", "window"])
-    covered = F.array_distinct(F.flatten(F.collect_list(F.sequence("at", F.col("at") + F.col("n") - 1))))
-    found = hits.groupBy("row").agg(F.size(covered).alias("n_hit"), F.collect_set("window").alias("found"))
-    return docs.join(found, "row", "left").select("row", "doc_id", F.size("words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("found"))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence), items (sorted item_ids as strings that occur), contaminated."""
-    items = Written(item_windows(benchmark, window), "item-windows").df
-    known = items.select("n", "window").distinct().limit(most_windows + 1).collect()
-    texts = whole_texts(docs).select("doc_id", words(F.col("text")).alias("words")).withColumn("row", F.monotonically_increasing_id())
-    if not known:
-        found = texts.select("row", "doc_id", F.size("words").alias("n_words"), F.lit(0).alias("n_hit"), F.array().cast("array<string>").alias("found"))
-    elif len(known) <= most_windows:
-        found = _found_by_sets(texts, {n: sorted(r["window"] for r in known if r["n"] == n) for n in sorted({r["n"] for r in known})})
-    else:
-        stored = Written(texts, "document-words").df
-        found = _found_by_join(stored, items, sorted(r["n"] for r in items.select("n").distinct().collect()))
-    found = Written(found, "windows-found").df  # one narrow row for each document
-    item = items.select("window", F.col("item_id").cast("string").alias("item"))
-    names = found.where("n_hit > 0").select("row", F.explode("found").alias("window")).join(F.broadcast(item) if items.count() <= 2 * most_windows else item, "window")
-    names = names.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    clean = found.where("n_hit = 0").select("doc_id", "n_words", "n_hit", F.array().cast("array<string>").alias("items"))
-    hit = found.where("n_hit > 0").join(names, "row").select("doc_id", "n_words", "n_hit", "items")
-    return clean.unionByName(hit).select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    items = item_windows(benchmark, window)
+    known = Written(items.groupBy("n", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "item-windows").df
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # at most `window` rows
+    blocks = -(-max(1, known.count()) // most)
+
+    texts = whole_texts(docs).select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("print"), words(F.col("text")).alias("words"))
+    # Place -1 is the document itself.
+    places = texts.select("doc_id", "print", "words", F.size("words").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
+    first = (lengths or [window])[0]
+    each = places.withColumn("n", F.explode(F.array(*map(F.lit, lengths or [window])))).where(F.when(F.col("at") < 0, F.col("n") == first).otherwise(F.col("at") + F.col("n") <= F.col("n_words")))
+    text = F.when(F.col("at") >= 0, F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " "))
+    each = each.select("doc_id", "print", "n_words", "at", "n", text.alias("window"))
+    columns = ["doc_id", "print", "n_words", "at", "n", "items"]
+    sets = [known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).select("window", "items") for b in range(blocks)]
+    hits = each.join(F.broadcast(sets[0]), "window", "left").where((F.col("at") < 0) | F.col("items").isNotNull()).select(columns)
+    for block in sets[1:]:
+        hits = hits.unionByName(each.join(F.broadcast(block), "window").select(columns))
+
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("at") >= 0, F.sequence("at", F.col("at") + F.col("n") - 1))))))
+    found = hits.groupBy("doc_id", "print").agg(
+        F.max("n_words").cast("long").alias("n_words"), covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("at") < 0).alias("rows")
+    )
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))  # rows of one doc_id and text
+    return rows.select("doc_id", "n_words", "n_hit", "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
