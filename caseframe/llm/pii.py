@@ -1,21 +1,22 @@
 """Personal data: base patterns, and a linear-chain conditional random field for the ways of writing that they miss.
 
-Base spans are the leftmost non-overlapping matches of fixed patterns with their checks. The field labels tokens O, B-kind
-or I-kind from word-shape features (character class, length, cue words, neighbours' shapes, blanks before). It is trained here by
-gradient ascent on the likelihood of a small labelled table, and decoded by Viterbi in numpy, many stretches of text at a
-time. A span that it finds is added if it overlaps no base span and its digits or parts pass the kind's check, so that
-failing numbers (Luhn, parts above 255) do not come back.
-
-Only tokens within REACH of a trigger (a digit, an at sign, a dot between blanks, a written "dot", or a written "at" that a host
-may follow) are decoded. No span without a trigger passes its check: addresses have an at sign or a written one before a host,
-and all other kinds have digits. Tests compare with decoding whole texts.
-
-Null and empty texts have no spans. Rows that repeat a doc_id are looked at one by one; other columns are ignored.
-Offsets count code points, ends are exclusive.
+Base spans are the leftmost non-overlapping matches of fixed patterns with their checks. The field labels every token of every
+text O, B-kind or I-kind from word-shape features (character class, length, cue words, neighbours' shapes, blanks before). It is
+trained here by gradient ascent on the likelihood of a small labelled table (once for a table: the weights are stored
+in the shared folder under its digest), and decoded by Viterbi in numpy, many stretches of text at a time. A span that it finds is
+added if it overlaps no base span and holds what its kind must: digits that pass the kind's check, or an at sign
+and a dot, written in any way, between names. Failing numbers (Luhn, parts above 255) do not come back.
+
+Texts are decoded whole, in stretches of STRETCH tokens; each is decoded with OVERLAP tokens more on both sides, whose labels
+only count in their own stretch. So a task holds a bounded number of tokens, however long a text is.
+
+Null and empty texts have no spans. Rows that repeat a doc_id are looked at one by one, rows without doc_id give no result (and
+redact() keeps them); other columns are ignored. An empty table gives no rows. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import whole_texts
+from caseframe.llm.common import release, shared_folder, whole_texts
 
 #: The kinds, in the order of spans that start together.
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens around a trigger that are decoded.
-REACH = 12
+#: Tokens that a stretch labels, tokens on each side that it sees besides, and tokens (with padding) decoded at once.
+STRETCH, OVERLAP, AT_ONCE = 256, 32, 200_000
 LABELLED_ROWS = 700
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -107,8 +108,8 @@ def labelled_rows(rows: int, seed: int = 7) -> list[tuple[str, list[tuple[str, i
         return next(body + c for c in "0123456789" if luhn(body + c))
 
     def email() -> str:
-        at = pick((" (at) ", " [at] ", " at ", " @ ", "@", "(at)", "[at]", " arobase ", " arroba ", " AT "))
-        dot = pick((" (dot) ", " [dot] ", " dot ", " . ", " punkt ", " punto ", " point ", " DOT ", "[dot]", "(dot)", ".", ".", "."))
+        at = pick((" (at) ", " [at] ", " at ", " @ ", "@", "(at)", "[at]", " arobase ", " arroba ", " AT ", " -at- ", "_at_", " {at} "))
+        dot = pick((" (dot) ", " [dot] ", " dot ", " . ", " punkt ", " punto ", " point ", " DOT ", "[dot]", "(dot)", " -dot- ", "_dot_", ".", ".", "."))
         host = [word(), *([word()] if r.random() < 0.3 else []), pick(("com", "org", "net", "de", "fr", "es", "example"))]
         name = word() + pick(("", ".", "_", dot)) + pick(("", word(), number(2))) if r.random() < 0.6 else word()
         return name.rstrip("._ ") + at + dot.join(host)
@@ -158,9 +159,7 @@ def labelled_rows(rows: int, seed: int = 7) -> list[tuple[str, list[tuple[str, i
 # ---------------------------------------------------------------------------------------------------------------
 # features
 
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S", re.UNICODE)
-_DOT = r"\s?[\[({<]?\s?(?:\.|dot|punkt|punto|point)\s?[\])}>]?\s?"
-TRIGGER = re.compile(rf"[0-9@]|\s\.\s|(?i:\b(?:dot|punkt|punto|point)\b|\b(?:at|arobase|arroba)\b(?=\s?[\])}}>]?\s?[\w-]+{_DOT}[\w-]))")
+TOKEN = re.compile(r"\s+|[^\W\d_]+|[0-9]+|\S", re.UNICODE)
 AT_WORDS = frozenset(("at", "arobase", "arroba"))
 DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
 CUES = {w: i for i, ws in enumerate((("mail", "email", "contact", "write"), ("host", "server", "ip"), ("card", "visa", "karte"), ("tel", "phone", "call", "telefon", "fax", "mobile"))) for w in ws}
@@ -168,8 +167,10 @@ SHAPES = ("<end>", "AT", "DOT", "cue0", "cue1", "cue2", "cue3", "d1", "d2", "d3"
 SHAPE = {s: i for i, s in enumerate(SHAPES)}
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _N, _S = len(LABELS), len(SHAPES)
-#: Features of a place: own shape, two shapes on each side, pairs with the neighbours, blank before with the shape.
-WIDTH = 5 * _S + 2 * _S * _S + 2 * _S
+#: Tables of weights by place: two before; before and own; own and after; two after; own with a blank before it or not.
+TABLES = (_S, _S * _S, _S * _S, _S, 2 * _S)
+WIDTH = sum(TABLES)
+_FROM = tuple(int(x) for x in np.cumsum((0, *TABLES[:-1])))
 
 
 def shape(token: str) -> int:
@@ -192,62 +193,41 @@ def shape(token: str) -> int:
     return SHAPE.get(token, SHAPE["other"])
 
 
-class Stretch:
-    """A run of tokens of a text: spans in code points, shapes, and whether a blank stands before."""
-
-    def __init__(self, text: str, tokens: list[tuple[int, int]]):
-        self.tokens = tokens
-        self.shapes = np.fromiter((shape(text[a:b]) for a, b in tokens), np.int64, len(tokens))
-        self.blank = np.fromiter((a == 0 or text[a - 1].isspace() for a, _ in tokens), np.int64, len(tokens))
-
-    def features(self) -> np.ndarray:
-        padded = np.concatenate([[0, 0], self.shapes, [0, 0]])
-        around = [padded[i : i + len(self.shapes)] + i * _S for i in range(5)]
-        own, before, after = self.shapes, padded[1:-3], padded[3:-1]
-        base = 5 * _S
-        return np.stack([*around, base + before * _S + own, base + _S * _S + own * _S + after, base + 2 * _S * _S + self.blank * _S + own], 1)
-
-
-def stretches(text: str, whole: bool = False) -> Iterator[Stretch]:
-    """The tokens within REACH of a trigger, as runs."""
-    if whole:
-        tokens = [m.span() for m in TOKEN.finditer(text)]
-        if tokens:
-            yield Stretch(text, tokens)
-        return
-    triggers = [m.start() for m in TRIGGER.finditer(text)]
-    begin = 0
-    while begin < len(triggers):
-        # Characters that surely hold REACH tokens on each side; neighbours in reach of each other join.
-        end = begin
-        left = _back(text, triggers[begin])
-        right = _ahead(text, triggers[end])
-        while end + 1 < len(triggers) and triggers[end + 1] <= right:
-            end += 1
-            if triggers[end] + 1 > right - 1 or end + 1 == len(triggers) or triggers[end + 1] > right:
-                right = _ahead(text, triggers[end])
-        yield Stretch(text, [m.span() for m in TOKEN.finditer(text, left, right)])
-        begin = end + 1
-
-
-def _ahead(text: str, at: int) -> int:
-    end = at
-    for n, m in enumerate(TOKEN.finditer(text, at)):
-        end = m.end()
-        if n == REACH:
-            break
-    return max(end, at + 1)
-
-
-def _back(text: str, at: int) -> int:
-    """Where about REACH tokens before `at` begin, at a blank or within one line of 200 characters."""
-    left = max(0, at - 200)
-    spans = [m.start() for m in TOKEN.finditer(text, left, at)]
-    keep = spans[-REACH:] if len(spans) > REACH else spans
-    start = keep[0] if keep else at
-    while start > 0 and start > at - 400 and not text[start - 1].isspace():
-        start -= 1  # a run of letters or digits is one token
-    return start
+class Shapes(dict):
+    """token -> shape, remembered; -1 for white space."""
+
+    def __missing__(self, token: str) -> int:
+        found = -1 if token.isspace() else shape(token)
+        if len(token) <= 24 and len(self) < 300_000:
+            self[token] = found
+        return found
+
+
+class Tokens:
+    """A text's tokens: where they begin and end in code points, their shapes, and whether a blank stands before."""
+
+    def __init__(self, text: str, known: Shapes):
+        parts, at = [(np.empty(0, np.int32), np.empty(0, np.int8), 0)], 0
+        while at < len(text):  # Python objects of a part of the text at a time, cut at a blank
+            blank = re.compile(r"\s").search(text, at + 200_000)
+            end = blank.start() if blank else len(text)
+            found = TOKEN.findall(text[at:end])
+            parts.append((np.fromiter(map(len, found), np.int32, len(found)), np.fromiter(map(known.__getitem__, found), np.int8, len(found)), at))
+            at = end
+        length, shapes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        ends = np.cumsum(length, dtype=np.int64)
+        blank = np.concatenate([[True], shapes[:-1] < 0]) if len(shapes) else np.empty(0, bool)
+        own = shapes >= 0
+        self.starts, self.ends, self.shapes, self.blank = (ends - length)[own], ends[own], shapes[own], blank[own].astype(np.int8)
+
+    def __len__(self) -> int:
+        return len(self.shapes)
+
+
+def features(shapes: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """rows x tokens x tables: numbers of weights. Shapes are 0 (no token) beyond a text's ends; rows have two more on each side."""
+    before2, before, own, after, after2 = (shapes[:, i : shapes.shape[1] - 4 + i].astype(np.int32) for i in range(5))
+    return np.stack([before2, _FROM[1] + before * _S + own, _FROM[2] + own * _S + after, _FROM[3] + after2, _FROM[4] + blank.astype(np.int32) * _S + own], -1)
 
 
 # ---------------------------------------------------------------------------------------------------------------
@@ -272,37 +252,52 @@ class Field:
                         ok[i, j] = 0
         return ok
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return self.emit[features].sum(-2)
-
-    def decode(self, many: list[Stretch]) -> list[np.ndarray]:
-        """The best labels of each stretch; stretches of like length go through the recursion together."""
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(many)
-        order = sorted(range(len(many)), key=lambda i: len(many[i].tokens))
-        move = self.move + self.allowed()
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
-            length = np.array([len(many[i].tokens) for i in part])
-            longest = int(length.max())
-            emit = np.zeros((len(part), longest, _N))
-            for row, i in enumerate(part):
-                emit[row, : length[row]] = self.scores(many[i].features())
-            best, back = emit[:, 0] + move[0], np.zeros((len(part), longest, _N), np.int8)
-            for t in range(1, longest):
-                paths = best[:, :, None] + move
-                back[:, t] = paths.argmax(1)
-                best = np.where((t < length)[:, None], paths.max(1) + emit[:, t], best)
-            label = best.argmax(1)
-            labels = np.zeros((len(part), longest), np.int64)
-            for t in range(longest - 1, -1, -1):
-                inside = t < length
-                labels[inside, t] = label[inside]
-                if t:
-                    label = np.where(inside, back[np.arange(len(part)), t, label], label)
-            for row, i in enumerate(part):
-                out[i] = labels[row, : length[row]]
+    def decode(self, many: list[Tokens]) -> list[np.ndarray]:
+        """The best labels of each text's tokens. Stretches of like length go through the recursion together."""
+        out = [np.zeros(len(t), np.int8) for t in many]
+        cuts = [(i, at) for i, t in enumerate(many) for at in range(0, len(t), STRETCH)]
+        size = np.array([min(len(many[i]), at + STRETCH + OVERLAP) - max(0, at - OVERLAP) for i, at in cuts], np.int64)
+        order = np.argsort(size, kind="stable")
+        begin = 0
+        while begin < len(order):
+            end = begin + 1
+            while end < len(order) and (end + 1 - begin) * size[order[end]] <= AT_ONCE:
+                end += 1
+            part = [(*cuts[k], int(size[k])) for k in order[begin:end].tolist()]
+            longest = part[-1][2]
+            shapes, blank = np.zeros((len(part), longest + 4), np.int8), np.zeros((len(part), longest), np.int8)
+            for row, (i, at, n) in enumerate(part):
+                t, first = many[i], max(0, at - OVERLAP)
+                lo, hi = max(0, first - 2), min(len(t), first + n + 2)
+                shapes[row, 2 - (first - lo) : 2 - (first - lo) + hi - lo] = t.shapes[lo:hi]
+                blank[row, :n] = t.blank[first : first + n]
+            labels = self._viterbi(shapes, blank, np.array([n for _, _, n in part]))
+            for row, (i, at, _) in enumerate(part):
+                first, stop = max(0, at - OVERLAP), min(len(many[i]), at + STRETCH)
+                out[i][at:stop] = labels[row, at - first : stop - first]
+            begin = end
         return out
 
+    def _viterbi(self, shapes: np.ndarray, blank: np.ndarray, length: np.ndarray) -> np.ndarray:
+        move = (self.move + self.allowed()).astype(np.float32)
+        table, found = self.emit.astype(np.float32), features(shapes, blank)
+        emit = table[found[..., 0]]
+        for k in range(1, len(TABLES)):
+            emit += table[found[..., k]]
+        n, longest = blank.shape
+        best, back = emit[:, 0] + move[0], np.zeros((longest, n, _N), np.int8)
+        for t in range(1, longest):
+            paths = best[:, :, None] + move
+            back[t] = paths.argmax(1)
+            best = np.where((t < length)[:, None], paths.max(1) + emit[:, t], best)
+        label, labels, rows = best.argmax(1), np.zeros((n, longest), np.int8), np.arange(n)
+        for t in range(longest - 1, -1, -1):
+            inside = t < length
+            labels[inside, t] = label[inside]
+            if t:
+                label = np.where(inside, back[t, rows, label], label)
+        return labels
+
 
 def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
@@ -311,24 +306,25 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 120, ridge: float = 1e-3) -> Field:
     """Maximum likelihood by Adam on all rows at once; forward and backward sums in numpy."""
-    many = [s for text, _ in rows for s in stretches(text, whole=True)]
-    spans = [s for text, s in rows if TOKEN.search(text)]
-    length = np.array([len(s.tokens) for s in many])
-    B, T = len(many), int(length.max())
-    features = np.zeros((B, T, 8), np.int64)
+    known = Shapes()
+    many, spans = zip(*((t, own) for text, own in rows if len(t := Tokens(text, known))), strict=True)
+    length = np.array([len(t) for t in many])
+    B, T, K = len(many), int(length.max()), len(TABLES)
+    shapes, blank = np.zeros((B, T + 4), np.int8), np.zeros((B, T), np.int8)
     gold = np.zeros((B, T), np.int64)
-    for b, (s, own) in enumerate(zip(many, spans, strict=True)):
-        features[b, : length[b]] = s.features()
-        for t, (a, z) in enumerate(s.tokens):
+    for b, (tokens, own) in enumerate(zip(many, spans, strict=True)):
+        shapes[b, 2 : 2 + length[b]], blank[b, : length[b]] = tokens.shapes, tokens.blank
+        for t, (a, z) in enumerate(zip(tokens.starts.tolist(), tokens.ends.tolist(), strict=True)):
             for kind, start, end in own:
                 if start <= a and z <= end:
                     gold[b, t] = LABELS.index(f"{'B' if a == start else 'I'}-{kind}")
+    found = features(shapes, blank)
     inside = np.arange(T) < length[:, None]
     emit, move, allowed = np.zeros((WIDTH, _N)), np.zeros((_N, _N)), Field.allowed()
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    flat = features[inside].ravel()
+    flat = found[inside].ravel()
     for step in range(1, steps + 1):
-        score, m = emit[features].sum(2), move + allowed
+        score, m = emit[found].sum(2), move + allowed
         forward = np.zeros((B, T, _N))
         forward[:, 0] = score[:, 0] + m[0]
         for t in range(1, T):
@@ -342,7 +338,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 120,
         wrong = p.copy()
         np.put_along_axis(wrong, gold[..., None], np.take_along_axis(wrong, gold[..., None], 2) - inside[..., None], 2)
         g_emit = np.zeros_like(emit)
-        error = np.repeat(wrong[inside], 8, 0)
+        error = np.repeat(wrong[inside], K, 0)
         for label in range(_N):
             g_emit[:, label] = np.bincount(flat, error[:, label], WIDTH)
         pairs = np.zeros((_N, _N))
@@ -362,63 +358,116 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 120,
 # ---------------------------------------------------------------------------------------------------------------
 # spans
 
-#: What a span that the field finds must pass, besides overlapping no base span.
-WRITTEN_EMAIL = re.compile(rf"(?i)[a-z][\w%+-]*(?:{_DOT}[\w%+-]+)*\s?[\[({{<]?\s?(?:@|\b(?:at|arobase|arroba)\b)\s?[\])}}>]?\s?[\w-]+(?:{_DOT}[\w-]+)*{_DOT}[a-z]{{2,}}")
+_AT = re.compile(r"@|(?<![^\W\d_])(?:at|arobase|arroba)(?![^\W\d_])", re.IGNORECASE)
+_DOT = re.compile(r"\.|(?<![^\W\d_])(?:dot|punkt|punto|point)(?![^\W\d_])", re.IGNORECASE)
+
+
+def is_address(text: str) -> bool:
+    """One at sign, by whatever sign or word, with a name before it and, after it, names on both sides of a last dot."""
+    at = list(_AT.finditer(text))
+    if len(at) != 1 or not text[:1].isalnum() or not text[-2:].isalpha():
+        return False
+    dots = list(_DOT.finditer(text, at[0].end()))
+    return bool(dots) and any(c.isalnum() for c in text[: at[0].start()]) and any(c.isalnum() for c in text[at[0].end() : dots[-1].start()]) and "\n" not in text
+
+
+#: What a span that the field finds must hold, besides overlapping no base span.
 CHECKS = {
-    "email": lambda s: bool(WRITTEN_EMAIL.fullmatch(s)),
+    "email": is_address,
     "ip": lambda s: len(re.findall("[0-9]+", s)) == 4 and is_ip(s),
     "card": is_card,
     "phone": lambda s: is_phone(s) and not re.search(r"[^\x20().0-9+/-]", s) and not is_card(s) and len(re.findall("[0-9]+", s)) >= 2,
 }
 
 
-def spans_of(texts: list[str], field: Field, whole: bool = False) -> list[list[tuple[str, int, int]]]:
+def spans_of(texts: list[str], field: Field, base: list[list[tuple[str, int, int]]] | None = None, known: Shapes | None = None) -> list[list[tuple[str, int, int]]]:
     """All spans of each text by start, then kind."""
-    found = [base_spans(t) for t in texts]
-    many = [(i, s) for i, t in enumerate(texts) for s in stretches(t, whole)]
-    for (i, s), labels in zip(many, field.decode([s for _, s in many]), strict=True):
-        t = 0
-        while t < len(labels):
-            if labels[t] and LABELS[labels[t]][0] == "B":
-                end, kind = t + 1, LABELS[labels[t]][2:]
-                while end < len(labels) and LABELS[labels[end]] == f"I-{kind}":
-                    end += 1
-                a, z = s.tokens[t][0], s.tokens[end - 1][1]
-                if CHECKS[kind](texts[i][a:z]) and not any(a < e and b < z for _, b, e in found[i]):
-                    found[i].append((kind, a, z))
-                t = end
-            else:
+    found = [list(b) for b in base] if base is not None else [base_spans(t) for t in texts]
+    known = Shapes() if known is None else known
+    many = [Tokens(t, known) for t in texts]
+    for i, (tokens, labels) in enumerate(zip(many, field.decode(many), strict=True)):
+        marked = np.flatnonzero(labels)
+        t = -1
+        for at in marked.tolist():
+            if at < t or LABELS[labels[at]][0] != "B":
+                continue
+            t, kind = at + 1, LABELS[labels[at]][2:]
+            while t < len(labels) and LABELS[labels[t]] == f"I-{kind}":
                 t += 1
+            a, z = int(tokens.starts[at]), int(tokens.ends[t - 1])
+            if CHECKS[kind](texts[i][a:z]) and not any(a < e and b < z for _, b, e in found[i]):
+                found[i].append((kind, a, z))
     return [sorted(f, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) for f in found]
 
 
+def stored_field(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 7) -> Field:
+    """The field trained on the labelled table, from the shared folder if a query has stored it there before."""
+    table = labelled_rows(rows, seed)
+    digest = hashlib.sha256(repr((table, TABLES, LABELS)).encode()).hexdigest()[:24]
+    path = f"{shared_folder(spark)}/caseframe/pii-field-{digest}"
+    jvm = spark._jvm.org.apache.hadoop.fs
+    place = jvm.Path(f"{path}/_SUCCESS")
+    if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        row = spark.read.parquet(path).first()
+        return Field(*(np.frombuffer(bytes(row[c])).reshape(-1, _N) for c in ("emit", "move")))
+    field = train(table)
+    spark.createDataFrame([(field.emit.tobytes(), field.move.tobytes())], "emit binary, move binary").write.mode("overwrite").parquet(path)
+    return field
+
+
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base and spans (each an array of kind, start, end) of every document."""
-    field = field or train(labelled_rows(LABELLED_ROWS))
+    return whole_texts(docs).mapInArrow(_looker(field or stored_field(docs.sparkSession), "doc_id"), f"doc_id long, {_FOUND}")
+
+
+_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_FOUND = f"base {_SPANS}, spans {_SPANS}"
+#: Code points that are looked at together, or one text.
+_SLICE = 1_000_000
+
+
+def _looker(field: Field, *carried: str):
+    """base and spans of each row's text, after the columns carried over."""
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    listed = lambda rows: pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in r] for r in rows], span)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Shapes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            size = pa.compute.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            begin = 0
+            while begin < batch.num_rows:
+                end, total = begin + 1, int(size[begin])
+                while end < batch.num_rows and end - begin < 1024 and total + size[end] <= _SLICE:
+                    total += int(size[end])
+                    end += 1
+                part = batch.slice(begin, end - begin)
                 texts = part.column("text").to_pylist()
-                every = spans_of(texts, field)
                 base = [sorted(base_spans(t), key=lambda s: (s[1], KINDS.index(s[0]))) for t in texts]
-                shape_ = lambda rows: pa.array([[{"kind": k, "start": a, "end": z} for k, a, z in r] for r in rows], span)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), shape_(base), shape_(every)], ["doc_id", "base", "spans"])
+                every = spans_of(texts, field, base, known)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), listed(base), listed(every)], [*carried, "base", "spans"])
+                begin = end
+        release()
 
-    kind = "array<struct<kind:string,start:int,end:int>>"
-    return whole_texts(docs).mapInArrow(look, f"doc_id long, base {kind}, spans {kind}")
+    return look
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets; overlapping spans by the first one's."""
-    cut = F.aggregate(
-        "spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda s, x: F.when(x["start"] < s["at"], s).otherwise(
-            F.struct(F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out"), x["end"].alias("at"))
-        ),
-    )
-    named = docs.withColumn("doc_id", F.monotonically_increasing_id())
-    return named.join(find(named, field), "doc_id").withColumn("cut", cut).select(F.concat("cut.out", F.expr("substring(text, cut.at + 1)")).alias("text"), *(c for c in docs.columns if c not in ("doc_id", "text")))
+    """The documents, with all their columns, with every span replaced by its kind in angle brackets; overlapping spans by the
+    first one's. Null texts stay null."""
+    field = field or stored_field(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, texts = batch.schema.get_field_index("text"), batch.column("text").to_pylist()
+            out, known = [], Shapes()
+            for text in texts:
+                parts, done = [], 0
+                for kind, start, end in spans_of([text], field, known=known)[0] if text else []:
+                    if start >= done:
+                        parts += [text[done:start], f"<{kind}>"]
+                        done = end
+                out.append(None if text is None else "".join(parts) + text[done:])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(cut, docs.schema)

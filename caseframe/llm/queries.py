@@ -23,7 +23,7 @@ def _count(kind: str) -> Column:
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = map(_count, pii.KINDS)
-    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_all"))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
