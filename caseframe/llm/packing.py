@@ -7,7 +7,7 @@ the total closest to what is left, backtracking gives the lengths with their cou
 often as the counts allow. Spark ranks the pieces of each length and looks each rank up in the plan.
 
 Nulls count as empty texts and an empty text is its end id alone; equal lengths are told apart by doc_id and start;
-repeated rows are packed each for itself; an empty table gives no rows; columns but doc_id and text are ignored.
+repeated rows are packed each for itself; rows without doc_id are left out; an empty table gives no rows; columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import Written, numbered, release, slices, tidy, whole_texts
+from caseframe.llm.common import Written, joined, numbered, release, slices, tidy, whole_texts
 from caseframe.llm.tokens import Encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -123,8 +123,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             nth = key - keys[i]
             yield pieces.drop(columns="rank").assign(sequence_id=window[i] + nth // each[i], offset=offsets[i] + nth % each[i] * lengths[i])
 
-    packed = numbered(short, ["length"], "doc_id", "rank", 16).select(*pieces.columns, "rank").mapInPandas(place, _PIECE + ", sequence_id long, offset long")
-    full = numbered(pieces.where(F.col("length") == capacity).withColumn("__key", F.struct("doc_id", "start")), [], "__key", "sequence_id")
+    packed = numbered(short, ["length"], "doc_id", "rank", max(histogram.values(), default=1)).select(*pieces.columns, "rank").mapInPandas(place, _PIECE + ", sequence_id long, offset long")
+    full_pieces = pieces.where(F.col("length") == capacity).count()
+    full = numbered(pieces.where(F.col("length") == capacity).withColumn("__key", F.struct("doc_id", "start")), [], "__key", "sequence_id", full_pieces)
     return packed.unionByName(full.drop("__key").withColumn("sequence_id", F.col("sequence_id") + windows).withColumn("offset", F.lit(0).cast("long")))
 
 
@@ -147,4 +148,4 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, end_i
     pieces = packed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     parts = whole_texts(docs).join(pieces, "doc_id").select("text", "pieces").mapInArrow(take, "sequence_id long, offset long, ids binary")
     ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return parts.groupBy("sequence_id").agg(F.aggregate(ordered, F.lit(b""), lambda all, x: F.concat(all, x["ids"])).alias("input_ids"))
+    return parts.groupBy("sequence_id").agg(joined(ordered).alias("input_ids"))

@@ -6,10 +6,10 @@ want to go where most are, among the shards with room; a shard lets in those wit
 at its quota. Documents of one key in one shard have the same neighbours and want the same, so the state
 is one row for each (key, shard) with a number of documents, however many documents share a key. At the end the numbers
 are dealt out to the documents of each key, the documents without links fill what is left of each quota, and row counts
-differ by one at most.
+differ by one at most. Quotas hold after every round; rounds only lower the number of links that are cut.
 
 A null text has size 8, crc 0 and the key of the empty text, which is linked to empty texts. An empty table gives no rows.
-Rows that repeat a doc_id are placed each for itself; ties between shards go to a hash of key and shard. Other columns
+Rows that repeat a doc_id are placed each for itself, rows without doc_id get no place; ties between shards go to a hash of key and shard. Other columns
 are ignored.
 """
 
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import Written, numbered, whole_texts
+from caseframe.llm.common import Written, drop_all, numbered, whole_texts
 
 SHARDS = 24
-ROUNDS = 14
+#: Rounds end when one moves fewer than this share of the linked documents, and after ROUNDS at the latest.
+SETTLED, ROUNDS = 0.001, 40
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -32,6 +33,7 @@ def _quotas(rows: int, shards: int) -> list[int]:
 def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Written:
     """Moves documents between shards: cells (key, shard, n) in, the same out, no shard above its quota."""
     state = Written(cells, "cells")
+    everyone = state.df.agg(F.sum("n")).first()[0] or 0
     for _ in range(rounds):
         now = state.df
         filled = {r["shard"]: r["n"] for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row for each shard
@@ -64,7 +66,8 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Writ
         placed = queued.withColumn("within", within).join(F.broadcast(ahead), ["to", "class", "part"])  # at most shards x 40 x 32 rows
         moved = placed.withColumn("go", F.greatest(F.lit(0), F.least("n", into - F.col("ahead") - F.col("within")))).where("go > 0")
         moved = Written(moved.select("key", "shard", "to", "go"), "moves")
-        if moved.df.isEmpty():
+        going = moved.df.agg(F.sum("go")).first()[0] or 0
+        if not going:
             moved.drop()
             break
         leave = moved.df.select("key", "shard", (-F.col("go")).alias("n"))
@@ -74,6 +77,8 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> Writ
         state.drop()
         moved.drop()
         state = following
+        if going < SETTLED * everyone:
+            break
     return state
 
 
@@ -87,30 +92,33 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
         F.xxhash64("text", F.octet_length("text")).alias("key"),
         F.monotonically_increasing_id().alias("row"),
     )
-    rows = Written(rows, "rows").df
+    rows = Written(rows, "rows").df  # read by the result
     total = rows.count()
     quotas = _quotas(total, shards)
 
     groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
-    linked = Written(rows.join(groups.where("copies > 1"), "key").select("row", "key"), "linked").df
-    dealt = numbered(linked, [], "row", "number").withColumn("shard", F.pmod("number", F.lit(shards)).cast("int"))
-    cells = propagate(dealt.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), quotas, rounds).df
+    stored = Written(rows.join(groups.where("copies > 1"), "key").select("row", "key"), "linked")
+    linked = stored.df
+    dealt = numbered(linked, [], "row", "number", total).withColumn("shard", F.pmod("number", F.lit(shards)).cast("int"))
+    state = propagate(dealt.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("n")), quotas, rounds)
+    cells = state.df
 
     # Each key's documents, in any order, take the key's places shard by shard.
     places = F.array_sort(F.collect_list(F.struct("shard", "n")))
     ends = cells.groupBy("key").agg(places.alias("places")).withColumn("ends", F.transform("places", lambda p, i: F.struct(p["shard"].alias("shard"), F.aggregate(F.slice("places", 1, i + 1), F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("end"))))
-    ranked = numbered(linked, ["key"], "row", "rank", 16, few_groups=False)
+    ranked = numbered(linked, ["key"], "row", "rank", total, few_groups=False)
     own = ranked.join(ends.select("key", "ends"), "key").select("row", F.filter("ends", lambda e: F.col("rank") < e["end"])[0]["shard"].alias("shard"))
     own = Written(own, "linked-shards").df
+    drop_all(stored, state)
 
     filled = {r["shard"]: r["n"] for r in own.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     bounds, reached = [], 0
     for s, quota in enumerate(quotas):
         reached += quota - filled.get(s, 0)
         bounds.append(reached)
-    single = numbered(rows.join(groups.where("copies = 1"), "key", "left_semi").select("row"), [], "row", "number")
+    single = numbered(rows.join(groups.where("copies = 1"), "key", "left_semi").select("row"), [], "row", "number", total)
     single = single.select("row", F.size(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b <= F.col("number"))).alias("shard"))
 
     placed = rows.drop("key").join(own.unionByName(single), "row")
-    slotted = numbered(placed, ["shard"], "row", "slot")
+    slotted = numbered(placed, ["shard"], "row", "slot", total // shards + 1)
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

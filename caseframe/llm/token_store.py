@@ -5,15 +5,17 @@ File format, all Parquet in one folder:
            of at most 65536 ids, else 4); each content once, packed by digest
   recipes  part, doc_id, start, n_tokens, root, digests (16 bytes for each chunk, in order); ascending doc_id. root is
            the Merkle root of the digests. part is the range of doc_id that the row's file holds
-  manifest part, n_docs, n_tokens, root: the Merkle root over the documents' roots in ascending doc_id
+  manifest part, n_docs, n_tokens, root: the Merkle root over the documents' roots in ascending doc_id; and one row for the
+           whole store, part -1, whose root is over the parts' roots
 
 A document's ids are cut where a rolling hash of the last WINDOW ids has its low bits zero, so that equal passages give
 equal chunks wherever they stand. Each task sends a content once to the pack that its digest names; the pack's task keeps
 one. Reading back hashes every chunk anew; a document's crc is put together from its chunks' crcs, its root from their
-digests, so that verifying moves no ids. read_documents() gives the ids themselves.
+digests, so that verifying moves no ids, and counts as intact only where its part agrees with the manifest. verify_parts() names
+parts that are lost or changed. read_documents() gives the ids themselves.
 
 Null and empty texts have the end id alone. Documents with equal ids share all chunks. Rows that repeat a doc_id are
-stored as documents of their own, in any order among themselves. An empty table gives empty files; other columns are
+stored as documents of their own, in any order among themselves; rows without doc_id are left out. An empty table gives empty files; other columns are
 ignored.
 """
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caseframe.llm.common import Written, shuffle_width, slices, whole_texts
+from caseframe.llm.common import Written, joined, shuffle_width, slices, whole_texts
 from caseframe.llm.tokens import Encoder, tokenizer_path
 
 END_ID = 1
@@ -38,6 +40,8 @@ WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 2048, 8
 #: A random 32-bit code for each of 65,536 classes of ids.
 _CODES = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
 DIGEST = 16
+#: Documents of a part, about.
+PART_DOCS = 1_000_000
 
 
 def digest(content: bytes) -> bytes:
@@ -112,13 +116,15 @@ def _staged(docs: DataFrame, path: str, end_id: int, by_chunk: bool, width: int)
 
 
 def _unique(width: int):
+    """The first of each run of equal digests, from sorted rows."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        last = None
         for batch in batches:
-            digests, mask = batch.column("digest").to_pylist(), []
-            for d in digests:
-                mask.append(d not in seen)
-                seen.add(d)
+            mask = []
+            for d in batch.column("digest").to_pylist():
+                mask.append(d != last)
+                last = d
             kept = batch.filter(pa.array(mask, pa.bool_()))
             lengths = pa.compute.binary_length(kept.column("ids")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([kept.column("pack"), kept.column("digest"), pa.compute.divide(lengths, width), kept.column("ids")], ["pack", "digest", "n_ids", "ids"])
@@ -138,9 +144,9 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     width = 2 if Encoder.of(path, by_chunk).vocabulary <= 1 << 16 and end_id < 1 << 16 else 4
     staged = Written(_staged(docs, path, end_id, by_chunk, width), "staged", compression="zstd")
 
-    packs = shuffle_width(spark)
+    packs = max(shuffle_width(spark), -(-staged.df.count() // PART_DOCS))
     new = staged.df.select(F.explode("new").alias("x")).select("x.digest", "x.ids")
-    new = new.withColumn("pack", F.pmod(F.xxhash64("digest"), F.lit(packs)).cast("int")).repartition(packs, "pack")
+    new = new.withColumn("pack", F.pmod(F.xxhash64("digest"), F.lit(packs)).cast("int")).repartition(packs, "pack").sortWithinPartitions("pack", "digest")
     new.mapInArrow(_unique(width), "pack int, digest binary, n_ids long, ids binary").write.option("compression", "zstd").parquet(f"{folder}/chunks")
 
     recipes = staged.df.select("doc_id", "n_tokens", "digests").repartitionByRange(packs, "doc_id").sortWithinPartitions("doc_id")
@@ -151,14 +157,41 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     placed = sorted_.df.join(F.broadcast(before), "part").withColumn("start", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).cast("long"))
     placed.select("part", "doc_id", "start", "n_tokens", "root", "digests").write.parquet(f"{folder}/recipes")
 
-    def manifest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    parts = Written(_part_roots(spark.read.parquet(f"{folder}/recipes")), "manifest")
+    parts.df.unionByName(_store_root(parts.df)).write.parquet(f"{folder}/manifest")
+    for t in (staged, sorted_, parts):
+        t.drop()
+
+
+_MANIFEST = "part int, n_docs long, n_tokens long, root binary"
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start", kind="stable")
         return pd.DataFrame({"part": [key[0]], "n_docs": [len(rows)], "n_tokens": [rows["n_tokens"].sum()], "root": [merkle_root(list(rows["root"]))]})
 
-    stored = spark.read.parquet(f"{folder}/recipes").select("part", "start", "n_tokens", "root")
-    stored.groupBy("part").applyInPandas(manifest, "part int, n_docs long, n_tokens long, root binary").write.parquet(f"{folder}/manifest")
-    staged.drop()
-    sorted_.drop()
+    return recipes.select("part", "start", "n_tokens", "root").groupBy("part").applyInPandas(one, _MANIFEST)
+
+
+def _store_root(parts: DataFrame) -> DataFrame:
+    """The row of the whole store, from one row for each part."""
+
+    def all_(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"part": [-1], "n_docs": [rows["n_docs"].sum()], "n_tokens": [rows["n_tokens"].sum()], "root": [merkle_root(list(rows["root"]))]})
+
+    return parts.groupBy(F.lit(0).alias("all")).applyInPandas(all_, _MANIFEST)
+
+
+def verify_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """part, n_docs (found), intact of every part that the manifest or the recipes name, and of the store (part -1): the numbers and
+    the Merkle roots of the recipes are those of the manifest."""
+    told = spark.read.parquet(f"{folder}/manifest").select("part", *(F.col(c).alias(f"told_{c}") for c in ("n_docs", "n_tokens", "root")))
+    found = _part_roots(spark.read.parquet(f"{folder}/recipes"))
+    same = F.col("n_docs").eqNullSafe(F.col("told_n_docs")) & F.col("n_tokens").eqNullSafe(F.col("told_n_tokens")) & F.col("root").eqNullSafe(F.col("told_root"))
+    both = found.unionByName(_store_root(found)).join(told, "part", "full")
+    return both.select("part", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), same.alias("intact"))
 
 
 def _times(matrix: list[int], vector: int) -> int:
@@ -226,7 +259,8 @@ def verify_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks and intact (every chunk hashes to its digest, the digests to the root,
     and the lengths add up) for each document, from the files."""
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids").mapInArrow(_checked(_width(spark, folder)), "digest binary, crc long, n_ids long, intact boolean")
-    recipes = spark.read.parquet(f"{folder}/recipes")
+    sound = F.broadcast(verify_parts(spark, folder).select("part", F.col("intact").alias("sound")))  # one row for each part
+    recipes = spark.read.parquet(f"{folder}/recipes").join(sound, "part", "left").withColumn("n_tokens", F.when(F.col("sound"), F.col("n_tokens")).otherwise(F.lit(-1)))
     found = _recipe_chunks(recipes).join(chunks, "digest", "left")
     documents = found.groupBy("start", "doc_id", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("seq", "digest", "crc", "n_ids", "intact"))).alias("parts"))
 
@@ -253,4 +287,4 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids")
     found = _recipe_chunks(spark.read.parquet(f"{folder}/recipes")).join(chunks, "digest")
     parts = F.array_sort(F.collect_list(F.struct("seq", "ids")))
-    return found.groupBy("start", "doc_id").agg(F.aggregate(parts, F.lit(b""), lambda all, x: F.concat(all, x["ids"])).alias("ids"))
+    return found.groupBy("start", "doc_id").agg(joined(parts).alias("ids"))
