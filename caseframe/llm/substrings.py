@@ -102,7 +102,8 @@ class Part:
 
     def screens(self, bits: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct cut fingerprints, ascending, and their screening groups, ascending too)."""
-        cut = np.unique(self.label >> np.uint64(64 - bits))
+        cut = self.label >> np.uint64(64 - bits)
+        cut = cut[np.concatenate([[True], cut[1:] != cut[:-1]])] if len(cut) else cut
         return cut, spread(cut << np.uint64(64 - bits), groups)
 
 
@@ -209,13 +210,16 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, unit: int = mail.UNIT, pa
         many = np.concatenate([np.unpackbits(np.frombuffer(mail.stretch(told[-1, -1 - c]), np.uint8)).reshape(len(levels), each) for c in range(COUNTERS)], 1).astype(bool)
         ids, texts, _ = mail.ordered(left)
         for n, p, known in parts_of(ids, texts, window, part):
+            names = list(known)
             for group, chosen in sent(p, told, n, many):
                 matrix = p.words[p.head[chosen][:, None] + np.arange(window)]
-                used, local = np.unique(matrix, return_inverse=True)
-                names = list(known)
+                marked = np.zeros(len(names), bool)
+                marked[matrix.ravel()] = True
+                used = np.flatnonzero(marked)
+                local = (np.cumsum(marked, dtype=np.int32) - 1)[matrix]
                 kind = "<u2" if len(used) <= 1 << 16 else "<u4"
                 body = b"\n".join(names[w] for w in used.tolist())
-                columns = np.ascontiguousarray(local.reshape(matrix.shape).T).astype(kind).ravel()
+                columns = np.ascontiguousarray(local.T).astype(kind).ravel()
                 fields = [mail.squeeze(body), mail.planes(columns), mail.planes(p.least[chosen].astype("<i8")), mail.planes(chosen.astype("<u4"))]
                 head = np.array([len(used), *(len(f) for f in fields)], "<u4").tobytes()
                 rows.append((bucket, n, group, head + b"".join(fields)))

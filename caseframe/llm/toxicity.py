@@ -127,7 +127,7 @@ def capital_shares(texts: list[bytes]) -> np.ndarray:
 _TABLE = "doc_id long, size long, caps double, shouts double, symbols double, which binary, times binary"
 
 
-def _vocabulary_table(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+def _looker(vocabulary: np.ndarray):
     """Each document's vocabulary features (numbers as <u2, times as <u4) and figures of its form."""
     order = np.argsort(vocabulary)
     ordered = vocabulary[order]
@@ -154,7 +154,11 @@ def _vocabulary_table(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 ["doc_id", "size", "caps", "shouts", "symbols", "which", "times"],
             )
 
-    return whole_texts(docs).mapInArrow(look, _TABLE)
+    return look
+
+
+def _vocabulary_table(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    return whole_texts(docs).mapInArrow(_looker(vocabulary), _TABLE)
 
 
 class Rows:
@@ -207,7 +211,7 @@ class LabelModel:
         self.bits = (patterns[:, None] >> np.arange(VOTERS)) & 1
         self.n = n.astype(float)
         known = label >= 0
-        seeds = self.bits[:, : len(SEEDS)].any(1)
+        seeds = self.bits[:, : len(SEEDS)]
         if known.any() and 0 < np.average(label[known], weights=self.n[known]) < 1:
             # What labelled rows say of each voter, carried over to all patterns.
             share = np.average(label[known], weights=self.n[known])
@@ -218,7 +222,7 @@ class LabelModel:
                 odds += np.where(self.bits[:, i] == 1, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))
             q = 1 / (1 + np.exp(-np.clip(odds, -5, 5)))
         else:
-            q = np.where(seeds, 0.8, PRIOR / 2)
+            q = np.where(seeds.any(1), 0.5 + 0.4 * seeds.mean(1), PRIOR / 2)
         for step in range(rounds):
             if step in (0, 5):
                 self._tree(q)
