@@ -10,6 +10,7 @@ times groups) would otherwise grow faster than the input: messages hold 64 words
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caseframe.llm.common import group_slices, tidy
+
 #: Words that a bucket or a group is made for, and bytes of text for each.
 UNIT, WORD_BYTES = 2_500_000, 6
 MAIL = "bucket int, part int, grp int, payload binary"
@@ -26,7 +29,7 @@ MAIL_SCHEMA = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("grp", p
 
 @dataclass
 class Bucketed:
-    """doc_id, text and bucket (and rest, a struct of the other columns, where asked for), dealt by bucket."""
+    """bucket and texts, dealt by bucket: packed, or row by row with `rest` (a struct of the other columns) where asked for."""
 
     texts: DataFrame
     buckets: int
@@ -34,6 +37,25 @@ class Bucketed:
     unit: int
 
 
+_PACKED = "bucket int, ids binary, sizes binary, body binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch that go to one bucket as one compressed row."""
+    for batch in batches:
+        bucket, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "doc_id"))
+        texts = _binary(batch.column("text"))
+        order = np.argsort(bucket, kind="stable")
+        rows = []
+        for b, part in group_slices(bucket[order]):
+            own = [texts[i] for i in order[part].tolist()]
+            sizes = np.array([len(t) for t in own], "<u4")
+            rows.append((b, ids[order[part]].astype("<i8").tobytes(), sizes.tobytes(), squeeze(b"".join(own))))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "ids", "sizes", "body"])
+
+
 def bucketed(docs: DataFrame, carry: bool = False, unit: int = UNIT) -> Bucketed:
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     words = size // WORD_BYTES + 1
@@ -42,14 +64,25 @@ def bucketed(docs: DataFrame, carry: bool = False, unit: int = UNIT) -> Bucketed
     own = [F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
     if carry:
         own.append(F.struct(F.col("text").isNull().alias("__no_text"), *(F.col(f"`{c}`").alias(c) for c in docs.columns if c not in ("doc_id", "text"))).alias("rest"))
-    return Bucketed(docs.where(F.col("doc_id").isNotNull()).select(*own).repartition(buckets, "bucket"), buckets, words, unit)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(*own)
+    return Bucketed((rows if carry else rows.mapInArrow(tidy(_pack), _PACKED)).repartition(buckets, "bucket"), buckets, words, unit)
+
+
+def _binary(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
 def ordered(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """(doc_ids, texts as UTF-8, rows of the table), by doc_id and text, so that every look at a bucket sees one order."""
-    ids = table.column("doc_id").to_numpy()
-    kind = table.schema.field("text").type
-    texts = table.column("text").cast(pa.binary() if pa.types.is_string(kind) else pa.large_binary()).to_pylist()
+    if "text" in table.column_names:
+        ids, texts = table.column("doc_id").to_numpy(), _binary(table.column("text"))
+    else:
+        found, texts = [np.empty(0, np.int64)], []
+        for numbers, sizes, body in zip(*(table.column(c).to_pylist() for c in ("ids", "sizes", "body")), strict=True):
+            found.append(np.frombuffer(numbers, "<i8"))
+            whole, ends = stretch(body), np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)
+            texts += [whole[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ids = np.concatenate(found)
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
     return ids[order], [texts[i] for i in order], np.array(order, np.int64)
 

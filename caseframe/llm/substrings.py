@@ -5,11 +5,13 @@ suffixes in turn. The work goes in four looks at buckets of documents, whose tex
 
 1. Each part of a bucket (PART words at most; long documents are cut with an overlap) finds its distinct suffixes and sends their
    fingerprints, cut to a few bits more than the number of suffixes needs, to screening groups, and counts suffixes by
-   hashed prefixes of 1, 2, 4 and 8 words. A screening group answers which fingerprints came from two parts. That only
+   their anchors' hashed prefixes of 2, 4 and 8 words. A screening group answers which fingerprints came from two parts. That only
    leaves suffixes out that can't have a partner; it decides nothing else.
-2. The counts say which prefixes begin more suffixes than one subtree should hold: these are made longer, to 2, 4, 8 or all words,
-   so that prefixes of several lengths split the suffixes into groups that fit in memory. Each part sends what is left,
-   once for all its documents that share it, to the group of its prefix: as words, with the smallest doc_id.
+2. A suffix's anchor is the place in its first WINDOW words whose prefix of 2 words is the smallest by hash; suffixes that begin
+   near each other have one anchor, travel to one group and are sent as one run of words. The counts say which prefixes anchor
+   more suffixes than one subtree should hold: these are made longer, to 4, 8 or all words, so that prefixes of several lengths
+   split the suffixes into groups that fit in memory. Each part sends what is left, once for all its documents that
+   share it, to the group of its prefix: as words, with the smallest doc_id.
 3. Each group sorts its suffixes by their words and takes the common-prefix lengths of neighbours: the leaves of a node of
    depth WINDOW are the places of one repeat. It answers those whose document isn't the smallest, with the smallest.
 4. Each bucket removes the words that its repeats cover. Consecutive suffixes with one source are one maximal repeat.
@@ -34,7 +36,7 @@ from caseframe.llm import mail
 from caseframe.llm.common import chain, group_slices, mix, release, span_digests, window_digests
 
 WINDOW = 13
-LEVELS = (1, 2, 4, 8)
+LEVELS = (2, 4, 8)
 #: Hashed prefixes that are counted at each level, and the groups that add the counts up.
 CELLS, COUNTERS = 1 << 16, 8
 #: Suffixes that a prefix may begin before it is made longer.
@@ -68,7 +70,7 @@ class Part:
     """The distinct suffixes (classes) of some stretches of words: (row, first word, numbers)."""
 
     def __init__(self, stretches: list[tuple[int, int, np.ndarray]], doc_ids: np.ndarray, symbols: np.ndarray, window: int):
-        self.words = np.concatenate([s[2] for s in stretches])
+        self.words, self.window = np.concatenate([s[2] for s in stretches]), window
         size = np.array([len(s[2]) for s in stretches])
         begins = np.cumsum(size) - size
         leaves = np.maximum(size - window + 1, 0)
@@ -98,7 +100,11 @@ class Part:
         return out
 
     def prefixes(self, level: int) -> np.ndarray:
-        return self.levels[level][self.head]
+        """The smallest fingerprint of `level` consecutive words among the first words of each suffix."""
+        n, least, width = self.window - level + 1, self.levels[level], 1
+        while 2 * width <= n:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        return np.minimum(least[self.head], least[self.head + n - width])
 
     def screens(self, bits: int, groups: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct cut fingerprints, ascending, and their screening groups, ascending too)."""
@@ -212,15 +218,16 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, unit: int = mail.UNIT, pa
         for n, p, known in parts_of(ids, texts, window, part):
             names = list(known)
             for group, chosen in sent(p, told, n, many):
-                matrix = p.words[p.head[chosen][:, None] + np.arange(window)]
+                at = p.head[chosen]
+                step = np.minimum(np.diff(at, append=at[-1] + window), window)
+                flat = p.words[np.arange(step.sum()) + np.repeat(at - (np.cumsum(step) - step), step)]
                 marked = np.zeros(len(names), bool)
-                marked[matrix.ravel()] = True
+                marked[flat] = True
                 used = np.flatnonzero(marked)
-                local = (np.cumsum(marked, dtype=np.int32) - 1)[matrix]
+                local = (np.cumsum(marked, dtype=np.int32) - 1)[flat]
                 kind = "<u2" if len(used) <= 1 << 16 else "<u4"
                 body = b"\n".join(names[w] for w in used.tolist())
-                columns = np.ascontiguousarray(local.T).astype(kind).ravel()
-                fields = [mail.squeeze(body), mail.planes(columns), mail.planes(p.least[chosen].astype("<i8")), mail.planes(chosen.astype("<u4"))]
+                fields = [mail.squeeze(body), mail.planes(local.astype(kind)), mail.squeeze(step.astype("<u1").tobytes()), mail.planes(p.least[chosen].astype("<i8")), mail.planes(chosen.astype("<u4"))]
                 head = np.array([len(used), *(len(f) for f in fields)], "<u4").tobytes()
                 rows.append((bucket, n, group, head + b"".join(fields)))
         release()
@@ -243,17 +250,19 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, unit: int = mail.UNIT, pa
         to = spread(to, groups)
         order = np.argsort(to, kind="stable")
         for g, s in group_slices(to[order]):
-            yield g, chosen[order[s]]
+            own = chosen[order[s]]
+            yield g, own[np.argsort(p.head[own])]
 
     def subtree(table: pa.Table) -> pa.Table:
         group = table.column("grp")[0].as_py()
         read = []
         for payload in table.column("payload").to_pylist():
-            head = np.frombuffer(payload[:20], "<u4").astype(np.int64)
-            a, b, c, d = 20 + np.cumsum(head[1:])
-            names = mail.stretch(payload[20:a]).split(b"\n")
-            local = mail.unplanes(payload[a:b], "<u2" if head[0] <= 1 << 16 else "<u4").reshape(window, -1).T
-            read.append((names, local, mail.unplanes(payload[b:c], "<i8"), payload[c:d]))
+            head = np.frombuffer(payload[:24], "<u4").astype(np.int64)
+            a, b, c, d, e = 24 + np.cumsum(head[1:])
+            names = mail.stretch(payload[24:a]).split(b"\n")
+            local = mail.unplanes(payload[a:b], "<u2" if head[0] <= 1 << 16 else "<u4")
+            step = np.frombuffer(mail.stretch(payload[b:c]), "<u1").astype(np.int64)
+            read.append((names, local[(np.cumsum(step) - step)[:, None] + np.arange(window)], mail.unplanes(payload[c:d], "<i8"), payload[d:e]))
         alphabet = sorted({w for names, *_ in read for w in names})
         rank = {w: i for i, w in enumerate(alphabet)}
         suffixes = np.concatenate([np.fromiter(map(rank.__getitem__, names), np.int32, len(names))[local] for names, local, *_ in read])
