@@ -160,10 +160,10 @@ def labelled_rows(rows: int, seed: int = 7) -> list[tuple[str, list[tuple[str, i
 # features
 
 TOKEN = re.compile(r"\s+|[^\W\d_]+|[0-9]+|\S", re.UNICODE)
-AT_WORDS = frozenset(("at", "arobase", "arroba"))
+AT_WORDS = {"at": "AT", "arobase": "SIGN", "arroba": "SIGN"}
 DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
 CUES = {w: i for i, ws in enumerate((("mail", "email", "contact", "write"), ("host", "server", "ip"), ("card", "visa", "karte"), ("tel", "phone", "call", "telefon", "fax", "mobile"))) for w in ws}
-SHAPES = ("<end>", "AT", "DOT", "cue0", "cue1", "cue2", "cue3", "d1", "d2", "d3", "d4", "d5-9", "d10-13", "d14-19", "d20+", "octet", "Xx", "X", "x1-3", "x4-8", "x9+", "@", ".", "-", "(", ")", "[", "]", "/", "+", "_", ":", ",", '"', "other")
+SHAPES = ("<end>", "AT", "SIGN", "DOT", "cue0", "cue1", "cue2", "cue3", "d1", "d2", "d3", "d4", "d5-9", "d10-13", "d14-19", "d20+", "octet", "Xx", "X", "x1-3", "x4-8", "x9+", "@", ".", "-", "(", ")", "[", "]", "/", "+", "_", ":", ",", '"', "other")
 SHAPE = {s: i for i, s in enumerate(SHAPES)}
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _N, _S = len(LABELS), len(SHAPES)
@@ -182,7 +182,7 @@ def shape(token: str) -> int:
     if token[0].isalpha():
         low = token.lower()
         if low in AT_WORDS:
-            return SHAPE["AT"]
+            return SHAPE[AT_WORDS[low]]
         if low in DOT_WORDS:
             return SHAPE["DOT"]
         if low in CUES:
