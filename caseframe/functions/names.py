@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from caseframe.functions.similarity import indel_ratio
 from caseframe.functions.text import ColumnOrName, bound, fold, let, text
 
+#: Endings of patronymics in all cases, by gender, and particles that stand for them.
 MALE_PATRONYMIC = r"(?:ВИЧ|ИЧ)(?:А|У|ЕМ|Е)?$|ОГЛЫ$|УУЛУ$"
 FEMALE_PATRONYMIC = r"(?:ВН|ИЧН)(?:А|Ы|Е|У|ОЙ)$|КЫЗЫ$"
 PATRONYMIC = r"(?:ВИЧ|ИЧ)(?:А|У|ЕМ|Е)?$|(?:ВН|ИЧН)(?:А|Ы|Е|У|ОЙ)$|^(?:ОГЛЫ|КЫЗЫ|УУЛУ)$"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -76,16 +77,30 @@ def _row_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
-def _best_window(short: str, long: str) -> tuple[float, int, int]:
-    """The window of the longer string, cut at its ends too, that is most like the shorter one: (ratio, start, end)."""
-    best = (0.0, 0, 0)
-    n = len(short)
-    for start in range(1 - n, len(long)):
-        a, z = max(start, 0), min(start + n, len(long))
-        if (score := _row_ratio(short, long[a:z])) > best[0]:
+def _best_window(short: str, long: str, least: float = 0.0) -> tuple[float, int, int]:
+    """The window of the longer string, cut at its ends too, that is most like the shorter one: (ratio, start, end).
+
+    Letters that a window and the short string share bound its ratio; the counts move along with the window, so that only
+    windows that can beat the best so far (and `least`) are compared."""
+    n, m = len(short), len(long)
+    if short and (at := long.find(short)) >= 0:
+        return 100.0, at, at + n
+    need = Counter(short)
+    have: Counter = Counter()
+    shared, best = 0, (0.0, 0, 0)
+    for end in range(1, m + n):
+        if end <= m:
+            c = long[end - 1]
+            have[c] += 1
+            shared += have[c] <= need.get(c, 0)
+        if end > n:
+            c = long[end - n - 1]
+            shared -= have[c] <= need.get(c, 0)
+            have[c] -= 1
+        a, z = max(end - n, 0), min(end, m)
+        bound = 200.0 * shared / (n + z - a)
+        if bound > best[0] and bound > least and (score := _row_ratio(short, long[a:z])) > best[0]:
             best = (score, a, z)
-            if score == 100.0:
-                break
     return best
 
 
@@ -107,6 +122,18 @@ def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def near_keywords(source: pd.Series, keywords: pd.Series, above: pd.Series) -> pd.Series:
+    """The keywords of each row that a window of its text is like by more than `above`; a null text is not looked at."""
+
+    def one(text_: str | None, words, least: float) -> list[str] | None:
+        if text_ is None:
+            return None
+        return [k for k in words if k and text_ and (_best_window(k, text_, least) if len(k) <= len(text_) else _best_window(text_, k, least))[0] > least]
+
+    return pd.Series([one(*row) for row in zip(source, keywords, above, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 def best_alignment(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
     """Where in the source the quote stands, as well as it can be found."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Statuses from the worst to the best; no status is the least of all.
@@ -47,6 +48,17 @@ def in_problem_order(rows: DataFrame, code: str, position: str) -> DataFrame:
     return rows.orderBy(problem_rank(F.col(code)), position)
 
 
+def placed(rows: DataFrame, code: str, key: str, name: str = "place", width: int = 1_000_000) -> DataFrame:
+    """Rows with their place from 1 in the problem order, by a number within a group. A row's place is the size of the ranges of
+    numbers before its own, a table of a row for each range, and its rank in its range: no task gets more than a range."""
+    parts = ["__rank", "__range"]
+    ranged = rows.withColumn("__rank", problem_rank(F.col(code))).withColumn("__range", F.floor(F.col(key) / width))
+    sizes = ranged.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select(*parts, F.coalesce(F.sum("__n").over(W.orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy(*parts).orderBy(key))
+    return ranged.withColumn("__inside", inside).join(before, parts).withColumn(name, F.col("__before") + F.col("__inside")).drop(*parts, "__before", "__inside")
+
+
 def several_values(rows: DataFrame, keys: list[str], value: Column, name: str = "values") -> DataFrame:
     """Keys with more than one distinct value, and how many."""
     return rows.groupBy(*keys).agg(F.countDistinct(value).alias(name)).where(F.col(name) > 1)

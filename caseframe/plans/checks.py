@@ -131,7 +131,7 @@ def value_check(name: str, stated: Column, read: Column, own: Column, other: Col
 
 
 # ---------------------------------------------------------------------------------------------------------------
-# application against passport
+# application against passport. The names of checks are fixed values: rules and reports refer to them.
 
 
 @register("fio_header", {"ФИО в шапке («от …»)": "fio"}, needs="passport")
@@ -292,7 +292,7 @@ def new_admin_contact(c: Case):
 @register("contract", {"Договор/аккаунт нового администратора": "contract"}, crop="contract")
 def contract(c: Case):
     value, own = c.value("contract"), c.field("contract")
-    weak = value.isNotNull() & (~value.rlike(r"\d{4,}|@|[A-Za-zА-Яа-яЁё]{3,}") | unsure(own))
+    weak = value.isNotNull() & (~(value.contains("@") | value.rlike("[0-9]{4}") | value.rlike(r"(?U)[\p{L}]{3}")) | unsure(own))
     status = F.when(weak, REVIEW).when(value.isNotNull(), OK).when(cropped(own), REVIEW).otherwise(WARN)
     return rules.check("Договор/аккаунт нового администратора", status, value)
 
@@ -415,17 +415,21 @@ def _with_crop(checks: Column, crop: Column) -> Column:
 def evaluate(cases: DataFrame, case_types: Mapping[str, Mapping], settings: Settings | None = None) -> DataFrame:
     """case_id, case_type, checks, flags and decision. Cases of a type that is not enabled are left out.
 
-    One branch of the plan for each enabled type holds its checks only; each is a projection without a shuffle."""
-    out = None
+    One projection without a shuffle: a case takes its own type's checks and rules."""
+    confirmed = F.coalesce("confirmed", F.array().cast("array<string>"))
+    rows = {n: r for n, r in rows_of_names().items() if r}
+    made, enabled = F.lit(None).cast("struct<checks:array<" + rules.CHECK + ">,flags:array<string>>"), []
     for name, case_type in case_types.items():
-        if not case_type.get("enabled", True):
-            continue
-        checks, flags = build(ids_of(case_type), Case(settings or Settings()))
-        own = cases.where(F.col("case_type") == name).select("case_id", "case_type", checks.alias("checks"), flags.alias("flags"), F.coalesce("confirmed", F.array().cast("array<string>")).alias("confirmed"))
-        own = own.withColumn("checks", rules.confirm(F.col("checks"), {n: r for n, r in rows_of_names().items() if r}, F.col("confirmed")))
-        own = own.withColumn("decision", rules.decide(case_type.get("rules") or {}, F.col("checks"), F.col("flags"))).drop("confirmed")
-        out = own if out is None else out.unionByName(own)
-    return out
+        if case_type.get("enabled", True):
+            checks, flags = build(ids_of(case_type), Case(settings or Settings()))
+            made = F.when(F.col("case_type") == name, F.struct(checks.alias("checks"), flags.alias("flags"))).otherwise(made)
+            enabled.append(name)
+    out = cases.where(F.col("case_type").isin(*enabled)).select("case_id", "case_type", made.alias("made"), confirmed.alias("confirmed"))
+    out = out.select("case_id", "case_type", rules.confirm(F.col("made.checks"), rows, F.col("confirmed")).alias("checks"), F.col("made.flags").alias("flags"))
+    decision = F.lit(None).cast("struct<code:string,reasons:array<string>>")
+    for name in enabled:
+        decision = F.when(F.col("case_type") == name, rules.decide(case_types[name].get("rules") or {}, F.col("checks"), F.col("flags"))).otherwise(decision)
+    return out.withColumn("decision", decision)
 
 
 def check_table(evaluated: DataFrame) -> DataFrame:

@@ -18,7 +18,9 @@ SAVED_KINDS = (("passport_date", "date"), ("birth_date", "date"), ("phone", "pho
 FEDERAL_CITIES = ("Москва", "Санкт-Петербург", "Севастополь")
 CITY = r"(?iU)^(?:г\.|гор\.|город\s|г\s)\s*(.+?)\s*$"
 CITY_AFTER = r"(?iU)^(.+?)\s+(?:г\.?|город)$"
-SETTLEMENT = r"(?U)^(?:пгт|рп|р\.\s?п|пос|п|с|село|дер|деревня|д|ст-ца|станица|х|хутор|аул)\.?\s+([А-ЯЁ][^\d]*?)\s*$"
+#: Kinds of settlements, as they are written before a name.
+SETTLEMENT_KINDS = ("пгт", "рп", r"р\.\s?п", "пос", "п", "с", "село", "дер", "деревня", "д", "ст-ца", "станица", "х", "хутор", "аул")
+SETTLEMENT = rf"(?U)^(?:{'|'.join(SETTLEMENT_KINDS)})\.?\s+([А-ЯЁ][^\d]*?)\s*$"
 DEPARTMENT = r"(?iU),?\s*(?:код\s+подразделения|к/п|код)\s*:?\s*\d{3}\s*[-–]?\s*\d{3}"
 
 
@@ -41,7 +43,7 @@ def compare_owner(card: Column, application: Column, alpha3: dict[str, str] | No
 
 def city_of(address: Column) -> Column:
     """The city of an address: a part marked as one, a federal city, else a settlement; '' without any."""
-    parts = F.filter(F.transform(F.split(text(address), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text(address), ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def city(p: Column) -> Column:
         marked = first_present(F.regexp_extract(p, CITY, 1), F.regexp_extract(p, CITY_AFTER, 1))

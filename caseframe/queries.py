@@ -138,7 +138,7 @@ _RATIO = "CASE WHEN {a} = {b} THEN 100.0 ELSE 200.0 * {lcs} / (length({a}) + len
 
 @query(f"""
 WITH RECURSIVE p AS (
-  SELECT n_nationkey, r_regionkey, n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey >= r_regionkey),
+  SELECT n_nationkey, r_regionkey, n_name AS a, r_name AS b FROM nation CROSS JOIN region),
 t AS (
   SELECT n_nationkey, r_regionkey, a, b, 0 AS i, 0 AS j, list_transform(range(0, length(b) + 1), lambda x: 0) AS above, CAST([] AS BIGINT[]) AS done FROM p
   UNION ALL
@@ -151,8 +151,9 @@ l AS (SELECT n_nationkey, r_regionkey, a, b, done[len(done)] AS lcs FROM t WHERE
 SELECT n_nationkey, r_regionkey, round({_RATIO.format(a="a", b="b", lcs="lcs")}, 6) AS ratio FROM l
 """)
 def indel_ratio_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    pairs = n.join(F.broadcast(r), F.col("n_regionkey") >= F.col("r_regionkey"))
+    """Each nation's name with every region's (a list of a few names, one value of a scalar subquery)."""
+    regions = table(spark, sf, "region").agg(F.collect_list(F.struct("r_regionkey", "r_name"))).scalar()
+    pairs = table(spark, sf, "nation").select("n_nationkey", "n_name", F.inline(regions))
     return pairs.select("n_nationkey", "r_regionkey", F.round(similarity.indel_ratio("n_name", "r_name"), 6).alias("ratio"))
 
 
@@ -350,26 +351,31 @@ def semi_join_previous(spark: SparkSession, sf: str) -> DataFrame:
     return matching.first_match(table(spark, sf, "customer").select("c_custkey"), done, ["c_custkey"], "o_orderkey", "o_orderkey", "first_order")
 
 
-@query("""
-SELECT c_custkey, s_suppkey, CASE WHEN regexp_replace(c_name, '[^0-9]', '', 'g') = regexp_replace(s_name, '[^0-9]', '', 'g') THEN 'ok' ELSE 'fail' END AS number,
-  CASE WHEN round(c_acctbal) = round(s_acctbal) THEN 'ok' ELSE 'fail' END AS balance FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 100 = s_suppkey % 100
+_SAME = "CASE WHEN {0} IS NULL OR {1} IS NULL THEN '' WHEN {0} = {1} THEN 'ok' ELSE 'fail' END AS {2}"
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')"
+
+
+@query(f"""
+SELECT c_custkey, s_suppkey, {_SAME.format(_DIGITS.format("c_name"), _DIGITS.format("s_name"), "number")}, {_SAME.format("c_nationkey", "s_nationkey", "nation")},
+  {_SAME.format("round(abs(c_acctbal))", "round(abs(s_acctbal))", "balance")} FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey
 """)
 def attribute_compare_map(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's record against the supplier of the same number, '' where there is none."""
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    pairs = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 100 == F.col("s_suppkey") % 100))
+    pairs = c.join(s, F.col("c_custkey") == F.col("s_suppkey"), "left")
     pairs = pairs.withColumn("a", F.round("c_acctbal").cast("long").cast("string")).withColumn("b", F.round("s_acctbal").cast("long").cast("string"))
-    m = matching.compare_attributes(pairs, {"number": ("c_name", "s_name", "digits"), "balance": ("a", "b", "text")})
-    exact = F.when(F.col("a") == F.col("b"), "ok").otherwise("fail")  # signs count here, unlike in texts
-    return m.select("c_custkey", "s_suppkey", F.col("compared")[0]["status"].alias("number"), exact.alias("balance"))
+    m = matching.compare_attributes(pairs, {"number": ("c_name", "s_name", "digits"), "nation": ("c_nationkey", "s_nationkey", "digits"), "balance": ("a", "b", "digits")})
+    return m.select("c_custkey", "s_suppkey", *(F.col("compared")[i]["status"].alias(n) for i, n in enumerate(("number", "nation", "balance"))))
 
 
 @query("""
-SELECT doc_id, a.toxic AS before, b.toxic AS after FROM (SELECT doc_id, toxic FROM labels WHERE doc_id % 5 <> 0) a
-FULL JOIN (SELECT doc_id, CAST(n_chars > 3000 AS INT) AS toxic FROM documents WHERE doc_id % 7 <> 0) b USING (doc_id) WHERE a.toxic IS DISTINCT FROM b.toxic
+SELECT doc_id, a.toxic AS before, b.toxic AS after FROM (SELECT doc_id, toxic FROM labels) a
+FULL JOIN (SELECT doc_id, CAST(n_chars > 3000 AS INT) AS toxic FROM documents) b USING (doc_id) WHERE a.toxic IS DISTINCT FROM b.toxic
 """)
 def full_outer_diff(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "labels").where("doc_id % 5 <> 0").select("doc_id", "toxic")
-    b = table(spark, sf, "documents").where("doc_id % 7 <> 0").select("doc_id", (F.col("n_chars") > 3000).cast("int").alias("toxic"))
+    """Labels against those that a rule gives."""
+    a = table(spark, sf, "labels").select("doc_id", "toxic")
+    b = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 3000).cast("int").alias("toxic"))
     return matching.difference(a, b, ["doc_id"], "toxic")
 
 
@@ -412,17 +418,15 @@ def found_missing_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH p AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'free' ELSE 'not_found' END WHEN o_orderstatus = 'F' AND o_orderkey % 11 = 0 THEN 'error'
   ELSE CASE o_orderpriority[1] WHEN '1' THEN 'mismatch' WHEN '2' THEN 'review' WHEN '3' THEN 'warn' WHEN '4' THEN 'info' ELSE 'ok' END END AS problem FROM orders)
-SELECT o_orderkey, problem, row_number() OVER (ORDER BY list_position(['free', 'mismatch', 'not_found', 'error', 'review', 'warn', 'info', 'unchecked', 'ok'], problem), o_orderkey) AS place FROM p ORDER BY place LIMIT 1000
+SELECT o_orderkey, problem, row_number() OVER (ORDER BY list_position(['free', 'mismatch', 'not_found', 'error', 'review', 'warn', 'info', 'unchecked', 'ok'], problem), o_orderkey) AS place FROM p
 """)
 def severity_rank_sort(spark: SparkSession, sf: str) -> DataFrame:
-    """A report of the worst thousand, in order."""
+    """Every order with its place in the problem order."""
     o = table(spark, sf, "orders")
     lookup = F.when(F.col("o_orderstatus") == "P", "not_found").when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 11 == 0), "failed").otherwise("found")
     registry = F.when(F.col("o_orderkey") % 2 == 0, "free").otherwise("taken")
     verdict = F.get(F.array(*map(F.lit, ("fail", "review", "warn", "info", "ok"))), F.substring("o_orderpriority", 1, 1).cast("int") - 1)
-    worst = grouping.in_problem_order(o.select("o_orderkey", grouping.problem(lookup, registry, verdict).alias("problem")), "problem", "o_orderkey").limit(1000)
-    ordered = worst.agg(F.array_sort(F.collect_list(F.struct(grouping.problem_rank(F.col("problem")).alias("rank"), "o_orderkey", "problem"))).alias("all"))
-    return ordered.select(F.posexplode("all").alias("pos", "x")).select("x.o_orderkey", "x.problem", (F.col("pos") + 1).cast("long").alias("place"))
+    return grouping.placed(o.select("o_orderkey", grouping.problem(lookup, registry, verdict).alias("problem")), "problem", "o_orderkey")
 
 
 @query("""
@@ -430,8 +434,7 @@ SELECT event_type, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT event_t
 """)
 def status_histogram(spark: SparkSession, sf: str) -> DataFrame:
     h = grouping.histogram(table(spark, sf, "events"), "event_type")
-    total = h.agg(F.sum("n").alias("total"))
-    return h.join(F.broadcast(total)).select("event_type", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    return h.select("event_type", "n", F.round(F.col("n") / h.agg(F.sum("n")).scalar(), 6).alias("share"))
 
 
 @query("""

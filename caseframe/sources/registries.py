@@ -54,6 +54,7 @@ def parse_rdap(c: Column, code: Column) -> Column:
 def query_kind(c: Column) -> Column:
     """struct(kind, value) of what someone typed to find an account: a number, an address or login, a domain name, or neither."""
     v = F.trim(text(c))
+    # How a number is written in links, headings and letters.
     patterns = (r"user_id=(\d+)", r"/user/(\d+)(?:/|$|\?)", r"#\s*(\d{3,})", r"(?iu)пользователя\s+(\d{3,})", r"(?iU)договор\w*\s*(?:№|N|No)?\s*(\d{3,})", r"^\s*(?:№\s*)?(\d{3,})\s*$")
     number = F.coalesce(*(F.nullif(F.regexp_extract(v, p, 1), F.lit("")) for p in patterns))
     address = F.btrim(F.split_part(F.btrim(v, F.lit("<> \t\"'")), F.lit(" "), F.lit(1)), F.lit("<> \t\"'"))

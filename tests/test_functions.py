@@ -117,6 +117,39 @@ def test_domains(spark, one):
     assert one(domains.mixed_alphabets(F.array(L("aб.ru"), L("ab.com")))) == ["aб.ru"]
 
 
+@pytest.mark.parametrize(
+    "given, expected, joined",
+    [
+        ("info-\nstore.ru", "info-store.ru", ["info-store.ru"]), ("my-\nbig-\nshop.ru", "my-big-shop.ru", ["my-big-shop.ru"]), ("shop.\nru, a.com", "shop.ru, a.com", ["shop.ru"]), ("shop\n.ru", "shop.ru", ["shop.ru"]),
+        ("info-dvd.ru-\nnext", "info-dvd.ru-\nnext", []), ("ab\u00ad\ncd.ru", "abcd.ru", ["abcd.ru"]), ("x@mail-\nbox.ru", "x@mail-\nbox.ru", []), ("слово. Новое", "слово. Новое", []), ("a- b.ru", "a-b.ru", ["a-b.ru"]), ("a – b.ru", "a – b.ru", []), ("", "", []),
+    ],
+)
+def test_names_joined_over_line_ends(given, expected, joined):
+    """Values that must be as they are: what breaks a name, and what keeps two names apart."""
+    assert domains._join(given) == (expected, joined)
+
+
+def test_stated_counts(spark):
+    """Values that must be as they are: which numbers a text states of its names."""
+    rows = {
+        "всего 76 (семьдесят шесть) доменов": 76, "в количестве 3 шт.": 3, "Итого: 5": 5, "количество доменов — 7": 7, "5 (пять) доменов": 5, "5 шт. доменов": 5, "всего двадцать пять (доменов": 25, "всего 76.ru": None, "12345 доменов": None,
+        "всего много доменов": None, "имя 3. доменов": None, "домен": None,
+    }
+    got = spark.createDataFrame([(k,) for k in rows], "t string").select("t", domains.stated_count("t").alias("n")).collect()
+    assert {r.t: r.n for r in got} == rows
+
+
+def test_best_window_is_that_of_all_windows():
+    import random
+
+    r = random.Random(4)
+    for _ in range(400):
+        short, long = ("".join(r.choice("abc ") for _ in range(n)) for n in (r.randint(1, 6), r.randint(6, 30)))
+        windows = [similarity._row_ratio(short, long[max(e - len(short), 0) : min(e, len(long))]) for e in range(1, len(long) + len(short))]
+        score, a, z = similarity._best_window(short, long)
+        assert score == max(windows) and similarity._row_ratio(short, long[a:z]) == score
+
+
 def test_zone(spark):
     rows = [("p", 1, "noise"), ("p", 2, "PNRUSTESTOV<<P2TR<SERGEEVI3<<<<<<<<<<<<<<<<<"), ("p", 3, "4500000003RUS9003152M<<<<<<<9100420770001<52")]
     found = zone.zone_lines(spark.createDataFrame(rows, "page string, n int, line string"), ["page"], "n", "line")

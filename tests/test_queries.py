@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__
 from oracle import TESTDATA, differences
 
+import caseframe.planted  # noqa: F401  registers its queries
 from caseframe.queries import ORACLE_SQL, QUERIES
 
 SF = f"{TESTDATA}/sf0.001"
