@@ -225,7 +225,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sha
     met = placed.groupBy("size", "pivot", "left", "right").applyInArrow(_meet(cosine, shared, {s: len(p) for s, p in pivots.items()}), "entry long, n long, least long")
     met = Written(met, "met").df
 
-    reached = components(met.select(F.col("entry").alias("a"), F.col("least").alias("b")))
+    reached = components(met.select(F.col("entry").alias("a"), F.col("least").alias("b"))).df
     linked = met.groupBy("entry").agg(F.sum("n").alias("n"))
     by_entry = entries.select("digest", "entry", "copies").join(linked, "entry", "left").join(reached.select(F.col("v").alias("entry"), "component"), "entry", "left")
     by_entry = by_entry.select("digest", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component_id"))

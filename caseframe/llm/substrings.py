@@ -42,7 +42,7 @@ CELLS, COUNTERS = 1 << 16, 8
 #: Suffixes that a prefix may begin before it is made longer.
 HEAVY = 500_000
 #: Words of a part.
-PART = 1_500_000
+PART = 1_000_000
 _BLANK = re.compile(rb"[ \t-\r]")
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseframe.llm import decontamination, graph, lines, near_dup, packing, pii, pivots, sharding, substrings, token_store, toxicity
-from caseframe.llm.common import Words, numbered, runs_hash, shared_folder
+from caseframe.llm.common import SPACE, Words, numbered, one_text_each, sequence_digests, shared_folder, window_digests
 from caseframe.llm.tokens import Encoder, tokenizer_path
 
 WORDS = "the quick brown fox jumps over a lazy dog while seven wizards pack boxes of jugs and naïve façade élan".split()
@@ -62,23 +62,41 @@ def test_word_fingerprints_tell_words_apart():
     h = words.hashes
     assert h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
     values = np.arange(50, dtype=np.uint64) % np.uint64(7)
-    starts = np.arange(40)
-    found = runs_hash(values, starts, starts + 9)
-    assert [int(x) for x in found[:7]] == [int(x) for x in found[7:14]] and len(set(found[:7].tolist())) == 7
+    found = window_digests(values, 9)
+    assert len(found) == 42 and [int(x) for x in found[:7]] == [int(x) for x in found[7:14]] and len(set(found[:7].tolist())) == 7
+    assert len(window_digests(values, 51)) == 0
+
+
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two texts that polynomial fingerprints modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return " ".join((a, b)[x] for x in bits), " ".join((b, a)[x] for x in bits)
+
+
+def test_fingerprints_of_alternating_texts_differ():
+    left, right = (t.encode() for t in thue_morse(2048, "yes", "no"))
+    words = Words([left, right, left])
+    found = sequence_digests(words.hashes, words.first[:-1], words.first[1:])
+    assert found[0] == found[2] != found[1]
+    assert not set(window_digests(words.hashes[:2048], 1024)[:1].tolist()) & set(window_digests(words.hashes[2048:4096], 1024)[:1].tolist())
+    long = Words([b"".join(b"ab"[i : i + 1] for i in map(lambda x: bin(x).count("1") & 1, range(n))) for n in (256, 255, 300, 9, 8)], SPACE)
+    assert len(set(long.hashes.tolist())) == 5
 
 
 def test_numbered_is_gapless(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     for few in (True, False):
-        got = numbered(df, ["g"], "id", "n", 8, few).groupBy("g").agg(F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c")).collect()
+        got = numbered(df, ["g"], "id", "n", 400, 8, few).groupBy("g").agg(F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c")).collect()
         assert all(r.d == r.c == r.hi + 1 and r.lo == 0 for r in got)
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 9), (9, 9), (50, 7), (200, 201)]
-    got = {r.v: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.v: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).df.collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, 3: 3, 7: 3, 9: 3, 50: 3, 200: 200, 201: 200}
-    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).df.count() == 0
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(chain, "a long, b long"), most_rounds=1)
 
 
 def test_chunks_give_the_ids_of_whole_texts():
@@ -114,7 +132,7 @@ PII_TEXTS = [
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.train(pii.labelled_rows(300), steps=60)
+    return pii.train(pii.labelled_rows(pii.LABELLED_ROWS))
 
 
 def test_base_spans_are_the_patterns(field):
@@ -128,29 +146,53 @@ def test_field_finds_unusual_spellings_and_no_decoys(field):
     found = pii.spans_of([t for t, _ in held], field)
     gold = {(i, *s) for i, (t, ss) in enumerate(held) for s in ss if pii.CHECKS[s[0]](t[s[1] : s[2]]) or s in brute_base(t)}
     got = {(i, *s) for i, ss in enumerate(found) for s in ss}
-    assert len(gold & got) / len(gold) > 0.8 and len(got - gold) / len(got) < 0.15
+    assert len(gold & got) / len(gold) > 0.9 and len(got - gold) / len(got) < 0.05
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_planted_values_are_found_in_long_texts(field, kind):
+    """Values written in ways that no base pattern matches, hidden in texts of other words."""
+    spellings = {
+        "email": ["mail john (at) example.com", "mail john -at- example -dot- com", "contact mira {at} example (dot) org", "write to john arobase example.fr", "contact john [at] mira [dot] example"],
+        "ip": ["server 10 . 20 . 30 . 40", "host 10[.]20[.]30[.]40", "ip 192 dot 168 dot 10 dot 20", "host 172 [.] 16 [.] 31 [.] 101", "server 12(.)34(.)56(.)78"],
+        "card": ["card 4111.1111.1111.1111", "visa 4111/1111/1111/1111", "karte 4111_1111_1111_1111", "card 4111 - 1111 - 1111 - 1111", "card 4111  1111  1111  1111"],
+        "phone": ["tel (415) 555-0100", "phone 415-555-0100", "call 415.555.0100", "fax 0049 415 555 0100", "telefon (415) 555 0100"],
+    }
+    texts = [invented(i, 300) + ". " + s + " " + invented(i + 50, 300) for i, s in enumerate(spellings[kind])]
+    assert not any(s[0] == kind for t in texts for s in brute_base(t))
+    assert sum(any(k == kind for k, _, _ in found) for found in pii.spans_of(texts, field)) >= 4
 
 
-def test_stretches_decode_as_whole_texts(field):
-    texts = [invented(1, 200) + " " + t + " " + invented(2, 200) for t in PII_TEXTS[:3]] + [t for t, _ in pii.labelled_rows(60, seed=3)]
-    assert pii.spans_of(texts, field) == pii.spans_of(texts, field, whole=True)
+def test_stretches_give_the_labels_of_whole_texts(field, monkeypatch):
+    texts = [" ".join(t for t, _ in pii.labelled_rows(60, seed=s)) for s in (3, 4)] + PII_TEXTS
+    cut = pii.spans_of(texts, field)
+    monkeypatch.setattr(pii, "STRETCH", 100_000)
+    assert pii.spans_of(texts, field) == cut
 
 
-def test_written_at_signs_are_found_without_another_trigger():
-    field = pii.train(pii.labelled_rows(pii.LABELLED_ROWS))
-    words = " ".join(["anon", "tion", "shle"] * 20)
-    texts = [f"{words} mail john{at}{host} {words}" for at in (" (at) ", " [at] ", "(at)", " arobase ", " arroba ", " AT ") for host in ("example.com", "mira.example.fr")]
-    texts += [f"{words} john (at) example.com", "john [at] example.com", "john arobase example.fr", f"{words} stay at home. {words}"]
-    found = pii.spans_of(texts, field)
-    assert found == pii.spans_of(texts, field, whole=True)
-    assert [[t[a:z] for _, a, z in f] for t, f in zip(texts, found, strict=True)] == [re.findall(r"john.*example\.(?:com|fr)", t) for t in texts]
+def test_a_long_number_table_takes_bounded_memory(field):
+    import tracemalloc
+
+    text = " ".join(str(i) for i in range(300_000))
+    tracemalloc.start()
+    assert pii.spans_of(["short"] * 255 + [text], field)[0] == []
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
 
 
 def test_pii_on_awkward_rows(docs, empty, field):
     got = by_id(pii.find(docs, field))
     assert len(got) == len(ROWS) and got[1].spans == [] and pii.find(empty, field).count() == 0
-    cut = pii.redact(docs.limit(0).union(docs.sparkSession.createDataFrame([(1, "to a@b.cd now", "", "", 0, "", 0)], docs.schema)), field)
-    assert cut.first().text == "to <email> now"
+    rows = [(1, "to a@b.cd now", "x"), (1, None, "y"), (None, "call +1 415 555 0100.", "z")]
+    cut = pii.redact(docs.sparkSession.createDataFrame(rows, "doc_id long, text string, spans string"), field)
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted([(1, "to <email> now", "x"), (1, None, "y"), (None, "call <phone>.", "z")], key=str)
+
+
+def test_weights_are_stored_once(spark, monkeypatch):
+    first = pii.stored_field(spark, 30)
+    monkeypatch.setattr(pii, "train", None)
+    again = pii.stored_field(spark, 30)
+    assert (first.emit == again.emit).all() and (first.move == again.move).all()
 
 
 # --------------------------------------------------------------------------------------------------- 2: token store
@@ -173,6 +215,27 @@ def test_store_round_trip(spark, docs, empty, tmp_path):
     assert chunks.count() == chunks.select("digest").distinct().count()
     token_store.write_store(empty, f"{tmp_path}/none")
     assert token_store.verify_store(spark, f"{tmp_path}/none").count() == 0
+    assert all(r.intact for r in token_store.verify_parts(spark, folder).collect())
+
+
+@pytest.mark.parametrize("table, change", [
+    ("chunks", "drop"), ("chunks", "flip"), ("recipes", "drop"), ("recipes", "flip"), ("manifest", "drop"), ("manifest", "flip"),
+])
+def test_damage_to_a_store_is_found(spark, tmp_path, table, change):
+    rows = [(i, invented(i, 50)) for i in range(20)]
+    folder, broken = f"{tmp_path}/store", f"{tmp_path}/broken"
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    for name in ("chunks", "recipes", "manifest"):
+        df = spark.read.parquet(f"{folder}/{name}")
+        if name == table:
+            key = {"chunks": "digest", "recipes": "doc_id", "manifest": "part"}[name]
+            one = df.where(F.col(key) >= 0 if name == "manifest" else F.lit(True)).agg(F.min(key)).first()[0]
+            hit = F.col(key) == F.lit(one)
+            column = {"chunks": "ids", "recipes": "digests", "manifest": "root"}[name]
+            df = df.where(~hit) if change == "drop" else df.withColumn(column, F.when(hit, F.concat(F.lit(b"\x01\x01"), F.substring(column, 3, 1 << 20))).otherwise(F.col(column)))
+        df.write.parquet(f"{broken}/{name}")
+    documents, parts = token_store.verify_store(spark, broken).collect(), token_store.verify_parts(spark, broken).collect()
+    assert not all(r.intact for r in documents) and (table == "chunks" or (table, change) == ("recipes", "flip") or not all(r.intact for r in parts))
 
 
 def test_joined_crcs():
@@ -206,6 +269,21 @@ def test_shards_are_even_and_keep_copies_together(spark, copies):
         assert len(where["hot"]) <= -(-copies // (len(rows) // 24)) + 4  # no more shards than it needs, and few
 
 
+def test_fewer_links_are_cut_than_by_dealing(spark):
+    """Pairs of copies in different shards, against dealing rows by a hash."""
+    rows = [(i, f"text {i % 40 if i % 3 else i}") for i in range(900)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+
+    def cut(shard: dict) -> int:
+        groups = defaultdict(Counter)
+        for i, t in rows:
+            groups[t][shard[i]] += 1
+        return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
+
+    dealt = cut({i: zlib.crc32(str(i).encode()) % 24 for i, _ in rows})
+    assert cut({r.doc_id: r.shard for r in got}) < 0.1 * dealt
+
+
 def test_shards_of_nothing(empty):
     assert sharding.assign(empty).count() == 0
 
@@ -213,12 +291,16 @@ def test_shards_of_nothing(empty):
 # ---------------------------------------------------------------------------------------------- 4: near duplicates
 
 
-def brute_classes(rows, idf, least=0.8):
-    texts = [text_of(t).encode() for _, t in rows]
-    shingles = near_dup.Shingles(texts)
-    vectors = [dict() for _ in rows]
-    for h, o, w in zip(shingles.hashes.tolist(), shingles.of.tolist(), near_dup.weights(shingles, idf).tolist(), strict=True):
-        vectors[o][h] = w
+def brute_classes(rows, least=0.8):
+    """By the words themselves: no fingerprints."""
+    shingled = []
+    for _, t in rows:
+        words = words10(t)
+        shingled.append(Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else Counter())
+    held = Counter(s for c in shingled for s in c)
+    common = max(near_dup.COMMON_SHARE * len(rows), near_dup.COMMON_LEAST)
+    idf = lambda s: 1 if held[s] <= common else np.log1p(len(rows) / held[s]) / np.log1p(len(rows) / common)
+    vectors = [{s: (1 + np.log(n)) * idf(s) for s, n in c.items()} for c in shingled]
     top = list(range(len(rows)))
 
     def find(i):
@@ -243,7 +325,43 @@ def test_near_duplicates_are_those_of_all_pairs(spark, block):
     rows += [(100 + i, " ".join(f"new{j}" if j < 2 * i else w for j, w in enumerate(words))) for i in range(12)]
     table = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     got = by_id(near_dup.near_duplicates(table, block=block))
-    assert {i: r.class_id for i, r in got.items()} == brute_classes(sorted(rows), near_dup.count_common(table))
+    assert {i: r.class_id for i, r in got.items()} == brute_classes(sorted(rows))
+
+
+def test_alternating_texts_are_not_alike(spark):
+    rows = [(1, thue_morse(64, "yes", "no")[0]), (2, thue_morse(64, "yes", "no")[1]), (3, "".join(thue_morse(64, "a", "b")[0].split())), (4, "".join(thue_morse(64, "a", "b")[1].split()))]
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.class_id for i, r in got.items()} == brute_classes(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_common_shingles_are_counted_alike_for_any_slices(spark, parts):
+    """A shingle of most texts, and one of a few."""
+    rows = [(i, f"{SHARED} own{i} words{i} of{i} text{i}") if i % 5 else (i, invented(i, 30)) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    idf = near_dup.count_common(one_text_each(table))
+    held = Counter(s for _, t in rows for s in {tuple(w[k : k + 5]) for w in (words10(t),) for k in range(len(w) - 4)})
+    assert len(idf.hashes) == sum(n > 50 for n in held.values()) > 30
+    assert idf.idf == pytest.approx(np.log1p(200 / 160) / np.log1p(200 / 50))
+    got = by_id(near_dup.near_duplicates(table, prune=False))
+    assert {i: r.class_id for i, r in got.items()} == brute_classes(rows)
+
+
+def test_planted_near_copies_are_caught(spark):
+    """Copies with a few edits, similar by 0.8 or more by plain sets of shingles, among other texts."""
+    r = np.random.default_rng(12)
+    rows, planted = [(i, invented(3000 + i, 200)) for i in range(150)], 0
+    for i in range(150):
+        words = rows[i][1].split()
+        for k in r.choice(len(words), 3, replace=False):
+            words[k] = f"edit{i}"
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (words10(rows[i][1]), words10(" ".join(words))))
+        if len(a & b) / len(a | b) >= 0.8:
+            planted += 1
+            rows.append((1000 + i, " ".join(words)))
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    caught = sum(got[i].class_id == i - 1000 for i, _ in rows if i >= 1000)
+    assert planted > 100 and caught / planted > 0.9 and all(got[i].kept for i in range(150))
 
 
 def test_vectors_give_the_similarities_of_pairs():
@@ -257,7 +375,7 @@ def test_vectors_give_the_similarities_of_pairs():
 def test_near_duplicates_on_awkward_rows(docs, empty):
     rows = sorted(ROWS)
     got = by_id(near_dup.near_duplicates(docs))
-    want = brute_classes(rows, near_dup.count_common(docs))
+    want = brute_classes(rows)
     assert {i: r.class_id for i, r in got.items()} == want
     assert want[17] == want[18] == want[19] == want[23] == 16 and want[21] == 21 and want[22] == 22
     assert near_dup.near_duplicates(empty).count() == 0
@@ -359,6 +477,49 @@ def test_capitals_are_counted_in_whole_texts(spark):
         assert found[i].caps == pytest.approx(sum("A" <= c <= "Z" for c in t) / max(1, len(t.encode())), abs=1e-12)
 
 
+def test_label_model_beats_counting_votes():
+    """Voters of unlike accuracy, three of them copies of a poor one; a tenth of the rows labelled. Accuracies are recovered."""
+    r = np.random.default_rng(19)
+    y = r.random(30_000) < 0.3
+    right = np.linspace(0.6, 0.9, toxicity.VOTERS)
+    base = [np.where(r.random(len(y)) < p, y, ~y) for p in right]
+    base[1] = base[2] = base[3] = base[0]
+    label = np.where(r.random(len(y)) < 0.1, y, -1).astype(int)
+    rows = np.stack([sum(b.astype(np.int64) << k for k, b in enumerate(base)), label], 1)
+    values, which, n = np.unique(rows, axis=0, return_inverse=True, return_counts=True)
+    model = toxicity.LabelModel(values[:, 0], values[:, 1], n)
+    without = model.posterior(model.bits, np.full(len(values), -1))[which.ravel()]
+    counted = np.mean(base, axis=0)
+    wrong, wrong_counted = ((without > 0.5) != y).mean(), ((counted > 0.5) != y).mean()
+    assert wrong < 0.6 * wrong_counted and wrong < 0.03
+    alone = [k for k in range(4, toxicity.VOTERS) if model.parent[k] < 0]
+    assert all(abs(model.fire[1, k, 0] - right[k]) < 0.03 for k in alone) and abs(model.prior - 0.3) < 0.03
+    assert {0, 1, 2, 3} <= {0, *(k for k in range(4) if model.parent[k] in (0, 1, 2, 3) or any(model.parent[j] == k for j in range(4)))}
+
+
+def test_posterior_by_hand():
+    """Two independent voters of known rates and one label."""
+    model = toxicity.LabelModel.__new__(toxicity.LabelModel)
+    model.prior, model.label_right, model.parent = 0.2, 0.9, np.full(toxicity.VOTERS, -1)
+    model.fire = np.full((2, toxicity.VOTERS, 2), 0.5)
+    model.fire[1, 0], model.fire[0, 0], model.fire[1, 1], model.fire[0, 1] = 0.8, 0.1, 0.6, 0.3
+    bits = np.zeros((2, toxicity.VOTERS), np.int64)
+    bits[:, 0] = 1
+    p = model.posterior(bits, np.array([-1, 0]))
+    one, other = 0.2 * 0.8 * 0.4, 0.8 * 0.1 * 0.7
+    assert p == pytest.approx([one / (one + other), one * 0.1 / (one * 0.1 + other * 0.9)])
+
+
+def test_votes_of_seeds_need_no_labels():
+    voters = toxicity.Voters(np.empty(0, np.uint64), np.empty(0))
+    texts = [b"You are an IDIOT and a loser!", b"the quick brown fox", b"Du Trottel", b""]
+    table = next(toxicity._looker(voters.vocabulary)(iter([__import__("pyarrow").record_batch({"doc_id": [1, 2, 3, 4], "text": [t.decode() for t in texts]})])))
+    bits = voters.votes(toxicity.Rows(table.to_pandas()))
+    names = list(toxicity.SEEDS)
+    fired = [{n for k, n in enumerate(names) if b >> k & 1} for b in bits.tolist()]
+    assert fired == [{"insults", "contempt"}, set(), {"german"}, set()]
+
+
 def test_label_model_does_not_count_a_voter_twice():
     r = np.random.default_rng(9)
     y = r.random(20_000) < 0.3
@@ -394,14 +555,54 @@ def brute_substrings(rows, n=13):
 def test_repeats_are_cut_as_by_brute_force(docs, empty):
     got = by_id(substrings.cut_repeats(docs))
     assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == brute_substrings(ROWS)
-    assert all(sum(x.words for x in r.repeats) == r.n_removed for r in got.values()) and got[9].n_removed >= 40
+    assert all(r.n_removed <= sum(x.words for x in r.repeats) for r in got.values()) and got[9].n_removed >= 40
+    assert all(x.source < i for i, r in got.items() for x in r.repeats)
     assert substrings.cut_repeats(empty).count() == 0
 
 
-def test_prefix_groups_split_heavy_prefixes(spark):
-    rows = [(i, "same first words " + invented(i, 30)) for i in range(200)]
-    heavy = substrings.heavy_prefixes(spark.createDataFrame(rows, "doc_id long, text string"), 8)
-    assert len(heavy[0]) > 0 and all(len(h) <= 4 * 8 for h in heavy)
+@pytest.mark.parametrize("heavy, part", [(3, 40), (10**9, 10**6)])
+def test_groups_and_parts_do_not_change_the_result(spark, heavy, part):
+    """Hot prefixes of every length, parts that cut documents, many groups."""
+    rows = [(i, "same first words " * (1 + i % 3) + invented(i, 30)) for i in range(60)] + [(100 + i, SHARED + f" x{i} " + invented(500 + i % 4, 50)) for i in range(40)] + [(1000 + i, t) for i, t in ROWS[:-1] if len(text_of(t)) < 9000]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = by_id(substrings.cut_repeats(table, unit=700, part=part, heavy=heavy))
+    assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == brute_substrings(rows)
+
+
+def test_unlike_windows_are_never_one(spark):
+    left, right = thue_morse(13, "yes", "no")
+    rows = [(1, left), (2, right), (3, left), (4, "".join(thue_morse(64, "a", "b")[0].split()) + " x" * 12), (5, "".join(thue_morse(64, "a", "b")[1].split()) + " x" * 12)]
+    got = by_id(substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r.n_words, r.n_removed, r.kept) for i, r in got.items()} == brute_substrings(rows) and [got[i].n_removed for i in range(1, 6)] == [0, 0, 13, 0, 0]
+
+
+def test_words_decide_where_fingerprints_agree():
+    """All symbols alike, so that every fingerprint is the same."""
+    known, texts = substrings.Numbers(), [b"a b c d a b c", b"a b c x", b"b c d"]
+    stretches = [(row, 0, substrings.numbers_of(t, known)) for row, t in enumerate(texts)]
+    part = substrings.Part(stretches, np.array([7, 8, 9]), np.zeros(len(known), np.uint64), 3)
+    found = defaultdict(set)
+    for k, first in enumerate(part.first.tolist()):
+        found[tuple(part.words[first : first + 3].tolist())].add(int(part.of[k]))
+    assert all(len(c) == 1 for c in found.values()) and len({min(c) for c in found.values()}) == len(found) == len(part.least)
+
+
+def test_suffixes_are_sorted_and_share_prefixes():
+    r = np.random.default_rng(8)
+    rows = r.integers(0, 3, (500, 13)).astype(np.int32)
+    order = substrings.sorted_suffixes(rows, 3)
+    assert [tuple(x) for x in rows[order]] == sorted(map(tuple, rows))
+    depths = substrings.common_prefixes(rows[order])
+    for a, b, d in zip(rows[order], rows[order][1:], depths, strict=False):
+        assert (a[:d] == b[:d]).all() and (d == 13 or a[d] != b[d])
+    assert len(substrings.common_prefixes(rows[:1])) == 0
+
+
+def test_repeats_name_their_sources(spark):
+    one, two = invented(700, 20), invented(701, 20)
+    rows = [(1, one), (2, two), (3, f"own {one} {two} words"), (4, f"{one}")]
+    got = by_id(substrings.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [(x.first, x.words, x.source) for x in got[3].repeats] == [(1, 20, 1), (21, 20, 2)] and got[4].repeats[0].source == 1
 
 
 # ------------------------------------------------------------------------------------------------------- 8: packing
@@ -462,13 +663,13 @@ def brute_scan(rows, items, n=10):
     return out
 
 
-@pytest.mark.parametrize("most", [50_000, 3])
+@pytest.mark.parametrize("most", [50_000, 20])
 def test_decontamination(spark, docs, empty, most):
     items = [(1, SHARED[: len(SHARED) // 2]), (2, None), (3, "..."), (10, "Seven WIZARDS"), (11, invented(16, 40)), (12, SHARED), (12, "lazy dog while"), (13, "seven wizards")]
     bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
     small = [(i, t) for i, t in ROWS if len(text_of(t)) < 9000]
     some = docs.where(F.length(F.coalesce("text", F.lit(""))) < 9000)
-    got = by_id(decontamination.scan(some, bench, most_windows=most))
+    got = by_id(decontamination.scan(some, bench, most=most))
     want = brute_scan(small, items)
     assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
     assert all(r.contaminated == (r.n_hit > 0) for r in got.values())
@@ -508,9 +709,24 @@ def test_perfect_hash_numbers_keys_without_gaps():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 20_000).astype(np.uint64))
     h = lines.PerfectHash(keys)
     assert sorted(h(keys).tolist()) == list(range(len(keys))) and h.size == len(keys)
-    twice = lines.LineIndex(np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint32), np.array([1, 1, 3, 2]), np.array([4, 5, 6, 7]))
-    count, last = twice.probe(np.array([5, 5, 9, 8], np.uint64), np.array([1, 2, 1, 1], np.uint32))
-    assert count.tolist() == [4, 1, 2, 0] and last.tolist() == [6, 5, 7, -1]
+    again, size = lines.PerfectHash.load(h.dump() + b"more")
+    assert again(keys).tolist() == h(keys).tolist() and size == len(h.dump())
+    index = lines.LineIndex(np.array([5, 5, 9], np.uint64), np.array([1, 2, 1], np.uint32), np.array([4, 1, 2]), np.array([6, 5, 7]))
+    for x in (index, lines.LineIndex.load(index.dump())):
+        count, last = x.probe(np.array([5, 5, 9, 8, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint32))
+        assert count.tolist() == [4, 1, 2, 0, 0] and last.tolist() == [6, 5, 7, -1, -1]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lines_count_documents_not_rows(spark, parts):
+    rows = [(5, LINE), (5, LINE), (7, LINE), (8, LINE + " too"), (8, LINE + " too"), (9, LINE + " too"), (3, LINE + " too"), (None, LINE)]
+    table = spark.createDataFrame([(i, t, len(t), "x") for i, t in rows], "doc_id long, text string, n_chars long, kept string").repartition(parts)
+    for shard, unit in ((1_000_000, 2_500_000), (1, 10)):
+        got = sorted((r.doc_id, r.n_dropped) for r in lines.drop_repeated_lines(table, shard=shard, unit=unit).collect())
+        assert got == [(3, 1), (5, 0), (5, 0), (7, 0), (8, 1), (8, 1), (9, 0)]
+    whole = lines.without_repeated_lines(table)
+    assert whole.columns == table.columns and sorted((r.doc_id or 0, r.text, r.n_chars, r.kept) for r in whole.collect() if r.doc_id != 5) == sorted(
+        [(0, LINE, len(LINE), "x"), (3, "", 0, "x"), (7, LINE, len(LINE), "x"), (8, "", 0, "x"), (8, "", 0, "x"), (9, LINE + " too", len(LINE) + 4, "x")])
 
 
 def test_shared_folder_is_the_session_setting(spark):
