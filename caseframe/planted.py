@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from caseframe.functions import checksums, dates, domains, fields, issuer, names, similarity, text, zone
 from caseframe.operators import words
-from caseframe.plans import checks, forms, owners, rules
-from caseframe.plans import domains as domain_plan
+from caseframe.plans import answers, forms, owners, sections
 from caseframe.queries import ORACLE_SQL, QUERIES, table
 from caseframe.sources import html, registries
 
@@ -379,3 +378,66 @@ def owner_compare(df: DataFrame) -> dict[str, Column]:
     own = F.filter(rows, lambda r: r["field"].isin("person_r_surname", "phone"))
     saved = owners.verify_saved(made(part[0], F.split_part(part[1], F.lit(","), F.lit(1))), made(part[2], part[3]))
     return {"owner": F.array_join(F.transform(own, lambda r: r["status"]), ","), "saved": F.array_join(F.transform(saved, lambda r: r["status"]), ",")}
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# sections, stored answers, pages
+
+SECTION_FORM = {
+    "id": "transfer", "detect": {"keywords": ["заявление", "домен", "администратор"], "min_hits": 2, "title": ["заявление о смене администратора"], "continuation": ["новому администратору", "подпись заявителя"]}, "labels": ["ФИО", "подпись"],
+    "fields": {
+        "new_admin_fio": {"type": "fio_or_org", "text": [r"ФИО:\s*(.+?)\n"]}, "new_admin_org": {"type": "org", "text": [r"Организация:\s*(.+?)\n"]},
+        "new_admin_contact": {"type": "contact", "text": [r"Контакт:\s*(.+?)\n"]}, "new_admin_org_contact": {"type": "contact", "text": [r"Контакт юрлица:\s*(.+?)\n"]},
+    },
+}
+_BLOCK = {"start": ["(?i)новый владелец:"], "end": ["подпись$"], "max_lines": 14}
+
+
+@planted("orders", "o_orderkey", ("person", "org", "contact", "org_contact"), [
+    ("ФИО: подпись\nНовый владелец:\nООО «Ромашка»\nПробный Иван Ильич\na{n}@b.ru\nподпись", ("ПРОБНЫЙ ИВАН ИЛЬИЧ", "ООО «Ромашка»", "a{n}@b.ru", None)), ("ФИО: подпись\nКонтакт: нет\n", (None, None, None, None)),
+    ("ФИО: Пробный Иван Ильич\nНовый владелец:\nДругой Иван Ильич\nb{n}@c.ru\nподпись", ("ПРОБНЫЙ ИВАН ИЛЬИЧ", None, "b{n}@c.ru", None)), ("Контакт юрлица: c{n}@d.ru\n", (None, None, "c{n}@d.ru", None)),
+    ("Организация: ООО «Ромашка»\nКонтакт юрлица: c{n}@d.ru\n", (None, "ООО «Ромашка»", None, "c{n}@d.ru")),
+])
+def section_merge(df: DataFrame) -> dict[str, Column]:
+    """A section about a new owner merged into a form's fields: scraps go, gaps are filled, contacts without an owner move."""
+    form = forms.load(SECTION_FORM)
+    merged = sections.merge_section(forms.extract(F.col("given"), form), forms.new_owner_section(forms.section(F.col("given"), _BLOCK)), form)
+    return {name: merged[role]["value"] for name, role in (("person", "new_admin_fio"), ("org", "new_admin_org"), ("contact", "new_admin_contact"), ("org_contact", "new_admin_org_contact"))}
+
+
+@planted("orders", "o_orderkey", ("found", "score", "start", "places", "reason"), [
+    ("4018 304191 10 апреля 2019 года;паспорт 4018 304191 выдан кем-то 10 апреля 2019 года", ("4018 304191 10 апреля 2019 года", "95", "8", "", "no name")), ("ромашка ООО;фирма Ромашка ООО, адрес {n}", ("Ромашка ООО", "100", "6", "6", "no name")),
+    ("Пробнй Иван Ильич;Я, Пробный Иван Ильич, прошу", ("Пробный Иван Ильич", "94", "3", "", None)), ("нет такого;фирма {n}", (None, "0", "-1", "", "no name")), ("Тестов П. … подпись;Тестов П. {n} подпись", ("Тестов П. подпись", "100", "0", "", None)),
+    ("ФИО;ФИО фио", ("ФИО", "100", "0", "0|4", "label")),
+])
+def model_answers(df: DataFrame) -> dict[str, Column]:
+    """Stored answers of a model: where their quotes stand in the letter, how surely, how often, and why they can't be values."""
+    q, s = F.split_part("given", F.lit(";"), F.lit(1)), F.split_part("given", F.lit(";"), F.lit(2))
+    g = answers.ground(q, s)
+    return {"found": g["text"], "score": g["score"], "start": g["start"], "places": _listed(F.transform(answers.occurrences(q, s), lambda i: i.cast("string"))), "reason": answers.implausible("fio", q, SECTION_FORM)}
+
+
+@planted("pages", "page_id", ("inside", "extends", "printed", "named", "kept"), [
+    ("a{n}.ru;в списке a{n}\n.ru;Виктор Дмитриевич Ан;Виктор Дмитриевич Андреев", ("true", "true", "false", "true", "ocr-text")), ("a{n}.ru;пишите x@a{n}.ru;Виктор;Виктор Андреев", ("false", "false", "false", "false", "llm-text")),
+    ("ru;ru;и предоставляемых доменам администратору;и предоставляемых доменам администратору", ("false", "false", "true", "false", "ocr-text")),
+])
+def scan_evidence(df: DataFrame) -> dict[str, Column]:
+    """What a page and its regions say of a field."""
+    name, letter, page, region = (F.split_part("given", F.lit(";"), F.lit(i)) for i in (1, 2, 3, 4))
+    source = F.when(F.col("page_id") % 3 == 1, "llm-text").otherwise("regex")
+    return {
+        "inside": answers.domain_in_text(name, letter), "extends": sections.region_extends(page, region), "printed": sections.only_form_words(region, ("предоставляемых", "доменам", "администратор")),
+        "named": sections.title_names(F.concat(F.lit("Продление домена "), F.when(letter.contains("списке"), name).otherwise("z.ru")), F.array(name)), "kept": sections.kept_source(source),
+    }
+
+
+@planted("pages", "page_id", ("kind", "read_by", "note", "line"), [
+    ("Заявление о смене администраторa\nдомен {n}, прошу сменить", ("start", "llm", None, "Заявление о смене администраторa")), ("1. a.ru\n2) b.ru\n3. пример.рф\nи ещё немного слов, чтобы текст был длинным", ("cont", "regex", "the model did not answer", None)), ("опись {n}", (None, "regex", None, None)),
+    ("Новому администратору\nи подпись заявителя", ("cont", "regex", None, None)),
+])
+def pages_of_forms(df: DataFrame) -> DataFrame:
+    """Which pages belong to a form, who reads them, and the line that stands at its head."""
+    by = sections.read_by_model(F.col("given"), F.col("page_id") % 4 < 2, F.col("page_id") % 4 == 0)
+    lines = df.select("page_id", F.posexplode(F.split("given", "\n")).alias("y0", "text"))
+    head = sections.first_line_like(lines, ["page_id"], ["заявление о смене администратора"])
+    return df.select("page_id", sections.page_kind(F.col("given"), SECTION_FORM).alias("kind"), by["by"].alias("read_by"), by["note"].alias("note")).join(head, "page_id", "left")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from caseframe.operators import grouping
 from caseframe.plans import checks
 from caseframe.plans import domains as domain_plan
+from caseframe.plans import outputs
 from caseframe.queries import ORACLE_SQL, QUERIES, table
 from caseframe.streaming import edits
 
@@ -219,6 +220,47 @@ ORACLE_SQL |= {
 }
 
 
+# ---------------------------------------------------------------------------------------------------------------
+# what leaves a case
+
+
+def _whole_cases(spark: SparkSession, sf: str, family: str) -> DataFrame:
+    return cases(spark, sf, family).drop("case_type").join(evaluated(spark, sf, family), "case_id")
+
+
+def export_of_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Each case's export record as JSON, read again: the person, the document, the first name of its list, what would change."""
+    whole = _whole_cases(spark, sf, "owners").select(F.to_json(outputs.export_record()).alias("j"))
+    at = lambda path: F.get_json_object("j", f"$.{path}")
+    return whole.select(
+        at("case_id").cast("long").alias("case_id"), at("decision.code").alias("code"), F.concat_ws(" ", at("applicant.surname"), at("applicant.given_name"), at("applicant.patronymic")).alias("person"),
+        F.concat_ws(" ", at("applicant.passport.series"), at("applicant.passport.number")).alias("document"), at("domains[0].punycode").alias("first_domain"), at("system_update.passport.before").alias("document_before"),
+    )
+
+
+def register_of_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """The register's row of each case."""
+    rows = outputs.register_rows(_whole_cases(spark, sf, "owners"))
+    return rows.select(F.col("case_id").cast("long").alias("case_id"), F.date_format("day", "yyyy-MM-dd").alias("day"), "decision", "passport", "differences", "to_review")
+
+
+_OUT = "SELECT o_orderkey AS case_id, {} FROM orders JOIN (VALUES {}) AS k(kind, {}) ON o_orderkey % 5 = kind"
+QUERIES |= {f.__name__: f for f in (export_of_cases, register_of_cases)}
+ORACLE_SQL |= {
+    "export_of_cases": _OUT.format(
+        "code, 'Тестов Петр Сергеевич' AS person, document, nullif(first_domain, '') AS first_domain, nullif(document_before, '') AS document_before",
+        _values([(0, "reject", "4510 111111", "a.ru", ""), (1, "reject", "4510 111111", "a.ru", "4509 000000"), (2, "reject", "4510 111111", "", ""), (3, "review", "4510 111111", "", ""), (4, "accept", " ", "", "")]), "code, document, first_domain, document_before",
+    ),
+    "register_of_cases": _OUT.format(
+        "'2021-01-01' AS day, decision, passport, differences, to_review",
+        _values([
+            (0, "reject: old document", "4509 000000", "Указан прежний паспорт", ""), (1, "reject: other owner", "", "Домены администратора", ""), (2, "reject: other owner", "", "Заявитель — текущий администратор", ""),
+            (3, "review: look", "4509 000000", "", "Указан прежний паспорт"), (4, "accept", "", "", ""),
+        ]), "decision, passport, differences, to_review",
+    ),
+}
+
+
 # ---------------------------------------------------------------------------------------------------------------
 # streams
 
