@@ -81,6 +81,12 @@ def drop_all(*tables: Written | None) -> None:
             t.drop()
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that operators have left in the shared folder: what results that are still to be read need, too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/caseframe")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 #: Rows of a bucket that numbered() ranks in one task.
 BUCKET_ROWS = 500_000
 
