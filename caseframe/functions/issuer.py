@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caseframe.functions.similarity import token_set_ratio
@@ -89,8 +88,3 @@ def repair_words(words: DataFrame, vocabulary: DataFrame, least: int = 5, long:
     best = near.groupBy("word").agg(F.min(F.struct("edits", "candidate")).alias("best"), F.min("edits").alias("least"))
     alone = near.join(best, "word").where(F.col("edits") == F.col("least")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("candidate").alias("repaired"))
     return words.join(alone.where("n = 1").select("word", "repaired"), "word", "left").withColumn("repaired", F.coalesce("repaired", "word"))
-
-
-def rank_candidates(near: DataFrame) -> DataFrame:
-    """(word, candidate, edits) with the place of each candidate of its word, nearest first."""
-    return near.withColumn("place", F.row_number().over(W.partitionBy("word").orderBy("edits", "candidate")))

@@ -134,6 +134,22 @@ def near_keywords(source: pd.Series, keywords: pd.Series, above: pd.Series) -> p
     return pd.Series([one(*row) for row in zip(source, keywords, above, strict=True)], dtype=object)
 
 
+#: How like a keyword a word is that counts for it, as a whole and in its best piece.
+WORD_LIKE, PIECE_LIKE, PIECE_LEAST = 75.0, 90.0, 5
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def like_words(words: pd.Series, keywords: pd.Series) -> pd.Series:
+    """The keywords of each row that one of its words is like; a null list is not looked at."""
+
+    def like(w: str, k: str) -> bool:
+        if 200.0 * min(len(w), len(k)) >= WORD_LIKE * (len(w) + len(k)) and _row_ratio(w, k) >= WORD_LIKE:
+            return True
+        return len(w) >= PIECE_LEAST and _best_window(*sorted((w, k), key=len), PIECE_LIKE - 0.001)[0] >= PIECE_LIKE
+
+    return pd.Series([None if ws is None else [k for k in ks if any(like(w, k) for w in ws)] for ws, ks in zip(words, keywords, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StructType().add("score", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType()))
 def best_alignment(quote: pd.Series, source: pd.Series) -> pd.DataFrame:
     """Where in the source the quote stands, as well as it can be found."""

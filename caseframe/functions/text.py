@@ -131,8 +131,3 @@ def not_in(items: ColumnOrName, known: ColumnOrName) -> Column:
     """The items, repeats included, that the other array does not have in lower case."""
     low = F.transform(col(known), F.lower)
     return F.filter(col(items), lambda x: ~F.array_contains(low, x))
-
-
-def in_parts(c: ColumnOrName, after: int) -> Column:
-    """The first `after` items and how many more there are."""
-    return F.struct(F.slice(col(c), 1, after).alias("shown"), F.greatest(F.size(col(c)) - after, F.lit(0)).alias("more"))

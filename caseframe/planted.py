@@ -340,6 +340,12 @@ def recognised_lines(df: DataFrame) -> DataFrame:
     return words.page_text(lines, ["p_partkey"]).withColumnRenamed("text", "page").join(lines.groupBy("p_partkey").agg(F.count("*").alias("lines"), F.avg("conf").alias("conf")), "p_partkey")
 
 
+@planted("part", "p_partkey", ("score",), [("РОССИЙСКАЯ ФЕДЕРАЦИЯ паспорт {n}", ("3",)), ("РОССИЙСКА ЛЕРАЦИЯ", ("2",)), ("ничего {n}", ("0",)), ("ПАСПОР гражданина", ("1",)), ("", ("0",))])
+def keyword_scores(df: DataFrame) -> dict[str, Column]:
+    """Printed words of a document in recognised texts, misread ones too."""
+    return {"score": words.keyword_score(F.col("given"), ("РОССИЙСКАЯ", "ФЕДЕРАЦИЯ", "ПАСПОРТ"))}
+
+
 @planted("customer", "c_custkey", ("first", "issued", "department", "n"), [
     ("4508 № 123456 выдан 01.02.2003 код 770-001; 2003 654321; 4508 123456", ("4508 123456", "01.02.2003", "770-001", "1")), ("нет {n}", (None, None, None, None)),
 ])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseframe.operators import words
-from caseframe.plans import checks, domains, forms, owners, rules
+from caseframe.plans import checks, domains, forms, outputs, owners, rules, validate
 from caseframe.sources import html, registries
 from caseframe.streaming import edits
 
@@ -197,3 +197,62 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # a restart adds nothing
         edits.evaluate_each(edits.submissions(spark, f"{tmp_path}/in/*", schema), lambda b: b, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_outputs_are_written_by_day_and_can_be_repeated(spark, fields, tmp_path):
+    good = case(fields, confirmed=["contract"])
+    known = {"fio": "Тестов Пётр Сергеевич", "birth_date": "", "passport": "4508 111111", "passport_issue_date": "01.01.2008", "passport_issued_by": "овд города тестова", "domains": [], "source": "x"}
+    rows = [good, case(fields, "later", as_of=date(2021, 1, 2), admin=known), case(fields, "alone", pas=None, app={"applicant_fio": field("Тестова Петра Сергеевича")})]
+    cases = spark.createDataFrame(rows, checks.CASE)
+    whole = cases.drop("case_type").join(checks.evaluate(cases, TYPES), "case_id")
+    for _ in range(2):
+        outputs.save_outputs(whole, str(tmp_path))
+    exported = {r.case_id: r for r in spark.read.json(f"{tmp_path}/export").collect()}
+    assert set(exported) == {"c", "later", "alone"} and spark.read.parquet(f"{tmp_path}/register").count() == 3 and spark.read.json(f"{tmp_path}/result").count() == 3
+    one = exported["c"]
+    assert (one.applicant.surname, one.applicant.given_name, one.applicant.passport.series, one.applicant.passport.number) == ("Тестов", "Петр", "4509", "000000")
+    assert [d.name for d in one.domains] == ["info-store.ru", "test.рф"] and one.domains[1].punycode.startswith("test.xn--") and one.new_admin.emails == ["a@b.ru"] and one.confirmed_by_operator == ["contract"]
+    assert exported["alone"].applicant.surname == "Тестов" and exported["alone"].applicant.passport.series == ""
+    update = exported["later"].system_update
+    assert (update.passport.before, update.passport.after) == ("4508 111111", "4509 000000") and update.passport_issue_date.after == "20.04.2010" and "passport_issued_by" not in update.asDict()
+
+
+def test_configuration_problems():
+    assert validate.problems([FORM], {"change": TYPES["change"], "off": {"enabled": False}}) == []
+    bad = {"id": "bad", "detect": {}, "fields": {"a": {"type": "nothing", "text": ["(", "x"], "role": "r", "digits": [0]}, "b": {"role": "r", "llm": False}, "c": {"scan": {"region": {"x0": 0}}}}, "rows": [{"id": "fio"}]}
+    types = {"t": {"form": "none", "checks": ["nothing"], "rules": {"reject": [{"when": {"flag": "zz"}, "reason": "q"}, {"when": {"check": "Дата рождения", "status": ["odd"]}, "reason": "w"}]}}, "empty": {}}
+    found = "\n".join(validate.problems([bad, bad | {"rows": []}], types, ["fio", "passport"]))
+    for part in ("used 2 times", "no keywords", "unknown type 'nothing'", "is no pattern", "has no group", "several fields", "digits is", "nothing reads it", "without an anchor", "lacks dy0, dy1, x1", "needs id and title", "its id is taken", "no form 'none'", "unknown check 'nothing'", "nothing raises the flag 'zz'", "not among the type's checks", "unknown status 'odd'", "must list its checks", "no row 'address'"):
+        assert part in found, part
+
+
+def test_configuration_files(tmp_path):
+    (tmp_path / "a.yaml").write_text("id: a\ndetect: {keywords: [x]}\nfields:\n  inn: {type: inn, text: ['ИНН (.+)']}\n", encoding="utf-8")
+    (tmp_path / "types.yml").write_text("t: {form: a}\n", encoding="utf-8")
+    found = validate.load_forms(tmp_path)
+    assert [f["id"] for f in found] == ["a"] and found[0]["fields"]["inn"]["role"] == "inn"
+    assert validate.problems(found, validate.load_case_types(tmp_path / "types.yml")) == []
+
+
+def test_owner_record_of_the_first_name_that_has_one(spark):
+    records = spark.createDataFrame([("b.ru", "B"), ("c.ru", "C")], "domain string, record string")
+    asked = spark.createDataFrame([("x", 0, "a.ru"), ("x", 1, "c.ru"), ("x", 2, "b.ru"), ("y", 0, "a.ru")], "case_id string, pos int, domain string")
+    assert [(r.case_id, r.domain, r.record) for r in registries.owner_records(records, asked).collect()] == [("x", "c.ru", "C")]
+    stored, missing = registries.cached_answers(spark.createDataFrame([("p",), ("q",)], "payload string"), spark.createDataFrame([("p", "1"), ("p", "1")], "payload string, answer string").selectExpr("sha2(payload, 256) AS digest", "answer"))
+    assert [(r.payload, r.answer) for r in stored.collect()] == [("p", "1")] and [r.payload for r in missing.collect()] == ["q"]
+
+
+def test_documents_from_several_readings(spark):
+    made = [("c", "surname", "ocr", field("ТЕСТОВ")), ("c", "surname", "mrz", field("ТЕСТОВА")), ("c", "birth_date", "ocr", field("01.01.2020")), ("c", "issue_date", "manual", field("01.01.1990", "manual"))]
+    kind = f"case_id string, role string, source string, field {checks.FIELD}"
+    chosen = words.choose_source(spark.createDataFrame(made, kind), ["case_id"], ["mrz", "ocr", "manual"])
+    roles = words.implausible_dates(F.col("fields"), date(2021, 1, 1))
+    r = chosen.select("fields", roles.alias("bad"), words.set_aside(F.col("fields"), roles).alias("left")).first()
+    assert r.fields["surname"].value == "ТЕСТОВА" and r.fields["surname"].alternatives == ["ТЕСТОВ"] and r.bad == ["birth_date"]
+    assert r.left["birth_date"].value is None and r.left["birth_date"].alternatives[0] == "01.01.2020" and r.left["issue_date"].value == "01.01.1990"
+
+
+def test_requests_once_each(spark, tmp_path):
+    spark.createDataFrame([("a", datetime(2020, 1, 1, 0, 0)), ("a", datetime(2020, 1, 1, 0, 1)), ("b", datetime(2020, 1, 1, 0, 2))], "url string, at timestamp").write.parquet(f"{tmp_path}/in")
+    stream = edits.submissions(spark, f"{tmp_path}/in", "url string, at timestamp")
+    assert sorted(r.url for r in edits.run_to_memory(edits.once_each(stream, ["url"], "at", "10 minutes"), "once_each").collect()) == ["a", "b"]
