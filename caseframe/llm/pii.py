@@ -285,11 +285,21 @@ class Field:
         for k in range(1, len(TABLES)):
             emit += table[found[..., k]]
         n, longest = blank.shape
+        # O and B follow anything; I follows its own B or I only.
+        free = np.array([0, *range(1, _N, 2)])
+        begin, inner = np.arange(1, _N, 2), np.arange(2, _N, 2)
+        into, from_begin, from_inner = np.ascontiguousarray(move[:, free].T), move[begin, inner], move[inner, inner]
         best, back = emit[:, 0] + move[0], np.zeros((longest, n, _N), np.int8)
         for t in range(1, longest):
-            paths = best[:, :, None] + move
-            back[t] = paths.argmax(1)
-            best = np.where((t < length)[:, None], paths.max(1) + emit[:, t], best)
+            paths = best[:, None, :] + into
+            via = paths.argmax(2)
+            new = emit[:, t].copy()
+            new[:, free] += np.take_along_axis(paths, via[..., None], 2)[..., 0]
+            started, gone_on = best[:, begin] + from_begin, best[:, inner] + from_inner
+            new[:, inner] += np.maximum(started, gone_on)
+            back[t][:, free] = via
+            back[t][:, inner] = np.where(gone_on > started, inner, begin)
+            best = np.where((t < length)[:, None], new, best)
         label, labels, rows = best.argmax(1), np.zeros((n, longest), np.int8), np.arange(n)
         for t in range(longest - 1, -1, -1):
             inside = t < length
