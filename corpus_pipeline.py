@@ -3,17 +3,20 @@
 toxicity: documents predicted toxic go. line dedup: lines that three or more documents share stay in one of them.
 MinHash near-dedup: one document of each group of near duplicates stays. decontamination: documents that hold a benchmark
 window go. packing: the pieces of the documents that are left, in sequences of at most 4,096 tokens.
+
+Null texts count as empty and stay null. Rows without doc_id pass the filtering stages and are left out by packing. Of rows that repeat
+a doc_id, toxicity, near-dedup and decontamination drop all if they name the doc_id; line dedup and packing treat each. Other
+columns, whatever their names, are carried along by all stages but packing. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from caseframe.llm import decontamination, lines, near_dup, packing, toxicity
-from caseframe.llm.common import shared_folder, table
+from caseframe.llm.common import Written, drop_all, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every other stage's documents are Parquet in the shared folder."""
-    folder = f"{shared_folder(spark)}/caseframe/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each other stage's documents are a table in the shared folder, freed when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            out.write.parquet(f"{folder}/{i}")
-            out = spark.read.parquet(f"{folder}/{i}")
-        docs = out
-    return docs
+        if i + 1 == len(STAGES):
+            return out
+        after = Written(out, "pipeline")
+        drop_all(before)
+        docs, before = after.df, after
