@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseframe.llm import decontamination, lines, near_dup, packing, pii, pivots, sharding, substrings, token_store, toxicity
+from caseframe.llm import decontamination, divergence, lines, near_dup, packing, pii, pivots, quality, sharding, substrings, token_store, toxicity, whitening
 from caseframe.llm.common import shared_folder, table
 
 
@@ -68,6 +68,18 @@ def op10_perfect_hash_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_crf": op1_pii_crf,
     "op2_token_store": op2_token_store,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bin_slack_packing": op8_bin_slack_packing,
     "op9_ngram_decontamination": op9_ngram_decontamination,
     "op10_perfect_hash_line_dedup": op10_perfect_hash_line_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_fourier_quality": op12_fourier_quality,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +101,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_suffix_tree_dedup": substrings.ORACLE,
     "op9_ngram_decontamination": decontamination.ORACLE,
     "op10_perfect_hash_line_dedup": lines.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
