@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from caseframe.llm.common import Written, numbered, tidy
+from caseframe.llm.common import Written, drop_all, numbered, tidy
 
 DOCUMENTS = 10
 TOP = 10
@@ -227,8 +227,9 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, top: int = TOP, block: in
 
     # Chunks of kept terms; a term's place in its chunk is the order of its bytes.
     chunk = F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / width)).cast("int")
-    indexed = kept.df.join(languages, "lang").withColumn("chunk", chunk)
-    indexed = Written(indexed.withColumn("idx", (F.row_number().over(W.partitionBy("lang", "chunk").orderBy("term")) - 1).cast("long")), "chunks")
+    # Written first, so that the ranks below are dealt by chunk and not, like the join, by language.
+    dealt = Written(kept.df.join(languages, "lang").withColumn("chunk", chunk), "dealt-terms")
+    indexed = Written(dealt.df.withColumn("idx", (F.row_number().over(W.partitionBy("lang", "chunk").orderBy("term")) - 1).cast("long")), "chunks")
     entries = Written(counts.df.join(indexed.df.select("lang", "term", "chunk", "idx"), ["lang", "term"]).join(numbers, ["lang", "source"]).select("lang", "chunk", "block", "no", "idx", "n"), "entries")
     packed = entries.df.select("lang", "chunk", "block", (F.col("no") - F.col("block") * block).alias("row"), "idx", "n").groupBy("lang", "chunk", "block").applyInArrow(_pack_unit, "lang string, chunk int, block long, counts binary")
     totals = entries.df.groupBy("lang", "no").agg(F.sum("n").alias("n"))
@@ -250,6 +251,7 @@ def audit(docs: DataFrame, documents: int = DOCUMENTS, top: int = TOP, block: in
         meetings = staying.join(travelling.hint("shuffle_hash"), ["lang", "chunk", "block"]).select("lang", "block", "other_block", "v", "width", "roster", "counts", "other_roster", "other_counts").mapInArrow(_meet, "lang string, a long, b long, value long")
         met = meetings if met is None else met.unionByName(meetings)
     sums = Written(met.groupBy("lang", "a", "b").agg(F.sum("value").alias("value")), "divergences").df
+    drop_all(counts, kept, dealt, entries)
     sides = sums.select("lang", "value", F.explode(F.array(F.struct(F.col("a").alias("no"), F.col("b").alias("peer")), F.struct(F.col("b").alias("no"), F.col("a").alias("peer")))).alias("s")).select("lang", "value", "s.no", "s.peer")
     name = roster.df.select("lang", "no", "source")
     pairs = sides.join(name, ["lang", "no"]).join(name.select("lang", F.col("no").alias("peer"), F.col("source").alias("item")), ["lang", "peer"]).select("lang", "source", "item", "value")
