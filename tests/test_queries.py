@@ -13,6 +13,7 @@ from oracle import TESTDATA, differences
 
 import caseframe.planted  # noqa: F401  registers its queries
 import caseframe.planted_cases  # noqa: F401  registers its queries
+import caseframe.scans  # noqa: F401  registers its queries
 from caseframe.queries import ORACLE_SQL, QUERIES
 
 SF = f"{TESTDATA}/sf0.001"
