@@ -71,7 +71,7 @@ def find_anchors(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
     start = F.struct(F.lit(0).cast("bigint").alias("below"), F.array().cast(kind).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        last = F.element_at(s["out"], -1)
+        last = F.try_element_at(s["out"], F.lit(-1))
         done = (F.size(s["out"]) > 0) & (last["place"] == x["place"])
         # hits of a field come best first: the first one that isn't above the earlier fields' label
         low = F.when(done, F.lit(True)).otherwise(x["line_y1"] < s["below"])
