@@ -3,6 +3,7 @@ what has to come out of each kind. Domain lists and streams over the same tables
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
@@ -15,7 +16,7 @@ from caseframe.plans import checks
 from caseframe.plans import domains as domain_plan
 from caseframe.plans import outputs
 from caseframe.queries import ORACLE_SQL, QUERIES, table
-from caseframe.streaming import edits
+from caseframe.streaming import edits, lookups
 
 
 def field(value: str | None = None, confidence: float = 0.98, source: str = "text", crop: str | None = None, alternatives: Sequence[str] = (), items: Sequence[str] | None = None, number: int | None = None) -> dict:
@@ -265,12 +266,43 @@ ORACLE_SQL |= {
 # streams
 
 
+def _replay_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one; only a local session may go without that setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="caseframe-")
+    return f"{shared.rstrip('/')}/caseframe/replay-{uuid.uuid4().hex}"
+
+
 def stream_edits_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Events as edits of a user's fields, replayed as a stream: the value given last for each, and how many there were."""
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*").select("user_id", F.col("event_type").alias("role"), F.struct("ts", "event_id").alias("at"), "value")
-    out = edits.run_to_memory(edits.latest_values(stream, ["user_id", "role"], "value", "at"), f"edits_{uuid.uuid4().hex}", "complete")
+    out = edits.run_to_folder(edits.latest_values(stream, ["user_id", "role"], "value", "at"), _replay_folder(spark), "complete")
     return out.select("user_id", "role", F.round("value", 4).alias("value"), "edits")
 
 
+def stream_cases_with_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as cases that look up some order priorities, orders as the replies that come one by one: what is known of each case and
+    what is missing in the end."""
+    read = lambda name: spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet*")
+    start = F.lit("1990-01-01 00:00:00").cast("timestamp")
+    asked = F.transform(F.sequence(F.lit(1), (F.col("c_custkey") % 5 + 1).cast("int")), lambda i: i.cast("string"))
+    cases_ = read("customer").select(F.col("c_custkey").alias("case_id"), start.alias("at"), asked.alias("items"))
+    replies = read("orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.substring("o_orderpriority", 1, 1).alias("item"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("answer"))
+    out = edits.run_to_folder(lookups.cases_with_replies(cases_, replies, 60 * 24 * 36500), _replay_folder(spark))
+    last = out.groupBy("case_id").agg(F.max_by(F.struct("known", "missing", "state"), "version").alias("r"))
+    return last.select(F.col("case_id").cast("long").alias("c_custkey"), F.array_join(F.transform("r.known", lambda k: F.concat_ws(":", k["item"], k["answer"])), " ").alias("known"), F.array_join("r.missing", " ").alias("missing"), F.col("r.state").alias("state"))
+
+
+QUERIES["stream_cases_with_replies"] = stream_cases_with_replies
+ORACLE_SQL["stream_cases_with_replies"] = """
+WITH a AS (SELECT c_custkey, CAST(unnest(range(1, c_custkey % 5 + 2)) AS VARCHAR) AS item FROM customer),
+r AS (SELECT o_custkey, left(o_orderpriority, 1) AS item, arg_max(lpad(CAST(o_orderkey AS VARCHAR), 12, '0'), (o_orderdate, o_orderkey)) AS answer FROM orders GROUP BY ALL),
+j AS (SELECT a.c_custkey, a.item, r.answer FROM a LEFT JOIN r ON r.o_custkey = a.c_custkey AND r.item = a.item)
+SELECT c_custkey, coalesce(string_agg(item || ':' || answer, ' ' ORDER BY item) FILTER (answer IS NOT NULL), '') AS known, coalesce(string_agg(item, ' ' ORDER BY item) FILTER (answer IS NULL), '') AS missing,
+  CASE WHEN count(*) = count(answer) THEN 'complete' ELSE 'open' END AS state FROM j GROUP BY c_custkey
+"""
 QUERIES["stream_edits_replay"] = stream_edits_replay
 ORACLE_SQL["stream_edits_replay"] = "SELECT user_id, event_type AS role, round(arg_max(value, (ts, event_id)), 4) AS value, count(*) AS edits FROM events GROUP BY user_id, event_type"

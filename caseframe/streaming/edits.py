@@ -39,3 +39,20 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def run_to_folder(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, written to a folder that driver and executors share and read from there. A micro-batch that runs again
+    overwrites its own part; in complete mode the last batch's result counts."""
+    spark, schema = stream.sparkSession, stream.schema
+    numbers: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+        numbers.append(number)
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    parts = numbers[-1:] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(schema).parquet(*(f"{folder}/result/batch={n}" for n in parts))
