@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.functions.fields import same
+from caseframe.operators.likeness import pairs_within_edits
 
 
 def missing_items(items: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,38 +34,12 @@ def counted_agreement(compared: Column) -> Column:
     return F.struct(F.size(F.filter(some, lambda x: x["status"] == "ok")).alias("ok"), F.size(some).alias("total"))
 
 
-def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
-    """(place before the i-th of some parts of a string, letters of the part)."""
-    start, end = F.floor(i * length / parts).cast("int"), F.floor((i + 1) * length / parts).cast("int")
-    return start, end - start
-
-
 def nearest_by_edits(left: DataFrame, right: DataFrame, within: list[str], a: str, b: str, most: int, name: str = "nearest") -> DataFrame:
     """Left rows with the other table's nearest string at an edit distance of at most `most`, not their own, first in order of
-    distance and then of string.
-
-    A string in most + 1 parts keeps one of them whole through `most` edits, shifted by `most` letters at the most: strings meet by
-    such a part, the other's length and their key, so that their number does not grow with the square of a key's strings."""
-    numbers = F.sequence(F.lit(0), F.lit(most))
-
-    def own_parts(c: Column) -> Column:
-        n = F.length(c)
-        return F.transform(numbers, lambda i: F.struct(n.alias("n"), i.alias("i"), F.substring(c, _segment(n, i, most + 1)[0] + 1, _segment(n, i, most + 1)[1]).alias("part")))
-
-    def looked_for(c: Column) -> Column:
-        def shifted(n: Column, i: Column) -> Column:
-            start, size = _segment(n, i, most + 1)
-            return F.transform(F.sequence(F.greatest(start - most, F.lit(0)), start + most), lambda p: F.struct(n.alias("n"), i.alias("i"), F.substring(c, p + 1, size).alias("part")))
-
-        lengths = F.sequence(F.greatest(F.length(c) - most, F.lit(0)), F.length(c) + most)
-        return F.array_distinct(F.flatten(F.transform(lengths, lambda n: F.flatten(F.transform(numbers, lambda i: shifted(n, i))))))
-
-    l = left.select(*within, a).distinct().withColumn("__key", F.explode(looked_for(F.col(a))))  # noqa: E741
-    r = right.select(*within, F.col(b).alias("__other")).distinct().withColumn("__key", F.explode(own_parts(F.col("__other"))))
-    met = l.join(r, [*within, "__key"]).where(F.col(a) != F.col("__other")).select(*within, a, "__other").distinct()
-    near = met.withColumn("__edits", F.levenshtein(a, "__other", most)).where("__edits >= 0")
-    best = near.groupBy(*within, a).agg(F.min(F.struct("__edits", "__other")).alias("__best"))
-    return best.select(*within, a, F.col("__best.__other").alias(name), F.col("__best.__edits").alias("edits"))
+    distance and then of string."""
+    near = pairs_within_edits(left, right.withColumnRenamed(b, "__b"), within, a, "__b", most)
+    best = near.groupBy(*within, a).agg(F.min(F.struct("edits", "__b")).alias("__best"))
+    return best.select(*within, a, F.col("__best.__b").alias(name), F.col("__best.edits").alias("edits"))
 
 
 def difference(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
