@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseframe.functions import checksums, dates, issuer, similarity, text
 from caseframe.operators import grouping, matching, sequences, votes
 from caseframe.plans import rules
+from caseframe.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -171,8 +172,13 @@ def common_words(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(c, F.col("p_partkey") == F.col("c_custkey")).select("p_partkey", "c_custkey", *(n.cast("long").alias(k) for k, n in sizes.items()))
 
 
-# All words of one side are among the other's.
-@query("SELECT n_nationkey, 100.0 AS score FROM nation")
+# A side whose words are all among the other's has the full score.
+@query("""
+WITH w AS (
+  SELECT n_nationkey, list_distinct(string_split(n_name || ' nation of ' || r_name, ' ')) AS x, list_distinct(string_split(r_name || ' of nation ' || n_name || ' again', ' ')) AS y
+  FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT n_nationkey, CASE WHEN len(list_intersect(x, y)) = least(len(x), len(y)) THEN 100.0 END AS score FROM w
+""")
 def token_set_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Each nation's name, with its key words in another order and some more, against itself."""
     n = table(spark, sf, "nation").join(F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -516,3 +522,36 @@ def export_record_json(spark: SparkSession, sf: str) -> DataFrame:
     record = F.struct(F.col("o_orderstatus").alias("status"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("dated"), F.struct(F.col("c_name").alias("name")).alias("customer"), change.alias("change"))
     back = F.from_json("json", "status string, dated string, customer struct<name:string>, change string")
     return o.select("o_orderkey", F.to_json(record).alias("json")).withColumn("r", back).select("o_orderkey", "r.status", "r.dated", F.col("r.customer.name").alias("customer"), "r.change")
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# web pages
+
+
+@query("""
+SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+  trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS heading,
+  len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS links, array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1), ' ') AS hrefs FROM pages
+""")
+def html_title_and_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Title, heading and links of every page, from its tags."""
+    parts = html.page_parts(table(spark, sf, "pages"), "page_id", "html")
+    first = lambda part: F.min_by("value", F.when(F.col("part") == part, F.col("pos")))
+    links = F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == "link", F.struct("pos", "name")))), lambda x: x["name"])
+    return parts.groupBy("page_id").agg(first("title").alias("title"), first("h1").alias("heading"), F.count_if(F.col("part") == "link").alias("links"), F.array_join(links, " ").alias("hrefs"))
+
+
+@query("""
+WITH p AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '\\?(.*?)(?:#|$)', 1) AS args FROM pages),
+v AS (SELECT page_id, 'Host' AS name, host AS value FROM p UNION ALL SELECT page_id, 'Address', url FROM p UNION ALL SELECT page_id, 'Arguments', args FROM p WHERE args <> '')
+SELECT page_id, name, value FROM v
+""")
+def html_label_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels and values of a table of each page's address, written behind the page's own text: the first value that is not empty."""
+    pages = table(spark, sf, "pages")
+    escaped = lambda c: F.replace(c, F.lit("&"), F.lit("&amp;"))
+    host, args = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.regexp_extract("url", r"\?(.*?)(?:#|$)", 1)
+    rows = [("Host: ", host), ("Address", F.col("url")), ("Arguments:", F.lit("")), ("Arguments:", args), ("Host", F.lit("another"))]
+    made = F.concat(*(F.concat(F.lit(f"<tr><th>{label}</th><td> "), escaped(v), F.lit("</td></tr>")) for label, v in rows))
+    whole = pages.select("page_id", F.concat("html", F.lit("<table><tr><td>one cell</td></tr>"), made, F.lit("</table>")).alias("html"))
+    return html.label_values(html.page_parts(whole, "page_id", "html"), "page_id", ("Host", "Address", "Arguments"))
