@@ -1,11 +1,13 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams, in native expressions only.
 
-The distinct item windows are broadcast as a hash set of strings. A scan of the documents makes every window of their words, one at
-a time (a row each inside one stage, never shuffled), and keeps those that the set holds: equal strings, so that no other check is
-needed. What is found, a few rows for each contaminated document, and one row for each document are then grouped by document.
+What is broadcast are 64-bit fingerprints of the distinct item windows, as many bytes for a long word as for a short one. A scan of
+the documents makes a fingerprint for every window of their words, one at a time (a row each inside one stage, never shuffled), and
+keeps those that the set holds, with their words. These few are verified: a join by the words themselves, dealt over SALT parts
+since one window may be in any share of the documents, drops what only has the fingerprint and brings the items. Then they are
+grouped by document, with one row for each document.
 
-BROADCAST bounds the windows that are broadcast at once. A larger set is dealt into as many sets as that takes, each of which scans
-the documents: the same plan at every size, and documents are shuffled at none.
+BROADCAST bounds the fingerprints that are broadcast at once. A larger set takes a scan of the documents for each BROADCAST of them:
+the same plan at every size, and texts are shuffled at none.
 
 Words are runs of other than `[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. Null and empty texts have none, on
 either side. An item of fewer than WINDOW words is one window of them all. Items with equal texts occur together, item_ids
@@ -16,6 +18,7 @@ doc_id give no result, and remove_contaminated() keeps them. Other columns are i
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from caseframe.llm.common import Written, whole_texts
 
 WINDOW = 10
-#: Distinct item windows that are broadcast at once (about 60 MB).
-BROADCAST = 400_000
+#: Fingerprints that are broadcast at once: a long key each, at most 96 bytes in the hash table (192 MB).
+BROADCAST = 2_000_000
+SALT = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,31 +45,43 @@ def windows(of: Column, n: Column | int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, n (words of the window) and window."""
+    """item_id, n (words of the window), window, and key, a fingerprint of its words."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", words(F.coalesce(F.col("text"), F.lit(""))).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(window))
-    return items.select("item_id", n.alias("n"), F.explode(windows(F.col("words"), n)).alias("window")).distinct()
+    each = items.select("item_id", n.alias("n"), F.explode(windows(F.col("words"), n)).alias("window")).distinct()
+    return each.withColumn("key", F.xxhash64(F.split("window", " ")))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence), items (sorted item_ids as strings that occur), contaminated."""
-    items = item_windows(benchmark, window)
-    known = Written(items.groupBy("n", "window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "item-windows").df
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = BROADCAST, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an occurrence), items (sorted item_ids as strings that occur), contaminated.
+
+    `key` is applied to fingerprints (tests let many windows share one)."""
+    coarse = (lambda x: x) if key is None else key
+    items = item_windows(benchmark, window).withColumn("key", coarse(F.col("key")))
+    known = Written(items.groupBy("n", "window", "key").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), "item-windows").df
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # at most `window` rows
-    blocks = -(-max(1, known.count()) // most)
+    prints = known.select("key").distinct()
+    blocks = -(-max(1, prints.count()) // most)
 
     texts = whole_texts(docs).select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("print"), words(F.col("text")).alias("words"))
     # Place -1 is the document itself.
     places = texts.select("doc_id", "print", "words", F.size("words").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
     first = (lengths or [window])[0]
     each = places.withColumn("n", F.explode(F.array(*map(F.lit, lengths or [window])))).where(F.when(F.col("at") < 0, F.col("n") == first).otherwise(F.col("at") + F.col("n") <= F.col("n_words")))
-    text = F.when(F.col("at") >= 0, F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " "))
-    each = each.select("doc_id", "print", "n_words", "at", "n", text.alias("window"))
-    columns = ["doc_id", "print", "n_words", "at", "n", "items"]
-    sets = [known.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).select("window", "items") for b in range(blocks)]
-    hits = each.join(F.broadcast(sets[0]), "window", "left").where((F.col("at") < 0) | F.col("items").isNotNull()).select(columns)
+    own = F.slice("words", F.col("at") + 1, F.col("n"))
+    each = each.withColumn("key", F.when(F.col("at") >= 0, coarse(F.xxhash64(own))))
+    columns = ["doc_id", "print", "n_words", "at", "n", F.when(F.col("at") >= 0, F.array_join(own, " ")).alias("window")]
+    sets = [prints.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).withColumn("in", F.lit(True)) for b in range(blocks)]
+    met = each.join(F.broadcast(sets[0]), "key", "left").where((F.col("at") < 0) | F.col("in")).select(columns)
     for block in sets[1:]:
-        hits = hits.unionByName(each.join(F.broadcast(block), "window").select(columns))
+        met = met.unionByName(each.join(F.broadcast(block), "key").select(columns))
+    met = Written(met, "met-windows").df
+
+    salt = F.array(*map(F.lit, range(SALT)))
+    dealt = met.where("at >= 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALT)).cast("int"))
+    verified = dealt.join(known.select("window", "items", F.explode(salt).alias("salt")), ["window", "salt"])
+    columns = ["doc_id", "print", "n_words", "at", "n"]
+    hits = verified.select(*columns, "items").unionByName(met.where("at < 0").select(*columns, F.lit(None).cast("array<string>").alias("items")))
 
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("at") >= 0, F.sequence("at", F.col("at") + F.col("n") - 1))))))
     found = hits.groupBy("doc_id", "print").agg(

@@ -17,8 +17,8 @@ blocks by hash, and every two blocks meet in a task of their own.
 A task returns one row for each entry that has links: how many vectors it is linked to there, and the smallest entry that the
 task's links reach from it. Components come from joining those.
 
-Null or empty vectors, zero vectors and vectors with null or non-finite components link with nothing; vectors of other
-lengths never link. Ties between pivots go to the smaller pivot number. Rows that repeat a vec_id count as vectors of their own,
+Null or empty vectors, zero vectors and vectors with null or non-finite components link with nothing; finite components of any
+size do (vectors are scaled by their largest before squaring). Vectors of other lengths never link. Ties between pivots go to the smaller pivot number. Rows that repeat a vec_id count as vectors of their own,
 returned once for each row. An empty table gives no rows; columns but vec_id and embedding are ignored.
 """
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ PER_ROOT, LEAST_PIVOTS = 2.0, 32
 NEAREST, SHARED = 10, 2
 LEAD = 0.8
 BLOCK = 1024
+#: Pivots go to every task: fewer of them where they would take more bytes than this (lists get longer, and are cut into blocks).
+PIVOT_BYTES = 128_000_000
+#: Cosines (entries x pivots) that a task holds at once.
+AT_ONCE = 2_000_000
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,11 +53,12 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, units = [], []
         for v in batch.column("embedding").to_pylist():
             x = None if not v or None in v else np.array(v, np.float64)
-            norm = 0.0 if x is None or not np.isfinite(x).all() else float(np.linalg.norm(x / (top := np.abs(x).max() or 1.0)) * top)
-            if norm > 0 and np.isfinite(norm):
+            top = 0.0 if x is None or not np.isfinite(x).all() else float(np.abs(x).max())
+            if top > 0:
                 x = x + 0.0  # one zero
                 digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                units.append((x / norm).tobytes())
+                x = x / top  # squares neither overflow nor vanish
+                units.append((x / np.linalg.norm(x)).tobytes())
             else:
                 digests.append(None)
                 units.append(None)
@@ -65,21 +71,31 @@ def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
 
 def leaders_of(pivots: np.ndarray) -> np.ndarray:
     """Numbers of the pivots that are not within LEAD of an earlier leader."""
-    led, out = np.zeros(len(pivots), bool), []
-    for i in range(len(pivots)):
-        if not led[i]:
-            out.append(i)
-            led |= pivots @ pivots[i] >= LEAD
-    return np.array(out, np.int64)
-
-
-def _by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
-    """(vector length, rows of that length, their unit vectors)."""
+    out = np.empty(0, np.int64)
+    for at in range(0, len(pivots), BLOCK):
+        block = pivots[at : at + BLOCK]
+        led = np.zeros(len(block), bool)
+        for begin in range(0, len(out), BLOCK):
+            led |= (block @ pivots[out[begin : begin + BLOCK]].T >= LEAD).any(1)
+        near, own = block @ block.T >= LEAD, []
+        for i in range(len(block)):
+            if not led[i]:
+                own.append(at + i)
+                led |= near[i]
+        out = np.concatenate([out, np.array(own, np.int64)])
+    return out
+
+
+def _by_size(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(vector length, rows of that length, their unit vectors), AT_ONCE / pivots rows at a time."""
     for batch in batches:
-        sizes = np.fromiter((len(u) // 8 for u in batch.column("unit").to_pylist()), np.int64, batch.num_rows)
+        sizes = pa.compute.divide(pa.compute.binary_length(batch.column("unit")), 8).to_numpy(zero_copy_only=False)
         for size in np.unique(sizes).tolist():
-            part = batch.filter(pa.array(sizes == size))
-            yield size, part, _matrix(part.column("unit"), size)
+            rows = batch.filter(pa.array(sizes == size))
+            step = max(1, AT_ONCE // len(pivots[size]))
+            for at in range(0, rows.num_rows, step):
+                part = rows.slice(at, step)
+                yield size, part, _matrix(part.column("unit"), size)
 
 
 def _cells(units: np.ndarray, leaders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +114,7 @@ def _radii(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray]):
 
     def radii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         widest = {size: np.full(len(own), -1.0) for size, own in leaders.items()}
-        for size, _, units in _by_size(batches):
+        for size, _, units in _by_size(batches, pivots):
             cell, cosines = _cells(units, pivots[size][leaders[size]])
             dense = np.flatnonzero(cell >= 0)
             np.maximum.at(widest[size], cell[dense], _angles(cosines[dense, cell[dense]]))
@@ -120,7 +136,7 @@ def _describe(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray], rad
     sine = np.sin(min(reach, np.pi / 2))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for size, part, units in _by_size(batches):
+        for size, part, units in _by_size(batches, pivots):
             own, n = pivots[size], len(units)
             order = np.argsort(-np.round(units @ own.T, 12), axis=1, kind="stable")[:, :nearest]
             width = order.shape[1]
@@ -128,8 +144,8 @@ def _describe(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray], rad
             cell, cosines = _cells(units, lead)
             dense = np.flatnonzero(cell >= 0)
             comes = _angles(cosines) <= radii[size] + reach + slack
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (lead @ lead.T)))
-            comes[dense] &= cosines[dense, cell[dense]][:, None] - cosines[dense] <= sine * apart[cell[dense]] + slack
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (lead[cell[dense]] @ lead.T)))
+            comes[dense] &= cosines[dense, cell[dense]][:, None] - cosines[dense] <= sine * apart + slack
             comes[dense] &= np.arange(len(lead)) < cell[dense][:, None]
             comes[dense, cell[dense]] = True
             row, place = np.nonzero(comes)
@@ -144,7 +160,7 @@ def _describe(pivots: dict[int, np.ndarray], leaders: dict[int, np.ndarray], rad
     return describe
 
 
-def _meet(cosine: float, shared: int, pivots_of: dict[int, int]):
+def _meet(cosine: float, shared: int):
     """Links between the blocks of one list or cell: (entry, n, least)."""
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
@@ -156,8 +172,9 @@ def _meet(cosine: float, shared: int, pivots_of: dict[int, int]):
         cell = pivot < 0
         resident = rows.column("home").to_numpy() == pivot
         if not cell:
-            holds = np.zeros((len(entry), pivots_of[size]), np.float32)
-            np.put_along_axis(holds, near, 1, 1)
+            own, column = np.unique(near, return_inverse=True)  # pivots of these rows only: two blocks' at most
+            holds = np.zeros((len(entry), len(own)), np.float32)
+            np.put_along_axis(holds, column.reshape(near.shape), 1, 1)
         a = np.flatnonzero(block == left)
         b = np.flatnonzero(block == right)
         found = []
@@ -202,7 +219,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sha
     sizes = {r["size"]: r["n"] for r in entries.groupBy((F.length("unit") / 8).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each vector length
     pivots = {}
     for size, n in sizes.items():
-        wanted = max(LEAST_PIVOTS, int(PER_ROOT * n**0.5))
+        wanted = max(LEAST_PIVOTS, min(int(PER_ROOT * n**0.5), PIVOT_BYTES // (8 * size)))
         chosen = entries.where(F.length("unit") == 8 * size).orderBy(F.xxhash64("digest"), "digest").limit(wanted).select("unit").collect()
         pivots[size] = np.frombuffer(b"".join(bytes(r["unit"]) for r in chosen), np.float64).reshape(-1, size)
 
@@ -222,7 +239,7 @@ def link(vectors: DataFrame, cosine: float = COSINE, nearest: int = NEAREST, sha
     placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("entry", "copies", "unit", "size", "near", "home", "pivot", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    met = placed.groupBy("size", "pivot", "left", "right").applyInArrow(_meet(cosine, shared, {s: len(p) for s, p in pivots.items()}), "entry long, n long, least long")
+    met = placed.groupBy("size", "pivot", "left", "right").applyInArrow(_meet(cosine, shared), "entry long, n long, least long")
     met = Written(met, "met").df
 
     reached = components(met.select(F.col("entry").alias("a"), F.col("least").alias("b"))).df

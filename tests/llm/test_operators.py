@@ -436,6 +436,33 @@ def test_links_are_those_of_all_pairs(spark):
     assert pivots.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_vectors_of_any_finite_size_link(spark):
+    a = np.concatenate([[1.0], np.full(15, 0.5)])
+    rows = [(i, (x * a).tolist(), 3) for i, x in enumerate((1e308, 0.5e308, 1.0, 5e-310))] + [(4, (-1e308 * a).tolist(), 3)]
+    got = by_id(pivots.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, entry int")), "vec_id")
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (0, 4)}
+
+
+def test_describing_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    unit = lambda n: (x := r.standard_normal((n, 64))) / np.linalg.norm(x, axis=1)[:, None]
+    own, units = unit(6324), unit(10_000)  # as many pivots as 10,000,000 entries have
+    leaders = pivots.leaders_of(own)
+    led = np.zeros(len(own), bool)
+    greedy = [i for i in range(2000) if not led[i] and (led.__ior__(own @ own[i] >= pivots.LEAD) is not None)]
+    assert [i for i in leaders.tolist() if i < 2000] == greedy
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(np.ones(10_000, np.int64)), pa.array([u.tobytes() for u in units])], ["entry", "copies", "unit"])
+    describe = pivots._describe({64: own}, {64: leaders}, {64: np.full(len(leaders), 0.3)}, pivots.NEAREST, pivots.COSINE)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in describe(iter([batch])))
+    assert n == 10_000 and tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+
+
 def test_links_of_a_dense_group_are_whole(spark):
     r = np.random.default_rng(4)
     group = r.standard_normal(64) + 0.176 * r.standard_normal((1000, 64))
@@ -673,6 +700,8 @@ def test_decontamination(spark, docs, empty, most):
     want = brute_scan(small, items)
     assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in got.items()} == want
     assert all(r.contaminated == (r.n_hit > 0) for r in got.values())
+    shared = by_id(decontamination.scan(some, bench, most=most, key=lambda k: F.pmod(k, F.lit(64))))
+    assert {i: (r.n_words, r.n_hit, r["items"]) for i, r in shared.items()} == want
     kept = decontamination.remove_contaminated(some, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, w in want.items() if not w[1]}
     assert decontamination.scan(empty, bench).count() == 0
