@@ -3,7 +3,7 @@
 Base spans are the leftmost non-overlapping matches of fixed patterns with their checks. The field labels every token of every
 text O, B-kind or I-kind from word-shape features (character class, length, cue words, neighbours' shapes, blanks before). It is
 trained here by gradient ascent on the likelihood of a small labelled table (once for a table: the weights are stored
-in the shared folder under its digest), and decoded by Viterbi in numpy, many stretches of text at a time. A span that it finds is
+in the shared folder under a digest of it and of this code), and decoded by Viterbi in numpy, many stretches of text at a time. A span that it finds is
 added if it overlaps no base span and holds what its kind must: digits that pass the kind's check, or an at sign
 and a dot, written in any way, between names. Failing numbers (Luhn, parts above 255) do not come back.
 
@@ -17,8 +17,10 @@ redact() keeps them); other columns are ignored. An empty table gives no rows. O
 from __future__ import annotations
 
 import hashlib
+import inspect
 import random
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from caseframe.llm.common import release, shared_folder, whole_texts
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens that a stretch labels, tokens on each side that it sees besides, and tokens (with padding) decoded at once.
 STRETCH, OVERLAP, AT_ONCE = 256, 32, 200_000
-LABELLED_ROWS = 700
+LABELLED_ROWS = 1500
 
 # ---------------------------------------------------------------------------------------------------------------
 # base patterns (fixed values)
@@ -108,32 +110,38 @@ def labelled_rows(rows: int, seed: int = 7) -> list[tuple[str, list[tuple[str, i
         return next(body + c for c in "0123456789" if luhn(body + c))
 
     def email() -> str:
-        at = pick((" (at) ", " [at] ", " at ", " @ ", "@", "(at)", "[at]", " arobase ", " arroba ", " AT ", " -at- ", "_at_", " {at} "))
-        dot = pick((" (dot) ", " [dot] ", " dot ", " . ", " punkt ", " punto ", " point ", " DOT ", "[dot]", "(dot)", " -dot- ", "_dot_", ".", ".", "."))
-        host = [word(), *([word()] if r.random() < 0.3 else []), pick(("com", "org", "net", "de", "fr", "es", "example"))]
-        name = word() + pick(("", ".", "_", dot)) + pick(("", word(), number(2))) if r.random() < 0.6 else word()
-        return name.rstrip("._ ") + at + dot.join(host)
+        at = pick((" (at) ", " [at] ", " at ", " @ ", "@", "(at)", "[at]", " arobase ", " arroba ", " AT ", " -at- ", "_at_", " {at} ", "{at}", "  at  ", " <at> "))
+        dot = pick((" (dot) ", " [dot] ", " dot ", " . ", " punkt ", " punto ", " point ", " DOT ", "[dot]", "(dot)", " -dot- ", "_dot_", " {dot} ", "{dot}", " <dot> ", ".", ".", ".", "."))
+        if r.random() < 0.5:  # both written alike
+            at, dot = pick(((" at ", " dot "), (" at ", " dot "), (" AT ", " DOT "), (" at ", "."), (" @ ", " . "), (" @ ", " . "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" arroba ", " punto "), (" arobase ", " point ")))
+        host = [*(word() for _ in range(pick((1, 1, 1, 2, 2, 3)))), pick(("com", "org", "net", "de", "fr", "es", "example", "uk", "io"))]
+        name = word() + pick(("", ".", "_", "-", dot)) + pick(("", word(), number(2))) if r.random() < 0.6 else word()
+        return name.rstrip("._- ") + at + dot.join(host)
 
     def ip() -> str:
-        dot = pick((" . ", "[.]", " dot ", "(.)", "[dot]", " [.] ", "."))
-        return dot.join(str(r.randint(0, 255)) for _ in range(4))
+        dot = pick((" . ", "[.]", " dot ", "(.)", "[dot]", " [.] ", "{.}", " (dot) ", " punkt ", "."))
+        return dot.join(str(r.randint(0, pick((9, 99, 255, 255)))) for _ in range(4))
 
     def card() -> str:
         v, gap = valid(16), pick((".", "  ", " - ", "/", "_", " ", "-", ""))
         return gap.join(v[i : i + 4] for i in range(0, 16, 4))
 
     def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
+        a, b, c, d = number(3), number(3), number(4), number(2)
+        if r.random() < 0.5:  # national and international prefixes, groups of any sizes
+            first = pick((f"0{d}", f"0{a}", f"00{d} {number(2)}", f"00{d} {a}", f"+{d} {number(2)}", f"(0{d})", f"0{d}{a}"))
+            return first + pick(("/", " / ", " ", "-", " - ", "/ ")) + pick((b + c, f"{b} {c}", f"{b}{a}", f"{c} {a}", f"{b}-{c}", f"{b} {d} {number(2)}", f"{d} {number(2)} {number(2)} {number(2)}", f"{c} {number(4)}", f"{a} {c}", f"{a}-{c}"))
         return pick((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{number(2)} {a} {b} {c}", f"+{number(1)} ({a}) {b}-{c}", f"0{number(2)}/{b}{c}", f"+{number(2)} / {a} / {b} {c}", f"({a}) {b} {c}"))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
-    cues = {"email": ("mail", "contact", "write to", ""), "ip": ("host", "server", "ip", ""), "card": ("card", "visa", "karte", ""), "phone": ("tel", "phone", "call", "telefon", "fax", "mobile")}
+    cues = {"email": ("mail", "contact", "write to", ""), "ip": ("host", "server", "ip", ""), "card": ("card", "visa", "karte", ""), "phone": ("tel", "phone", "call", "telefon", "fax", "mobile", "mobil", "", "", "")}
     decoys = (
         lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"{number(2)}.{number(2)}.{1900 + r.randint(0, 130)}", lambda: f"{number(4)}-{number(2)}-{number(2)}", lambda: f"{number(2)}:{number(2)}",
         lambda: f'token = "{"".join(pick("0123456789abcdef") for _ in range(40))}"', lambda: number(r.randint(1, 9)), lambda: f"{number(1)},{number(3)}.{number(2)}", lambda: f"section {number(1)}.{number(1)}.{number(1)}",
         lambda: f"at the {word()} dot", lambda: f"look at {word()} . {word()}", lambda: f"{number(2)} % {number(3)}", lambda: f"page {number(3)} - {number(3)}", lambda: f"{word()} ### {number(4)} $$$",
         lambda: f"CC BY-NC {number(1)}.{number(1)}", lambda: f"{number(20)}", lambda: f"{number(3)} {number(2)}", lambda: f"a point at {word()} point {word()}",
-        lambda: f"stay at {word()}. {word()} {word()}", lambda: f"{word()} at the {word()}. {word()}",
+        lambda: f"{number(2)}/{number(2)}/{number(4)}", lambda: f"{number(1)}/{number(1)} {word()}", lambda: f"{number(3)} {number(3)} {word()}", lambda: f"({number(4)})", lambda: f"{number(4)}/{number(2)}",
+        lambda: f"{number(1)} . {number(1)} {word()}", lambda: f"stay at {word()}. {word()} {word()}", lambda: f"{word()} at the {word()}. {word()}",
     )
     out = []
     for _ in range(rows):
@@ -162,7 +170,7 @@ def labelled_rows(rows: int, seed: int = 7) -> list[tuple[str, list[tuple[str, i
 TOKEN = re.compile(r"\s+|[^\W\d_]+|[0-9]+|\S", re.UNICODE)
 AT_WORDS = {"at": "AT", "arobase": "SIGN", "arroba": "SIGN"}
 DOT_WORDS = frozenset(("dot", "punkt", "punto", "point"))
-CUES = {w: i for i, ws in enumerate((("mail", "email", "contact", "write"), ("host", "server", "ip"), ("card", "visa", "karte"), ("tel", "phone", "call", "telefon", "fax", "mobile"))) for w in ws}
+CUES = {w: i for i, ws in enumerate((("mail", "email", "contact", "write"), ("host", "server", "ip"), ("card", "visa", "karte"), ("tel", "phone", "call", "telefon", "fax", "mobile", "mobil", "cell"))) for w in ws}
 SHAPES = ("<end>", "AT", "SIGN", "DOT", "cue0", "cue1", "cue2", "cue3", "d1", "d2", "d3", "d4", "d5-9", "d10-13", "d14-19", "d20+", "octet", "Xx", "X", "x1-3", "x4-8", "x9+", "@", ".", "-", "(", ")", "[", "]", "/", "+", "_", ":", ",", '"', "other")
 SHAPE = {s: i for i, s in enumerate(SHAPES)}
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -309,13 +317,8 @@ class Field:
         return labels
 
 
-def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
-def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 120, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam on all rows at once; forward and backward sums in numpy."""
+def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 160, ridge: float = 1e-3) -> Field:
+    """Maximum likelihood by Adam on all rows at once; forward and backward sums in numpy, scaled to 1 at every token."""
     known = Shapes()
     many, spans = zip(*((t, own) for text, own in rows if len(t := Tokens(text, known))), strict=True)
     length = np.array([len(t) for t in many])
@@ -328,35 +331,36 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 120,
             for kind, start, end in own:
                 if start <= a and z <= end:
                     gold[b, t] = LABELS.index(f"{'B' if a == start else 'I'}-{kind}")
-    found = features(shapes, blank)
-    inside = np.arange(T) < length[:, None]
+    # Tokens come before rows from here on: one step of the recursions is one block of memory.
+    inside = (np.arange(T) < length[:, None]).T
+    found, gold = features(shapes, blank).transpose(1, 0, 2)[inside], gold.T
+    after = np.argwhere(inside[1:])
+    t1, b1 = after[:, 0] + 1, after[:, 1]
+    own = np.zeros((T, B, _N))
+    np.put_along_axis(own, gold[..., None], 1, 2)
+    moves = np.zeros((_N, _N))
+    np.add.at(moves, (gold[t1 - 1, b1], gold[t1, b1]), 1)
+    moves[0] += own[0].sum(0)  # a text begins as after an O
     emit, move, allowed = np.zeros((WIDTH, _N)), np.zeros((_N, _N)), Field.allowed()
     state = [np.zeros_like(emit), np.zeros_like(emit), np.zeros_like(move), np.zeros_like(move)]
-    flat = found[inside].ravel()
+    flat, by_token = found.ravel(), np.zeros((T, B, _N))
+    forward, backward, total = np.empty((T, B, _N)), np.empty((T, B, _N)), np.ones((T, B, 1))
     for step in range(1, steps + 1):
-        score, m = emit[found].sum(2), move + allowed
-        forward = np.zeros((B, T, _N))
-        forward[:, 0] = score[:, 0] + m[0]
-        for t in range(1, T):
-            forward[:, t] = np.where(inside[:, t, None], _sum_exp(forward[:, t - 1, :, None] + m, 1) + score[:, t], forward[:, t - 1])
-        backward = np.zeros((B, T, _N))
+        score = emit[found].sum(1)
+        by_token[inside] = np.exp(score - score.max(1, keepdims=True))
+        go = np.exp(move + allowed)
+        for t in range(T):
+            new = (forward[t - 1] @ go if t else np.tile(go[0], (B, 1))) * by_token[t]
+            total[t] = np.where(inside[t, :, None], new.sum(1, keepdims=True), 1)
+            forward[t] = np.where(inside[t, :, None], new / total[t], forward[t - 1])
+        backward[T - 1] = 1
         for t in range(T - 2, -1, -1):
-            after = _sum_exp(m + (score[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(inside[:, t + 1, None], after, 0)
-        total = _sum_exp(forward[:, -1], 1)[:, None]
-        p = np.exp(forward + backward - total[..., None]) * inside[..., None]
-        wrong = p.copy()
-        np.put_along_axis(wrong, gold[..., None], np.take_along_axis(wrong, gold[..., None], 2) - inside[..., None], 2)
-        g_emit = np.zeros_like(emit)
-        error = np.repeat(wrong[inside], K, 0)
-        for label in range(_N):
-            g_emit[:, label] = np.bincount(flat, error[:, label], WIDTH)
-        pairs = np.zeros((_N, _N))
-        pairs[0] += wrong[:, 0].sum(0)  # a text begins as after an O
-        for t in range(1, T):
-            joint = np.exp(forward[:, t - 1, :, None] + m + (score[:, t] + backward[:, t])[:, None, :] - total[..., None]) * inside[:, t, None, None]
-            pairs += joint.sum(0)
-            np.subtract.at(pairs, (gold[inside[:, t], t - 1], gold[inside[:, t], t]), 1)
+            backward[t] = np.where(inside[t + 1, :, None], (by_token[t + 1] * backward[t + 1] / total[t + 1]) @ go.T, 1)
+        p = forward * backward
+        error = np.repeat((p - own)[inside], K, 0)
+        g_emit = np.stack([np.bincount(flat, error[:, label], WIDTH) for label in range(_N)], 1)
+        pairs = go * (forward[t1 - 1, b1].T @ (by_token[t1, b1] * backward[t1, b1] / total[t1, b1])) - moves
+        pairs[0] += p[0].sum(0)
         for k, (w, g) in enumerate(((emit, g_emit / B + ridge * emit), (move, pairs / B + ridge * move))):
             a, v = state[2 * k], state[2 * k + 1]
             a += 0.1 * (g - a)
@@ -413,7 +417,7 @@ def spans_of(texts: list[str], field: Field, base: list[list[tuple[str, int, int
 def stored_field(spark: SparkSession, rows: int = LABELLED_ROWS, seed: int = 7) -> Field:
     """The field trained on the labelled table, from the shared folder if a query has stored it there before."""
     table = labelled_rows(rows, seed)
-    digest = hashlib.sha256(repr((table, TABLES, LABELS)).encode()).hexdigest()[:24]
+    digest = hashlib.sha256((repr(table) + inspect.getsource(sys.modules[__name__])).encode()).hexdigest()[:24]
     path = f"{shared_folder(spark)}/caseframe/pii-field-{digest}"
     jvm = spark._jvm.org.apache.hadoop.fs
     place = jvm.Path(f"{path}/_SUCCESS")

@@ -163,6 +163,51 @@ def test_planted_values_are_found_in_long_texts(field, kind):
     assert sum(any(k == kind for k, _, _ in found) for found in pii.spans_of(texts, field)) >= 4
 
 
+#: Written by hand, none made by labelled_rows(); every value passes its kind's check.
+BY_HAND = {
+    "email": [
+        "support {at} site {dot} net", "jane  at  sub.corp.co.uk", "peter.miller (at) uni-bonn (dot) de", "reach bob at acme dot com today", "kontakt: info(at)firma.de", "escribe a luis arroba correo punto es",
+        "zoe -at- lab -dot- io", "team42 AT hello DOT org", "mark @ widgets . com", "you can reach sam at fastmail dot com", "billing {at} corp {dot} co {dot} uk", "dev-team (at) project (dot) io", "otto at post . net",
+        "press[at]city.example.org", "e-mail: k.lee at kaist.ac.kr", "office<at>law<dot>eu",
+    ],
+    "ip": [
+        "server 192 . 168 . 1 . 1", "ip 10 dot 0 dot 0 dot 7", "gateway 8[.]8[.]4[.]4", "10(.)1(.)2(.)3 was down", "from 172 . 16 . 0 . 9 and", "dns 1 . 1 . 1 . 1 is used", "node 10 (dot) 20 (dot) 3 (dot) 4",
+        "8 dot 8 dot 8 dot 8 answers", "host: 100 . 64 . 7 . 3", "from 9[dot]9[dot]9[dot]9", "203 [.] 0 [.] 113 [.] 77", "the box 44 . 55 . 66 . 77",
+    ],
+    "card": [
+        "visa 4111.1111.1111.1111", "card no 5500/0000/0000/0004", "karte 4012 - 8888 - 8888 - 1881", "pay with 4242_4242_4242_4242 please", "number 5105  1051  0510  5100", "mastercard: 5555/5555/5555/4444",
+        "card 6011 - 1111 - 1111 - 1117", "my card is 3566.0020.2036.0505", "use 5555.5555.5555.4444 instead", "karte 5105/1051/0510/5100",
+    ],
+    "phone": [
+        "Telefon 0049 30 123456", "call 030/1234567", "tel (415) 555-0100", "phone 415.555.0100 now", "fax 0211 / 555 1234", "mobile 0171-2345678", "ring 00 44 20 7946 0018", "Telefon: (030) 9876 5432", "call me: 212-555-0187",
+        "(212) 555-0199", "0049 89 1234567", "089/9876543", "mobil 0176 1234 5678", "020 7946 0958", "call 617.555.0123", "00 33 1 23 45 67 89", "0800-123-4567", "(0221) 123 4567",
+    ],
+}
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_spellings_written_by_hand_are_found(field, kind):
+    found = pii.spans_of(BY_HAND[kind], field)
+    assert not any(s[0] == kind for t in BY_HAND[kind] for s in brute_base(t))
+    assert sum(any(k == kind for k, _, _ in spans) for spans in found) >= 0.9 * len(found)
+
+
+def test_decoys_written_by_hand_are_left_alone(field):
+    decoys = [
+        "version 1.2.3", "section 4.1.2", "on 12.05.2021", "2021-05-12 at noon", "page 100 - 120", "total 1,234.56", "at the point of no return", "look at this. then go", "id 20210512123456", "room 030 floor 2",
+        "meet at noon . then", "12:30 to 14:00", "ratio 1/2 or 3/4", "we stay at home. net gain", "from 1914 - 1918", "isbn 978-3-16", "score 21 : 19", "he was at ease. So was she",
+    ]
+    assert pii.spans_of(decoys, field) == [[]] * len(decoys)
+
+
+def test_every_labelled_span_counts_for_recall(field):
+    held = pii.labelled_rows(200, seed=11)
+    got = {(i, *s) for i, spans in enumerate(pii.spans_of([t for t, _ in held], field)) for s in spans}
+    for kind in pii.KINDS:
+        gold = {(i, *s) for i, (_, spans) in enumerate(held) for s in spans if s[0] == kind}
+        assert len(gold & got) >= 0.9 * len(gold)
+
+
 def test_stretches_give_the_labels_of_whole_texts(field, monkeypatch):
     texts = [" ".join(t for t, _ in pii.labelled_rows(60, seed=s)) for s in (3, 4)] + PII_TEXTS
     cut = pii.spans_of(texts, field)
