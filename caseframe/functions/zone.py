@@ -93,7 +93,7 @@ def _names(field: str, home: bool) -> tuple[str, str, str]:
 def _parse(line1: str, line2: str, year: int) -> tuple:
     home = line1[:5] == "PNRUS"
     spans = {"number": (0, 9), "birth_date": (13, 19), "expiry_date": (21, 27), "optional": (28, 42)}
-    options, checks = [], []
+    read, checks, blanks = [], [], []
     for name, (a, b) in spans.items():
         value, check = line2[a:b], _as_digits(line2[b])
         blank = not value.strip("<") and (name == "expiry_date" or name == "optional" and not home)
@@ -101,9 +101,14 @@ def _parse(line1: str, line2: str, year: int) -> tuple:
             value = _as_digits(value)
         if home and name == "optional":
             value = _as_digits(value[:13]) + value[13:]
-        options.append([(value, 0)] if blank else _candidates(value, check))
+        read.append(value)
         checks.append(line2[b] if blank else check)
+        blanks.append(blank)
     total = _as_digits(line2[43])
+    if _digit("".join(map("".join, zip(read, checks, strict=True)))) == total and all(blank or _digit(v) == c for v, c, blank in zip(read, checks, blanks, strict=True)):
+        options = [[(v, 0)] for v in read]  # nothing needs a change
+    else:
+        options = [[(v, 0)] if blank else _candidates(v, c) for v, c, blank in zip(read, checks, blanks, strict=True)]
     best = None
     for combo in product(*options):
         whole = _digit("".join(v + c for (v, _), c in zip(combo, checks, strict=True))) == total
