@@ -111,8 +111,11 @@ def _parse(line1: str, line2: str, year: int) -> tuple:
         options = [[(v, 0)] if blank else _candidates(v, c) for v, c, blank in zip(read, checks, blanks, strict=True)]
     best = None
     for combo in product(*options):
+        cost = sum(abs(n) for _, n in combo)
+        if best is not None and cost >= best[0]:
+            continue
         whole = _digit("".join(v + c for (v, _), c in zip(combo, checks, strict=True))) == total
-        cost = sum(abs(n) for _, n in combo) + (0 if whole else 100)
+        cost += 0 if whole else 100
         if best is None or cost < best[0]:
             best = (cost, combo, whole)
     _, combo, whole = best
