@@ -3,7 +3,9 @@ the rows mean is decided in DataFrame operations."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +17,16 @@ from caseframe.functions.text import squeeze
 PARTS = "part string, tbl int, row int, cell int, name string, value string"
 
 
+#: What an ampersand may begin, and a character that no text holds, for those that begin no whole reference.
+_REFERENCE, _PLAIN = re.compile("&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][0-9A-Za-z]*;)?"), "\ufdd0"
+
+
+def _whole_references(html: str) -> str:
+    """Ampersands marked that don't begin a reference known and closed by a semicolon: they stand for themselves, whereas the parser
+    would take the first letters of `&amp` or `&notes` as a reference."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else _PLAIN + m[0][1:], html)
+
+
 class _Parts(HTMLParser):
     """(part, table, row, cell, name, value) in the order of the page: title, headings, links, cells, inputs."""
 
@@ -28,7 +40,7 @@ class _Parts(HTMLParser):
         return tuple(self.stack[-1]) if self.stack else (None, None, None)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
+        a = {k: (v or "").replace(_PLAIN, "&") for k, v in attrs}
         if tag == "table":
             self.tables += 1
             self.stack.append([self.tables, -1, -1])
@@ -59,12 +71,12 @@ class _Parts(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.text:
-            self.text[-1][1].append(data)
+            self.text[-1][1].append(data.replace(_PLAIN, "&"))
 
 
 def _parts(html: str) -> list[tuple]:
     parser = _Parts()
-    parser.feed(html or "")
+    parser.feed(_whole_references(html or ""))
     parser.close()
     return parser.out
 
