@@ -69,3 +69,11 @@ def test_regions_that_a_name_names(spark, body, codes):
 def test_cities_in_other_cases():
     assert issuer.city_forms("КАЗАНЬ") == ["КАЗАНЬ", "КАЗАНИ", "КАЗАНЮ", "КАЗАНЕ"] and issuer.city_forms("ИВАНОВО") == ["ИВАНОВО"]
     assert issuer.city_forms("ГРОЗНЫЙ") == ["ГРОЗНЫЙ", "ГРОЗНОГО", "ГРОЗНОМ", "ГРОЗНОМУ"] and "ОМСКОМ" in issuer.city_forms("ОМСК") and "УФОЙ" in issuer.city_forms("УФА")
+
+
+def test_neighbours_of_a_key_count_for_its_texts_only(spark):
+    texts = spark.createDataFrame([(1, "МОСКОВСКОЙ, РАЙОНХ"), (2, "МОСКОВСКОЙ, РАЙОНХ")], "id int, body string")
+    words = spark.createDataFrame([("РАЙОНА",), ("РАЙОНЕ",)], "word string")
+    pairs = spark.createDataFrame([(1, "МОСКОВСКОЙ", "РАЙОНА", 1)], "id int, left string, right string, n int")
+    found = issuer.repair_in_context(texts, ["id"], "body", words, pairs).orderBy("id").collect()
+    assert [r.text for r in found] == ["МОСКОВСКОЙ, РАЙОНА", "МОСКОВСКОЙ, РАЙОНХ"]
