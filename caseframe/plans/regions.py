@@ -7,12 +7,14 @@ of the width) and clip. Pixels are an adapter's work: shares of blue and dark in
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from caseframe.functions.similarity import partial_ratio
+from caseframe.functions.similarity import _best_window
 from caseframe.functions.text import squeeze, text
 from caseframe.operators import likeness
 from caseframe.operators.ranges import points_in_boxes
@@ -35,35 +37,42 @@ def anchors_of(form: Mapping) -> list[tuple[int, str, int, str]]:
     return [(i, name, j, v.lower()) for i, (name, scan) in enumerate(fields) for j, v in enumerate(scan["anchor"])]
 
 
-def phrases(words: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs of up to MOST_WORDS words of one line: phrase in lower case, place (line, first, size), box, median height, y1 of the line."""
+def _lines(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines with their words in order (ws) and the lowest edge of them."""
     good = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
     w = F.struct("word", "text", "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), "h")
-    lines = good.groupBy(*keys, "pass", *LINE).agg(F.array_sort(F.collect_list(w)).alias("ws"), F.max(F.col("y") + F.col("h")).alias("line_y1"))
-    n = F.size("ws")
-    lines = lines.withColumn("first", F.explode(F.sequence(F.lit(1), n)))
-    runs = lines.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), n - F.col("first") + 1))))
-    part = F.slice("ws", F.col("first"), F.col("size"))
-    of = lambda field: F.transform(part, lambda x: x[field])
+    return good.groupBy(*keys, "pass", *LINE).agg(F.array_sort(F.collect_list(w)).alias("ws"), F.max(F.col("y") + F.col("h")).alias("line_y1"))
+
+
+def _boxes(runs: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Runs of words (first and size of a line's ws) with their phrase and box."""
+    runs = runs.withColumn("part", F.slice("ws", F.col("first"), F.col("size")))
+    of = lambda field: F.transform("part", lambda x: x[field])
     heights = F.array_sort(of("h"))
     middle = (F.get(heights, F.floor((F.col("size") - 1) / 2).cast("int")) + F.get(heights, F.floor(F.col("size") / 2).cast("int"))) / 2
     return runs.select(
-        *keys, "pass", *LINE, "first", "size", "line_y1", F.lower(F.array_join(of("text"), " ")).alias("phrase"),
+        *keys, "pass", *LINE, "first", "size", "line_y1", *columns, F.lower(F.array_join(of("text"), " ")).alias("phrase"),
         F.array_min(of("x")).alias("x0"), F.array_min(of("y")).alias("y0"), F.array_max(of("x1")).alias("x1"), F.array_max(of("y1")).alias("y1"), middle.cast("int").alias("h"),
     )
 
 
+def phrases(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of up to MOST_WORDS words of one line: phrase in lower case, place (line, first, size), box, median height, y1 of the line."""
+    n = F.size("ws")
+    lines = _lines(words, keys).withColumn("first", F.explode(F.sequence(F.lit(1), n)))
+    return _boxes(lines.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), n - F.col("first") + 1)))), keys)
+
+
 def find_anchors(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
     """keys, field, x0, y0, x1, y1, h and score of each field's label: the run of words most like one of its variants, not above the
     label found for an earlier field; the first of equals.
 
-    Distinct phrases meet the form's labels through an index of letter pairs; the few runs that are like one are folded by page."""
-    spark = words.sparkSession
-    labels = spark.createDataFrame(anchors_of(form), "place int, field string, variant int, label string")
-    need = F.when(F.length("label") <= SHORT_LABEL, SHORT_LIKE).otherwise(LONG_LIKE).cast("double")
-    runs = phrases(words, keys)
-    like = likeness.like_pairs(runs, "phrase", labels, "label", need, LONG_LIKE)
-    found = runs.join(like, "phrase").join(F.broadcast(labels), "label")  # the form's own labels: a few dozen rows
+    Each line's runs are held against the form's own few labels where the line is; the few runs that are like one are folded by page."""
+    labels = words.sparkSession.createDataFrame(anchors_of(form), "place int, field string, variant int, label string")
+    like = likeness.runs_like({v: SHORT_LIKE if len(v) <= SHORT_LABEL else LONG_LIKE for _, _, _, v in anchors_of(form)}, MOST_WORDS)
+    lines = _lines(words, keys).withColumn("hits", like(F.transform("ws", lambda w: F.lower(w["text"]))))
+    runs = lines.select(*keys, "pass", *LINE, "ws", "line_y1", F.inline("hits"))
+    found = _boxes(runs, keys, "label", "score").join(F.broadcast(labels), "label")  # the form's own labels: a few dozen rows
     order = F.struct("pass", *LINE, "first", "size", "variant")
     hit = F.struct("place", (-F.col("score")).alias("minus"), order.alias("order"), "field", "x0", "y0", "x1", "y1", "h", "line_y1")
     pages = found.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
@@ -84,7 +93,7 @@ def find_anchors(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
 def printed_lines(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
     """keys, bx0, by0, bx1, by1 of lines that are the form's own print: much like one of its labels or fixed texts and not much longer.
 
-    Distinct texts are compared once, those that hold a label as it stands without a window."""
+    Lines that hold a label as it stands are not compared by windows, and texts that a batch holds again not at all."""
     good = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ")
     lines = good.groupBy(*keys, "pass", *LINE).agg(
@@ -92,11 +101,22 @@ def printed_lines(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame
     )
     lines = lines.where((F.col("conf") >= PRINTED_CONF) & (F.length("text") >= PRINTED_LETTERS))
     labels = [v for spec in form["fields"].values() for v in (spec.get("scan") or {}).get("anchor", [])] + list(form.get("static_text") or []) + list(form["detect"]["keywords"])
-    distinct = lines.select("text").distinct().withColumn("label", F.explode(F.array(*(F.lit(v.lower()) for v in dict.fromkeys(labels)))))
-    distinct = distinct.where(F.length("text") <= 1.6 * F.length("label") + 10)
-    held = F.col("text").contains(F.col("label")) | F.col("label").contains(F.col("text"))
-    own = distinct.where(held).select("text").unionByName(distinct.where(~held & (partial_ratio("label", "text") >= PRINTED_LIKE)).select("text")).distinct()
-    return lines.join(own, "text", "left_semi").select(*keys, "bx0", "by0", "bx1", "by1")
+    return lines.where(_printed([v.lower() for v in dict.fromkeys(labels)])(F.col("text"))).select(*keys, "bx0", "by0", "bx1", "by1")
+
+
+def _printed(labels: list[str]) -> Callable[[Column], Column]:
+    """A function of texts in lower case: whether one is much like a label, not much longer."""
+
+    def like(text_: str) -> bool:
+        near = [v for v in labels if len(text_) <= 1.6 * len(v) + 10]
+        return any(v in text_ or text_ in v for v in near) or any(_best_window(*sorted((v, text_), key=len), PRINTED_LIKE - 1e-6)[0] >= PRINTED_LIKE for v in near if v and text_)
+
+    @F.pandas_udf(T.BooleanType())
+    def run(texts: pd.Series) -> pd.Series:
+        known = {t: like(t) for t in texts.dropna().unique()}
+        return texts.map(lambda t: known.get(t, False)).astype(bool)
+
+    return run
 
 
 def regions(anchors: DataFrame, pages: DataFrame, printed: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
@@ -108,11 +128,12 @@ def regions(anchors: DataFrame, pages: DataFrame, printed: DataFrame, keys: list
     whole = lambda c: F.floor(c).cast("bigint")
     a = a.withColumn("y0", whole(F.greatest(F.lit(0.0), F.col("top") + F.col("dy0") * F.col("unit")))).withColumn("y1", whole(F.least(F.col("height"), F.col("top") + F.col("dy1") * F.col("unit"))))
     a = a.withColumn("x0", whole(F.col("sx0") * F.col("width"))).withColumn("x1", whole(F.least(F.col("width"), F.col("sx1") * F.col("width"))))
-    across = F.least("bx1", "x1") - F.greatest("bx0", "x0") > 0.3 * (F.col("bx1") - F.col("bx0"))
-    above = a.where("dy0 < 0 AND clip").join(printed, keys).where((F.col("by0") < F.col("top") - 0.8 * F.col("unit")) & (F.col("by1") > F.col("y0")) & across)
-    cut = above.groupBy(*keys, "field").agg((F.max(F.floor((F.col("by0") + F.col("by1")) / 2)) + 1).alias("cut"))
-    cut = a.join(cut, [*keys, "field"], "left").withColumn("y0", F.greatest("y0", F.coalesce("cut", F.lit(0))))
-    return cut.select(*keys, "field", "x0", "y0", "x1", "y1")
+    across = lambda p: F.least(p["bx1"], F.col("x1")) - F.greatest(p["bx0"], F.col("x0")) > 0.3 * (p["bx1"] - p["bx0"])
+    # a page's printed lines are few
+    a = a.join(printed.groupBy(*keys).agg(F.collect_list(F.struct("bx0", "by0", "bx1", "by1")).alias("printed")), keys, "left")
+    above = F.filter("printed", lambda p: (p["by0"] < F.col("top") - 0.8 * F.col("unit")) & (p["by1"] > F.col("y0")) & across(p))
+    cut = F.when((F.col("dy0") < 0) & F.col("clip"), F.array_max(F.transform(above, lambda p: F.floor((p["by0"] + p["by1"]) / 2))) + 1)
+    return a.withColumn("y0", F.greatest("y0", F.coalesce(cut, F.lit(0)))).select(*keys, "field", "x0", "y0", "x1", "y1")
 
 
 def words_in_regions(words: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,15 +149,15 @@ def words_in_regions(words: DataFrame, boxes: DataFrame, keys: list[str]) -> Dat
 def own_letters(found: DataFrame, keys: list[str], form: Mapping) -> DataFrame:
     """found with `rest`, a region's words that are not like a word of the form's labels, and `form_only`: most of its words are."""
     labels = [v for spec in form["fields"].values() for v in (spec.get("scan") or {}).get("anchor", [])] + list(form.get("static_text") or []) + list(form["detect"]["keywords"])
-    printed = found.sparkSession.createDataFrame([(w,) for w in sorted({w.lower() for v in labels for w in _words(v)})], "label string")
-    each = found.select(*keys, "field", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)[\w@.]{2,}"), 0)).alias("pos", "w")).withColumn("w", F.lower("w"))
-    left = likeness.without_like(each, "w", printed, "label", LABEL_WORD_LIKE)
-    rest = left.groupBy(*keys, "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("rest"))
-    long = found.select(*keys, "field", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[а-яёa-z]{3,}"), 0)).alias("w"))
-    like = likeness.like_pairs(long, "w", printed, "label", FORM_WORD_LIKE).select("w").distinct().withColumn("of_form", F.lit(1))
-    share = long.join(like, "w", "left").groupBy(*keys, "field").agg(((F.count(F.lit(1)) >= FORM_WORDS) & (F.avg(F.coalesce("of_form", F.lit(0))) >= FORM_SHARE)).alias("form_only"))
-    out = found.join(rest, [*keys, "field"], "left").join(share, [*keys, "field"], "left")
-    return out.withColumn("rest", F.coalesce("rest", F.lit(""))).withColumn("form_only", F.coalesce("form_only", F.lit(False)))
+    printed = sorted({w.lower() for v in labels for w in _words(v)})
+    like = likeness.most_like(printed, min(LABEL_WORD_LIKE, FORM_WORD_LIKE))
+    own = F.transform(F.regexp_extract_all("text", F.lit(r"(?U)[\w@.]{2,}"), 0), F.lower)
+    long = F.regexp_extract_all(F.lower("text"), F.lit("[а-яёa-z]{3,}"), 0)
+    out = found.withColumns({"__own": own, "__long": long}).withColumns({"__own_like": like(F.col("__own")), "__long_like": like(F.col("__long"))})
+    rest = F.filter("__own", lambda w, i: F.get("__own_like", i) < LABEL_WORD_LIKE - 1e-9)
+    of_form = F.size(F.filter("__long_like", lambda x: x >= FORM_WORD_LIKE - 1e-9))
+    form_only = (F.size("__long") >= FORM_WORDS) & (of_form / F.size("__long") >= FORM_SHARE)
+    return out.select(*found.columns, F.coalesce(F.array_join(rest, " "), F.lit("")).alias("rest"), F.coalesce(form_only, F.lit(False)).alias("form_only"))
 
 
 def _words(label: str) -> list[str]:

@@ -266,3 +266,29 @@ def test_empty_tables_of_words(spark):
     none = spark.createDataFrame([], WORDS)
     assert passport.main_text(none, ["page"]).count() == 0 and regions.find_anchors(none, ["page"], FORM).count() == 0
     assert Counter(regions.phrases(spark.createDataFrame(words([(0, 0, "a b c")]), WORDS), ["page"]).select("phrase").toPandas()["phrase"]) == Counter(["a", "a b", "a b c", "b", "b c", "c"])
+
+
+def _shuffles(frame) -> int:
+    return frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_labels_are_looked_for_where_lines_are(spark):
+    """Runs of words are held against the form's labels without a shuffle of phrases or letter pairs; the same runs as by all pairs."""
+    lines = ["фамилия имя отчество", "фамилея, имя тестов", "имя", "дата", "дота", "", "прочее здесь фамилия имя"]
+    frame = spark.createDataFrame([(i, s.split()) for i, s in enumerate(lines)], "i int, ws array<string>")
+    labels = {"фамилия, имя": 72.0, "дата": 75.0}
+    got = {(r["i"], r["first"], r["size"], r["label"]): r["score"] for r in frame.select("i", F.inline(likeness.runs_like(labels, 9)(F.col("ws")))).collect()}
+    want = {}
+    for i, s in enumerate(lines):
+        ws = s.split()
+        for a in range(len(ws)):
+            for z in range(a + 1, len(ws) + 1):
+                for label, least in labels.items():
+                    score = _row_ratio(" ".join(ws[a:z]), label)
+                    if score >= least:
+                        want[i, a + 1, z - a, label] = score
+    assert got == want and len(want) >= 4
+    empty = spark.createDataFrame(words([(0, 150, "Заявление о передаче"), (1, 205, "Фамилия, имя ТЕСТОВ ПЕТР")]), WORDS)
+    assert _shuffles(regions.find_anchors(empty, ["page"], FORM)) <= 2
+    found = spark.createDataFrame([(1, "name", "Фамилея имя ТЕСТОВ")], "page int, field string, text string")
+    assert _shuffles(regions.own_letters(found, ["page"], FORM)) == 0
