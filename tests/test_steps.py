@@ -25,3 +25,8 @@ def query_plan(spark, name: str) -> str:
 def test_pages_of_passports_are_not_broadcast(spark):
     """Tables with a row for each page grow with the input: the driver collects none of them."""
     assert "Broadcast" not in query_plan(spark, "passport_main_text")
+
+
+def test_quotes_are_aligned_once(spark):
+    assert "ArrowEvalPython" not in query_plan(spark, "answers_placed")  # they are a step before
+    assert query_plan(spark, "model_answers").count("ArrowEvalPython") == 1
