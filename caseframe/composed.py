@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseframe.functions import dates, zone
-from caseframe.queries import query, table
+from caseframe.queries import query, spread, table
 from caseframe.scans import spelled, spelled_sql
 
 MONTHS = ("января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря")
@@ -102,7 +102,8 @@ FROM customer LEFT JOIN c ON customer.c_custkey = c.c_custkey
 def zones_of_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer's zone, found among the lines of a page and decoded."""
     customers = table(spark, sf, "customer")
-    found = zone.parse_zones(zone.zone_lines(zones_of(customers), ["c_custkey"], "n", "line"), ["c_custkey"], 2026)
+    lines = zone.zone_lines(zones_of(spread(customers)), ["c_custkey"], "n", "line")
+    found = zone.parse_zones(spread(lines), ["c_custkey"], 2026)
     own = found.select(
         "c_custkey", "surname", "given_name", "patronymic", F.concat_ws(" ", "series", "number").alias("document"), F.col("birth_date").alias("born"), F.col("issue_date").alias("issued"),
         F.col("department_code").alias("department"), "sex", "valid",

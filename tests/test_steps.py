@@ -34,3 +34,12 @@ def test_quotes_are_aligned_once(spark):
 
 def test_pages_are_parsed_once(spark):
     assert "MapInPandas" not in query_plan(spark, "html_records")
+
+
+@pytest.mark.parametrize("name", ["zones_of_customers", "regions_of_issuers"])
+def test_small_files_are_dealt_to_all_cores(spark, name):
+    assert "REPARTITION_BY_NUM" in query_plan(spark, name)
+
+
+def test_days_of_zones():
+    assert [zone._date(s, 2026) for s in ("900315", "260101", "270101", "000229", "010229", "991332", "9O0101", "")] == ["15.03.1990", "01.01.2026", "01.01.1927", "29.02.2000", None, None, None, None]
