@@ -43,3 +43,13 @@ def test_small_files_are_dealt_to_all_cores(spark, name):
 
 def test_days_of_zones():
     assert [zone._date(s, 2026) for s in ("900315", "260101", "270101", "000229", "010229", "991332", "9O0101", "")] == ["15.03.1990", "01.01.2026", "01.01.1927", "29.02.2000", None, None, None, None]
+
+
+def test_lines_of_a_letter_stay_in_its_row(spark):
+    given = spark.createDataFrame([(1, ["b.ru"]), (2, ["zz.ru"]), (3, ["a.ru", "d.ru"])], "k int, items array<string>")
+    texts = ["список\na.ru\nb.ru\nc.ru\nи всё\ne.ru", "a.ru", "a.ru\nпрочее\nd.ru\ne.ru\nx@f.ru\ng.ru"]
+    letters = spark.createDataFrame(list(enumerate(texts, 1)), "k int, text string")
+    found = answers.place_domains(given, letters, ["k"])
+    assert {r["k"]: (r["not_in_text"], r["left_out"]) for r in found.select("k", "not_in_text", F.col("left_out")).collect()} == {1: ([], ["a.ru", "c.ru"]), 2: (["zz.ru"], []), 3: ([], ["e.ru"])}
+    plan = plan_of(found)
+    assert "Window" not in plan and "Generate" not in plan
