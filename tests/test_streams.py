@@ -73,3 +73,17 @@ def test_pages_are_fetched_once_in_a_while(spark, tmp_path):
 def test_an_empty_stream_gives_no_rows(spark, tmp_path):
     stream = folder_stream(spark, f"{tmp_path}/in", "task string, url string, at timestamp", [[]])
     assert edits.run_to_folder(lookups.fetch_or_cached(stream), f"{tmp_path}/out").count() == 0
+
+
+def test_many_cases_are_evaluated_in_one_call(spark, tmp_path):
+    """Cases of one bucket are each given as if alone, and take one call of the function for all."""
+    draw, kinds = random.Random(9), ("case_id string, at timestamp, items array<string>", "case_id string, at timestamp, item string, answer string")
+    cases = [[(f"c{i}", at(200 * b + draw.random()), draw.sample("wxyz", 2)) for i in range(40) if draw.random() < 0.5] for b in range(4)]
+    replies = [[(f"c{draw.randrange(44)}", at(200 * b + draw.random()), draw.choice("wxyz"), str(draw.random())) for _ in range(60)] for b in range(4)]
+    results = []
+    for buckets in (1, 512):
+        path = f"{tmp_path}/{buckets}"
+        stream = lookups.cases_with_replies(folder_stream(spark, f"{path}/cases", kinds[0], cases), folder_stream(spark, f"{path}/replies", kinds[1], replies), 60, buckets)
+        out = edits.run_to_folder(stream, f"{path}/out").collect()
+        results.append(sorted((r.case_id, r.at, r.version, r.state, [tuple(k) for k in r.known], r.missing) for r in out))
+    assert results[0] == results[1] and {r[3] for r in results[0]} == {"open", "complete", "closed"}
