@@ -1,11 +1,16 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles, banded, verified by weighted Jaccard similarity.
 
 A shingle is five consecutive words (runs of 0-9, a-z and non-ASCII bytes after lower-casing A-Z); a text of one to four words is one
-shingle. Its weight in a text is (1 + ln times) x idf. idf is 1 for shingles in up to COMMON_SHARE of the documents (or
-COMMON_LEAST) and falls with the logarithm of the share beyond that: an idf that went on rising below would weigh a copy's few edits,
-which no other document holds, above all that it shares with thousands of copies, and part them. The shingles that fall below
-1 are counted one by one, exactly and over all documents: counts by two hashes (CELLS cells each) rule nearly all
-others out whatever the slices that Spark reads, and there can be no more than 10 times the shingles of a mean text of them.
+shingle. Its weight in a text is (1 + ln times) x idf.
+
+With `rising` (op4 and the pipeline) idf follows the document count of every shingle, (1 + ln((1 + N) / (1 + n))) over what that is for
+n = 1. All shingles are counted by their highest 56 bits: buckets of documents send groups of fingerprints what they
+hold, packed, and get back the counts of those that several documents hold (mail.py). Signatures and comparisons use these counts.
+
+Without it, idf is 1 for shingles in up to COMMON_SHARE of the documents (or COMMON_LEAST) and falls with the logarithm of the share beyond
+that. Then only the shingles that fall below 1 are counted one by one, exactly and over all documents: counts by two hashes
+(CELLS cells each) rule nearly all others out whatever the slices that Spark reads, and there can be no more than 10 times the
+shingles of a mean text of them.
 
 Texts of one word sequence are one class from the start; all else is about the classes' smallest doc_ids. A text has
 SAMPLES consistent weighted samples: hash bits of (shingle, sample) choose one of 65,536 triples (r, c, beta) drawn once
@@ -26,7 +31,7 @@ document, whose text is the smallest of theirs; rows without doc_id get no class
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseframe.llm import mail
-from caseframe.llm.common import NOT_ALNUM, Words, Written, drop_all, group_slices, mix, one_text_each, sequence_digests, shuffle_width, slices, tidy
+from caseframe.llm.common import NOT_ALNUM, Words, Written, drop_all, group_slices, mix, one_text_each, release, sequence_digests, shuffle_width, slices, tidy
 from caseframe.llm.graph import components
 
 SHINGLE = 5
@@ -54,7 +59,9 @@ _LN_C = np.log(_C)
 _LN_A = _LN_C + _R * _BETA - _R
 _SORTED = np.sort(_LN_A)
 _RANK = np.argsort(np.argsort(_LN_A)).astype(np.uint64) << np.uint64(48)
-_LOW = np.uint64((1 << 48) - 1)
+_LOW, _MOST = np.uint64((1 << 48) - 1), np.uint64((1 << 64) - 1)
+#: A bound of ln a of each triple for weight 1, with room for rounding, and the largest ln a of each rank.
+_LEAST_LN_A, _UP_TO = _LN_C - _R - 1e-9, np.append(_SORTED[:-1], np.inf)
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -91,7 +98,7 @@ class Idf:
     """Idf of the shingles that more than `least` documents hold; all others have 1."""
 
     def __init__(self, hashes: np.ndarray, docs: np.ndarray, total: int):
-        self.least = max(COMMON_SHARE * total, COMMON_LEAST)
+        self.total, self.least = total, max(COMMON_SHARE * total, COMMON_LEAST)
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.idf = np.minimum(1.0, np.log1p(total / docs[order]) / np.log1p(total / self.least)) if total else docs.astype(float)
@@ -105,8 +112,14 @@ class Idf:
         return out
 
 
-def weights(shingles: Shingles, idf: Idf) -> np.ndarray:
-    return (1 + np.log(shingles.times)) * idf.of(shingles.hashes)
+def rising_idf(docs: np.ndarray, total: int) -> np.ndarray:
+    """Idf by the number of documents that hold each shingle: 1 for one, less for more."""
+    return (1 + np.log((1 + total) / (1 + docs))) / (1 + np.log((1 + total) / 2))
+
+
+def weights(shingles: Shingles, idf: Idf, docs: np.ndarray | None = None) -> np.ndarray:
+    """The weight of each shingle; docs: the number of documents that hold it, where all were counted."""
+    return (1 + np.log(shingles.times)) * (idf.of(shingles.hashes) if docs is None else rising_idf(docs, idf.total))
 
 
 def _presence(shingles: Shingles) -> np.ndarray:
@@ -191,31 +204,63 @@ def count_common(texts: DataFrame) -> Idf:
     return Idf(counts["shingle"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(float), total)
 
 
+def _drawn(ln: np.ndarray, triple: np.ndarray) -> np.ndarray:
+    """For weights by their logarithms and triples: the rank of ln a in the top 16 bits, and below it what t turns the shingle's own
+    bits into."""
+    t = np.floor(ln / _R[triple] + _BETA[triple])
+    rank = np.searchsorted(_SORTED, _LN_C[triple] - _R[triple] * (t - _BETA[triple]) - _R[triple]).astype(np.uint64)
+    turn = np.where(t == 0, np.uint64(0), mix(t.astype(np.int64).view(np.uint64)))
+    return (np.minimum(rank, np.uint64(65535)) << np.uint64(48)) | (turn & _LOW)
+
+
+#: Weights for which _drawn() is kept for all triples (512 kB each): 1, and those that MANY shingles of some slice have.
+WEIGHTS_KEPT, MANY = 64, 512
+_KEPT = np.empty(WEIGHTS_KEPT << 16, np.uint64)
+_KEPT[: 1 << 16] = _RANK
+_row_of = {1.0: 0}
+
+
+def _kept_rows(weight: np.ndarray) -> np.ndarray:
+    """The row of each weight in _KEPT, -1 where it has none. Rows are filled as weights come; what they hold does not depend on it."""
+    values, which, n = np.unique(weight, return_inverse=True, return_counts=True)
+    rows = np.full(len(values), -1)
+    for i in np.argsort(-n).tolist():
+        value = float(values[i])
+        if value not in _row_of and n[i] >= MANY and len(_row_of) < WEIGHTS_KEPT:
+            at = len(_row_of) << 16
+            _KEPT[at : at + (1 << 16)] = _drawn(np.log(value), np.arange(1 << 16))
+            _row_of[value] = at >> 16
+        rows[i] = _row_of.get(value, -1)
+    return rows[which]
+
+
 def samples(shingles: Shingles, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts that have shingles, their samples as an array of texts x SAMPLES 48-bit values)."""
     begins = np.flatnonzero(np.concatenate([[True], shingles.of[1:] != shingles.of[:-1]])) if len(shingles.of) else np.empty(0, np.int64)
     out = np.empty((len(begins), SAMPLES), np.uint64)
     if not len(begins):
         return begins, out
-    other = np.flatnonzero(weight != 1)
-    ln = np.log(weight[other])
+    row = _kept_rows(weight)
+    other = np.flatnonzero(row < 0)
+    ln, of = np.log(weight[other]), np.searchsorted(begins, other, side="right") - 1
+    row = np.maximum(row, 0).astype(np.uint64) << np.uint64(16)
     z, key = np.empty_like(shingles.hashes), np.empty_like(shingles.hashes)
     for k, factor in enumerate(_FACTORS):
         np.multiply(shingles.hashes, factor, out=z)
         np.right_shift(z, np.uint64(29), out=key)
         np.bitwise_xor(z, key, out=z)
         np.right_shift(z, np.uint64(48), out=key)
-        if len(other):
-            j = key[other].astype(np.int64)
-            t = np.floor(ln / _R[j] + _BETA[j])
-            rank = np.searchsorted(_SORTED, _LN_C[j] - _R[j] * (t - _BETA[j]) - _R[j]).astype(np.uint64)
-            own = (np.minimum(rank, np.uint64(65535)) << np.uint64(48)) | (np.where(t == 0, z[other], mix(z[other] + t.astype(np.int64).view(np.uint64))) & _LOW)
-        np.take(_RANK, key, out=key, mode="clip")
+        triple = key[other].astype(np.int64)
+        np.bitwise_or(key, row, out=key)
+        np.take(_KEPT, key, out=key, mode="clip")
         np.bitwise_and(z, _LOW, out=z)
-        np.bitwise_or(key, z, out=key)
-        if len(other):
-            key[other] = own
-        out[:, k] = np.minimum.reduceat(key, begins) & _LOW
+        np.bitwise_xor(key, z, out=key)
+        key[other] = _MOST
+        least = np.minimum.reduceat(key, begins)
+        # ln a is no less than _LEAST_LN_A - ln weight: most of the others can't be the smallest
+        may = np.flatnonzero(_LEAST_LN_A[triple] - ln <= _UP_TO[(least >> np.uint64(48)).astype(np.int64)][of])
+        np.minimum.at(least, of[may], _drawn(ln[may], triple[may]) ^ z[other[may]])
+        out[:, k] = least & _LOW
     return shingles.of[begins], out
 
 
@@ -231,25 +276,119 @@ def band_keys(sampled: np.ndarray) -> np.ndarray:
     return out
 
 
+_SIGNED = "doc_id long, print long, print2 long, bands array<long>, samples binary, weight double, held binary"
+
+
+def _signatures(ids: np.ndarray, texts: list[bytes], idf: Idf, counted: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch:
+    shingles = Shingles(texts)
+    docs = None if counted is None else counted(shingles.hashes)
+    weight = weights(shingles, idf, docs)
+    have, sampled = samples(shingles, weight)
+    total = np.bincount(shingles.of, weight / shingles.times, len(texts))[have]
+    first, hashes = shingles.words.first, shingles.words.hashes
+    prints = np.stack([sequence_digests(hashes, first[have], first[have + 1], seed) for seed in (2, 3)], 1)
+    keys = band_keys(sampled).view(np.int64)
+    values = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+    short = [row.tobytes() for row in sampled.astype("<u4")]
+    held = [None] * len(have) if docs is None else [mail.planes(d) for d in np.split(docs.astype("<u4"), np.searchsorted(shingles.of, have[1:]))][: len(have)]
+    columns = [pa.array(ids[have], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), values, pa.array(short, pa.binary()), pa.array(total), pa.array(held, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "print2", "bands", "samples", "weight", "held"])
+
+
 def _signed(texts: DataFrame, idf: Idf) -> DataFrame:
-    """doc_id, print (of the word sequence; texts without words are left out), bands, samples (32 bits of each) and weight."""
+    """doc_id, print (of the word sequence; texts without words are left out), bands, samples (32 bits of each), weight and held
+    (the document count of each shingle in its order, where all were counted)."""
 
     @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, part in slices(batches, 1 << 20):
-            shingles = Shingles(part)
-            weight = weights(shingles, idf)
-            have, sampled = samples(shingles, weight)
-            total = np.bincount(shingles.of, weight / shingles.times, len(part))[have]
-            first, hashes = shingles.words.first, shingles.words.hashes
-            prints = np.stack([sequence_digests(hashes, first[have], first[have + 1], seed) for seed in (2, 3)], 1)
-            keys = band_keys(sampled).view(np.int64)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            short = [row.tobytes() for row in sampled.astype("<u4")]
-            columns = [pa.array(ids[have], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), values, pa.array(short, pa.binary()), pa.array(total)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "print2", "bands", "samples", "weight"])
+            yield _signatures(ids, part, idf)
+
+    return texts.mapInArrow(sign, _SIGNED)
+
+
+def _parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[slice]:
+    """A few MB of text at once, or one text."""
+    begin = 0
+    while begin < len(texts):
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        yield slice(begin, end)
+        begin = end
+
 
-    return texts.mapInArrow(sign, "doc_id long, print long, print2 long, bands array<long>, samples binary, weight double")
+def _key_counts(found: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's numbers."""
+    keys, n = np.concatenate(found), np.concatenate(n)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else np.empty(0, np.int64)
+
+
+def _letter(keys: np.ndarray, n: np.ndarray) -> bytes:
+    packed = mail.pack_sorted(keys)
+    return len(packed).to_bytes(4, "little") + packed + mail.planes(n.astype("<u4"))
+
+
+def _opened(letter: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(letter[:4], "little")
+    return mail.unpack_sorted(letter[4:cut]), mail.unplanes(letter[cut:], "<u4").astype(np.int64)
+
+
+#: Bits of a fingerprint that counting leaves out.
+CUT = np.uint64(8)
+
+
+def _signed_by_counts(texts: DataFrame, unit: int = mail.UNIT) -> tuple[DataFrame, Idf]:
+    """_signed() by the document counts of all shingles, and the idf that goes with them."""
+    own, idf = mail.bucketed(texts, unit=unit), Idf(np.empty(0, np.uint64), np.empty(0), texts.count())
+    groups = own.buckets
+
+    def ask(table: pa.Table) -> pa.Table:
+        bucket, whole = table.column("bucket")[0].as_py(), mail.ordered(table)[1]
+        found = [np.unique(_presence(Shingles(whole[part])) >> CUT, return_counts=True) for part in _parts(whole)]
+        keys, n = _key_counts([k for k, _ in found], [n for _, n in found])
+        group = ((keys >> np.uint64(24)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+        return mail.mail_table([(bucket, 0, g, _letter(keys[at], n[at])) for g, at in group_slices(group)])
+
+    def count(table: pa.Table) -> pa.Table:
+        group = table.column("grp")[0].as_py()
+        asked = [_opened(x) for x in table.column("payload").to_pylist()]
+        keys, n = _key_counts([k for k, _ in asked], [n for _, n in asked])
+        keys, n = keys[n > 1], n[n > 1]
+        rows = []
+        for bucket, (mine, _) in zip(table.column("bucket").to_pylist(), asked, strict=True):
+            at = np.searchsorted(keys, mine)
+            at = at[keys[np.minimum(at, len(keys) - 1)] == mine] if len(keys) else at[:0]
+            if len(at):
+                rows.append((bucket, 0, group, _letter(keys[at], n[at])))
+        release()
+        return mail.mail_table(rows)
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        told = mail.letters(right)
+        several = [_opened(told[k]) for k in sorted(told)]
+        keys, n = (np.concatenate(x) for x in zip(*several, strict=True)) if several else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+        def counted(hashes: np.ndarray) -> np.ndarray:
+            docs = np.ones(len(hashes), np.int64)
+            if len(keys):
+                mine = hashes >> CUT
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                there = keys[at] == mine
+                docs[there] = n[at[there]]
+            return docs
+
+        ids, whole, _ = mail.ordered(left)
+        out = pa.Table.from_batches([_signatures(ids[part], whole[part], idf, counted) for part in _parts(whole)] or [_signatures(ids, whole, idf, counted)])
+        release()
+        return out
+
+    told = own.texts.groupBy("bucket").applyInArrow(ask, mail.MAIL).groupBy("grp").applyInArrow(count, mail.MAIL)
+    return own.texts.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(sign, _SIGNED), idf
 
 
 def least_equal(least: float, prune: bool = True) -> int:
@@ -350,22 +489,16 @@ def _across(open_: DataFrame, least: float, prune: bool) -> DataFrame:
 class Vectors:
     """The distinct shingles of some texts with their weights, text after text."""
 
-    def __init__(self, texts: list[bytes], idf: Idf):
+    def __init__(self, texts: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None):
         hashes, weight, sizes = [], [], []
-        begin = 0
-        while begin < len(texts):  # a few MB of text at once
-            end, size = begin, 0
-            while end < len(texts) and (end == begin or size + len(texts[end]) <= 1 << 20):
-                size += len(texts[end])
-                end += 1
-            shingles = Shingles(texts[begin:end])
+        for part in _parts(texts):
+            shingles = Shingles(texts[part])
             order = np.lexsort((shingles.hashes, shingles.of))
             h, of = shingles.hashes[order], shingles.of[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.empty(0, bool)
             hashes.append(h[first])
-            weight.append(weights(shingles, idf)[order][first])
-            sizes.append(np.bincount(of[first], minlength=end - begin))
-            begin = end
+            weight.append(weights(shingles, idf, docs and np.concatenate(docs[part]))[order][first])
+            sizes.append(np.bincount(of[first], minlength=part.stop - part.start))
         self.weight = np.concatenate(weight)
         self.distinct, self.number = np.unique(np.concatenate(hashes), return_inverse=True)
         self.starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
@@ -389,10 +522,15 @@ class Vectors:
         return out
 
 
+def _docs(held: list[bytes | None]) -> list[np.ndarray] | None:
+    """The document counts of texts' shingles, where all were counted."""
+    return None if None in held else [mail.unplanes(h, "<u4") for h in held]
+
+
 def _verified_blocks(met: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """The packed pairs of _across() whose texts are similar enough, as rows (a, b). A task gets the texts of a block's pairs
     once, however many pairs they are in."""
-    needed = met.where("rep IS NOT NULL").hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*_KEY, "rep", F.encode("text", "UTF-8").alias("a"), F.lit(None).cast("binary").alias("b"))
+    needed = met.where("rep IS NOT NULL").hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*_KEY, "rep", F.encode("text", "UTF-8").alias("a"), F.col("held").alias("b"))
     rows = needed.unionByName(met.where("rep IS NULL")).repartition(shuffle_width(met.sparkSession), *_KEY).sortWithinPartitions(*_KEY, "rep")
 
     @tidy
@@ -402,7 +540,7 @@ def _verified_blocks(met: DataFrame, texts: DataFrame, idf: Idf, least: float) -
             reps = own.column("rep").to_numpy()
             pairs = group.filter(pa.compute.is_null(group.column("rep")))
             a, b = (np.frombuffer(b"".join(pairs.column(c).to_pylist()), "<i8") for c in "ab")
-            like = Vectors(own.column("a").to_pylist(), idf).similarities(np.searchsorted(reps, a), np.searchsorted(reps, b))
+            like = Vectors(own.column("a").to_pylist(), idf, _docs(own.column("b").to_pylist())).similarities(np.searchsorted(reps, a), np.searchsorted(reps, b))
             good = like >= least - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good])], ["a", "b"])
 
@@ -426,11 +564,11 @@ def _blocks(own: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     return placed.join(classes.select("rep", "samples", "weight", "bands"), "rep")
 
 
-def jaccard(left: list[bytes], right: list[bytes], idf: Idf) -> np.ndarray:
+def jaccard(left: list[bytes], right: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts."""
     n = len(left)
     shingles = Shingles(left + right)
-    w = weights(shingles, idf)
+    w = weights(shingles, idf, docs and np.concatenate(docs))
     pair, side = shingles.of % n, shingles.of >= n
     both = shingles.hashes ^ mix(pair.astype(np.uint64) + np.uint64(1))
     order = np.lexsort((side, both))
@@ -447,22 +585,25 @@ def jaccard(left: list[bytes], right: list[bytes], idf: Idf) -> np.ndarray:
 MAP_BITS = 24
 
 
-def _texts_of(ids: DataFrame, all_texts: DataFrame) -> Written:
-    """doc_id and text of the documents listed, and of few others. A bit map of hashed ids, of bounded size, drops most other
-    documents as they are read, so that no text is shuffled for it; what it lets through by chance meets no pair later."""
+def _texts_of(ids: DataFrame, all_texts: DataFrame, signed: DataFrame | None) -> Written:
+    """doc_id, text and held (from `signed`, else null) of the documents listed, and of few others. A bit map of hashed ids, of bounded
+    size, drops most other documents as they are read, so that no text is shuffled for it; what it lets through by chance meets
+    no pair later."""
     bits = 1 << min(MAP_BITS, max(12, (8 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
     words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), (slot % 64).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask"))
-    texts = all_texts.withColumn("word", F.shiftright(slot, 6)).withColumn("bit", (slot % 64).cast("int"))
-    near = texts.join(F.broadcast(words), "word").where(F.expr("shiftrightunsigned(mask, bit) & 1L = 1L")).select("doc_id", "text")
+    words = F.broadcast(words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask")))
+    of = lambda df, *columns: df.withColumn("word", F.shiftright(slot, 6)).withColumn("bit", (slot % 64).cast("int")).join(words, "word").where(F.expr("shiftrightunsigned(mask, bit) & 1L = 1L")).select("doc_id", *columns)
+    near = of(all_texts, "text")
+    near = near.withColumn("held", F.lit(None).cast("binary")) if signed is None else near.hint("merge").join(of(signed, "held"), "doc_id")
     return Written(near, "bucket-texts", compression="zstd")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     # One kind of join at every size, so that what is shuffled follows the input.
-    joined = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a").hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+    own = lambda x, side: texts.select(F.col("doc_id").alias(x), F.col("text").alias(side), F.col("held").alias(f"held_{side}"))
+    joined = pairs.hint("merge").join(own("a", "left"), "a").hint("merge").join(own("b", "right"), "b")
 
     @tidy
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,6 +611,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> Dat
             for begin in range(0, whole.num_rows, 64):  # Python objects of a part of the batch at a time
                 batch = whole.slice(begin, 64)
                 left, right = ([t.encode() for t in batch.column(c).to_pylist()] for c in ("left", "right"))
+                held = [batch.column(f"held_{c}").to_pylist() for c in ("left", "right")]
                 a, b = (batch.column(c).to_numpy() for c in "ab")
                 at = 0
                 while at < len(left):
@@ -477,23 +619,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> Dat
                     while end < len(left) and (end == at or size + len(left[end]) + len(right[end]) <= 1 << 20):
                         size += len(left[end]) + len(right[end])
                         end += 1
-                    good = jaccard(left[at:end], right[at:end], idf) >= least - 1e-9
+                    good = jaccard(left[at:end], right[at:end], idf, _docs(held[0][at:end] + held[1][at:end])) >= least - 1e-9
                     yield pa.RecordBatch.from_arrays([pa.array(a[at:end][good]), pa.array(b[at:end][good])], ["a", "b"])
                     at = end
 
-    return joined.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    return joined.select("a", "b", "left", "right", "held_left", "held_right").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK, prune: bool = True) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its near duplicates, itself included) and kept (doc_id = class_id)."""
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK, prune: bool = True, rising: bool = False, unit: int = mail.UNIT) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its near duplicates, itself included) and kept (doc_id = class_id). rising: idf by the
+    document count of every shingle."""
     every = one_text_each(docs)
-    idf = count_common(every)
-    signed = Written(_signed(every, idf), "signatures")
+    if rising:
+        signed, idf = _signed_by_counts(every, unit)
+    else:
+        idf = count_common(every)
+        signed = _signed(every, idf)
+    signed = Written(signed, "signatures")
     first = F.min_by(F.struct("bands", "samples", "weight"), "doc_id")
     classes = signed.df.groupBy("print", "print2").agg(F.min("doc_id").alias("rep"), first.alias("of"))
     classes = Written(classes.select("print", "print2", "rep", "of.*"), "classes")
     prints = Written(signed.df.select("doc_id", "print", "print2"), "prints").df
-    signed.drop()
     cost = F.greatest(F.lit(1.0), F.col("weight") * BLOCK / MASS).alias("cost")
     placed = classes.df.select("rep", cost, F.explode("bands").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "low")
@@ -501,7 +647,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLO
 
     tested = buckets.df.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     tested = Written(_likely(tested, classes.df, least, prune), "pairs")
-    texts = _texts_of(buckets.df.select(F.col("rep").alias("doc_id")).distinct(), every)
+    texts = _texts_of(buckets.df.select(F.col("rep").alias("doc_id")).distinct(), every, signed.df if rising else None)
+    signed.drop()
     links = Written(_verified(tested.df, texts.df, idf, least), "links")
     found = components(links.df)
     own = buckets.df.select("bucket", "rep", "cost").join(found.df.select(F.col("v").alias("rep"), "component"), "rep", "left")
@@ -521,7 +668,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLO
     return everyone.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY, rising: bool = False) -> DataFrame:
     """The documents, with all their columns, without those that are near duplicates of a smaller doc_id; rows without doc_id stay."""
-    others = near_duplicates(docs, least).where(~F.col("kept")).select("doc_id")
+    others = near_duplicates(docs, least, rising=rising).where(~F.col("kept")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
