@@ -55,11 +55,12 @@ COMMON_SHARE, COMMON_LEAST = 0.1, 50
 _draw = np.random.Generator(np.random.PCG64(20100614))
 _R, _C, _BETA = _draw.gamma(2, 1, 1 << 16), _draw.gamma(2, 1, 1 << 16), _draw.random(1 << 16)
 _LN_C = np.log(_C)
-#: ln a of each triple for weight 1, and its rank among them in the top 16 bits.
-_LN_A = _LN_C + _R * _BETA - _R
-_SORTED = np.sort(_LN_A)
-_RANK = np.argsort(np.argsort(_LN_A)).astype(np.uint64) << np.uint64(48)
+#: The triples are numbered by their ln a for weight 1, so that a number is its own rank.
+_by_rank = np.argsort(_LN_C + _R * _BETA - _R, kind="stable")
+_R, _BETA, _LN_C = _R[_by_rank], _BETA[_by_rank], _LN_C[_by_rank]
+_SORTED = _LN_C + _R * _BETA - _R
 _LOW, _MOST = np.uint64((1 << 48) - 1), np.uint64((1 << 64) - 1)
+_TOP = np.uint64(48)
 #: A bound of ln a of each triple for weight 1, with room for rounding, and the largest ln a of each rank.
 _LEAST_LN_A, _UP_TO = _LN_C - _R - 1e-9, np.append(_SORTED[:-1], np.inf)
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -124,9 +125,10 @@ def weights(shingles: Shingles, idf: Idf, docs: np.ndarray | None = None) -> np.
 
 def _presence(shingles: Shingles) -> np.ndarray:
     """The shingles of all texts, each once a text."""
-    both = shingles.hashes ^ mix(shingles.of.astype(np.uint64) + np.uint64(1))
+    again = np.flatnonzero(shingles.times > 1)
+    both = shingles.hashes[again] ^ mix(shingles.of[again].astype(np.uint64) + np.uint64(1))
     _, first = np.unique(both, return_index=True)
-    return shingles.hashes[first]
+    return np.concatenate([shingles.hashes[shingles.times == 1], shingles.hashes[again[first]]])
 
 
 #: Cells of each of the two hashes, and the groups that add them up.
@@ -204,62 +206,113 @@ def count_common(texts: DataFrame) -> Idf:
     return Idf(counts["shingle"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(float), total)
 
 
+def _ln_a(ln: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t, ln a) for weights by their logarithms and triples."""
+    t = np.floor(ln / _R[triple] + _BETA[triple])
+    return t, _LN_C[triple] - _R[triple] * (t - _BETA[triple]) - _R[triple]
+
+
 def _drawn(ln: np.ndarray, triple: np.ndarray) -> np.ndarray:
     """For weights by their logarithms and triples: the rank of ln a in the top 16 bits, and below it what t turns the shingle's own
     bits into."""
-    t = np.floor(ln / _R[triple] + _BETA[triple])
-    rank = np.searchsorted(_SORTED, _LN_C[triple] - _R[triple] * (t - _BETA[triple]) - _R[triple]).astype(np.uint64)
+    t, ln_a = _ln_a(ln, triple)
+    rank = np.searchsorted(_SORTED, ln_a).astype(np.uint64)
     turn = np.where(t == 0, np.uint64(0), mix(t.astype(np.int64).view(np.uint64)))
     return (np.minimum(rank, np.uint64(65535)) << np.uint64(48)) | (turn & _LOW)
 
 
 #: Weights for which _drawn() is kept for all triples (512 kB each): 1, and those that MANY shingles of some slice have.
-WEIGHTS_KEPT, MANY = 64, 512
+WEIGHTS_KEPT, MANY = 8, 512
 _KEPT = np.empty(WEIGHTS_KEPT << 16, np.uint64)
-_KEPT[: 1 << 16] = _RANK
+_KEPT[: 1 << 16] = np.arange(1 << 16, dtype=np.uint64) << _TOP
 _row_of = {1.0: 0}
 
 
 def _kept_rows(weight: np.ndarray) -> np.ndarray:
     """The row of each weight in _KEPT, -1 where it has none. Rows are filled as weights come; what they hold does not depend on it."""
-    values, which, n = np.unique(weight, return_inverse=True, return_counts=True)
-    rows = np.full(len(values), -1)
-    for i in np.argsort(-n).tolist():
+    values, n = np.unique(weight, return_counts=True)
+    for i in np.argsort(-n)[: np.count_nonzero(n >= MANY)].tolist():
         value = float(values[i])
-        if value not in _row_of and n[i] >= MANY and len(_row_of) < WEIGHTS_KEPT:
+        if value not in _row_of and len(_row_of) < WEIGHTS_KEPT:
             at = len(_row_of) << 16
             _KEPT[at : at + (1 << 16)] = _drawn(np.log(value), np.arange(1 << 16))
             _row_of[value] = at >> 16
-        rows[i] = _row_of.get(value, -1)
-    return rows[which]
+    kept = np.array(sorted(_row_of))
+    at = np.minimum(np.searchsorted(kept, weight), len(kept) - 1)
+    return np.where(kept[at] == weight, np.array([_row_of[v] for v in kept.tolist()])[at], -1)
+
+
+#: A text's first look is at shingles whose bound is below what its smallest ln a exceeds with probability e^-LOOK.
+LOOK = 6.0
+
+
+class _Drawing:
+    """Some shingles of a slice, by text, all of weight 1 at most or all above: the smallest keys for one sample after the other.
+
+    A key has the rank of ln a in its top 16 bits. The shingle's own hash bits are its key for weight 1; a smaller weight has no smaller
+    rank, and a larger weight no larger one."""
+
+    def __init__(self, hashes: np.ndarray, of: np.ndarray, weight: np.ndarray, texts: int):
+        self.hashes, self.of, self.ln = hashes, of, np.log(weight)
+        self.row = np.zeros(len(weight), np.int64)
+        other = np.flatnonzero(weight != 1)
+        self.row[other] = _kept_rows(weight[other])
+        self.first = np.searchsorted(of, np.arange(texts + 1))
+        self.there = np.flatnonzero(np.diff(self.first))
+        self.z = np.empty_like(hashes)
+
+    def lower(self, least: np.ndarray, at: np.ndarray) -> None:
+        """Puts the keys of the shingles at these places into each text's least."""
+        if len(at):
+            z = self.z[at]
+            triple, row = (z >> _TOP).astype(np.int64), self.row[at]
+            key = np.empty_like(z)
+            kept = row >= 0
+            key[kept] = _KEPT[(row[kept] << 16) | triple[kept]]
+            key[~kept] = _drawn(self.ln[at[~kept]], triple[~kept])
+            np.minimum.at(least, self.of[at], key ^ (z & _LOW))
+
+    def light(self, least: np.ndarray, at: np.ndarray, bound: np.ndarray) -> None:
+        """lower() for weights of 1 at most. Most keys are those of weight 1; of the others only what may be the smallest is drawn."""
+        z, of = self.z[at], self.of[at]
+        triple = (z >> _TOP).astype(np.int64)
+        same = self.ln[at] / _R[triple] + _BETA[triple] >= 0
+        np.minimum.at(least, of[same], z[same])
+        rest = np.flatnonzero(~same)
+        rest = rest[z[rest] >> _TOP <= np.minimum(least, bound)[of[rest]] >> _TOP]
+        self.lower(least, at[rest])
+
+    def heavy(self, least: np.ndarray, bound: np.ndarray) -> None:
+        """lower() for weights above 1: ln a is no less than _LEAST_LN_A - ln weight, and only what may be the smallest is ranked."""
+        if len(self.of):
+            up_to, triple = _UP_TO[(np.minimum(least, bound) >> _TOP).astype(np.int64)], (self.z >> _TOP).astype(np.int64)
+            at = np.flatnonzero(_LEAST_LN_A[triple] - self.ln <= up_to[self.of])
+            self.lower(least, at[_ln_a(self.ln[at], triple[at])[1] <= up_to[self.of[at]]])
 
 
 def samples(shingles: Shingles, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts that have shingles, their samples as an array of texts x SAMPLES 48-bit values)."""
     begins = np.flatnonzero(np.concatenate([[True], shingles.of[1:] != shingles.of[:-1]])) if len(shingles.of) else np.empty(0, np.int64)
-    out = np.empty((len(begins), SAMPLES), np.uint64)
-    if not len(begins):
+    texts = len(begins)
+    out = np.empty((texts, SAMPLES), np.uint64)
+    if not texts:
         return begins, out
-    row = _kept_rows(weight)
-    other = np.flatnonzero(row < 0)
-    ln, of = np.log(weight[other]), np.searchsorted(begins, other, side="right") - 1
-    row = np.maximum(row, 0).astype(np.uint64) << np.uint64(16)
-    z, key = np.empty_like(shingles.hashes), np.empty_like(shingles.hashes)
+    of = np.repeat(np.arange(texts), np.diff(np.append(begins, len(weight))))
+    light, heavy = (_Drawing(shingles.hashes[at], of[at], weight[at], texts) for at in (np.flatnonzero(weight <= 1), np.flatnonzero(weight > 1)))
+    last = np.minimum(-np.expm1(-LOOK / np.add.reduceat(weight / shingles.times, begins)) * 65536, 65535).astype(np.uint64)
+    look = ((last << _TOP) | _LOW)[light.of]
+    near = np.empty(len(look), bool)
     for k, factor in enumerate(_FACTORS):
-        np.multiply(shingles.hashes, factor, out=z)
-        np.right_shift(z, np.uint64(29), out=key)
-        np.bitwise_xor(z, key, out=z)
-        np.right_shift(z, np.uint64(48), out=key)
-        triple = key[other].astype(np.int64)
-        np.bitwise_or(key, row, out=key)
-        np.take(_KEPT, key, out=key, mode="clip")
-        np.bitwise_and(z, _LOW, out=z)
-        np.bitwise_xor(key, z, out=key)
-        key[other] = _MOST
-        least = np.minimum.reduceat(key, begins)
-        # ln a is no less than _LEAST_LN_A - ln weight: most of the others can't be the smallest
-        may = np.flatnonzero(_LEAST_LN_A[triple] - ln <= _UP_TO[(least >> np.uint64(48)).astype(np.int64)][of])
-        np.minimum.at(least, of[may], _drawn(ln[may], triple[may]) ^ z[other[may]])
+        least, bound = np.full(texts, _MOST), np.full(texts, _MOST)
+        np.multiply(heavy.hashes, factor, out=heavy.z)
+        if len(heavy.there):
+            bound[heavy.there] = np.minimum.reduceat(heavy.z, heavy.first[heavy.there])
+        np.multiply(light.hashes, factor, out=light.z)
+        np.less_equal(light.z, look, out=near)
+        light.light(least, np.flatnonzero(near), bound)
+        heavy.heavy(least, bound)
+        for i in np.flatnonzero((least >> _TOP > last) & (last < 65535)).tolist():  # one text in e^LOOK: all its shingles
+            light.light(least, np.arange(light.first[i], light.first[i + 1]), least)
         out[:, k] = least & _LOW
     return shingles.of[begins], out
 
@@ -377,9 +430,11 @@ def _signed_by_counts(texts: DataFrame, unit: int = mail.UNIT) -> tuple[DataFram
             docs = np.ones(len(hashes), np.int64)
             if len(keys):
                 mine = hashes >> CUT
+                order = np.argsort(mine)  # neighbours are looked up one after the other
+                mine = mine[order]
                 at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 there = keys[at] == mine
-                docs[there] = n[at[there]]
+                docs[order[there]] = n[at[there]]
             return docs
 
         ids, whole, _ = mail.ordered(left)

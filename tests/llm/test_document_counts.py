@@ -83,3 +83,23 @@ def test_samples_of_kept_weights_are_those_computed(monkeypatch):
     monkeypatch.setattr(near_dup, "_row_of", {1.0: 0})
     monkeypatch.setattr(near_dup, "MANY", 10**6)
     assert (near_dup.samples(texts, weight)[1] == kept).all() and len(near_dup._row_of) == 1
+
+
+def test_few_keys_are_drawn_and_the_smallest_is_found(monkeypatch):
+    """Shingles of many weights, below 1, above, repeated, and texts of one shingle: as if every key were drawn."""
+    texts = near_dup.Shingles([t.encode() for t in (drawn(9, 3000), "one two", "x " * 300 + drawn(10, 1500), drawn(11, 40), " ".join([drawn(12, 400)] * 3))])
+    _, which = np.unique(texts.hashes, return_inverse=True)
+    rng = np.random.default_rng(13)
+    for low, high in ((0.05, 1.0), (0.3, 1.6), (1.1, 4.0), (1.0, 1.0)):
+        weight = rng.uniform(low, high, len(which))[which]
+        monkeypatch.setattr(near_dup, "_row_of", {1.0: 0})
+        want = np.empty((5, near_dup.SAMPLES), np.uint64)
+        for k, factor in enumerate(near_dup._FACTORS):
+            z = texts.hashes * factor
+            key = near_dup._drawn(np.log(weight), (z >> np.uint64(48)).astype(np.int64)) ^ (z & near_dup._LOW)
+            want[:, k] = np.minimum.reduceat(key, np.searchsorted(texts.of, np.arange(5))) & near_dup._LOW
+        drawn_, real = [0], near_dup._drawn
+        with monkeypatch.context() as m:
+            m.setattr(near_dup, "_drawn", lambda ln, triple: drawn_.append(len(triple)) or real(ln, triple))
+            assert (near_dup.samples(texts, weight)[1] == want).all()
+        assert sum(drawn_) < 0.02 * near_dup.SAMPLES * len(weight)
