@@ -12,6 +12,11 @@ that. Then only the shingles that fall below 1 are counted one by one, exactly a
 (CELLS cells each) rule nearly all others out whatever the slices that Spark reads, and there can be no more than 10 times the
 shingles of a mean text of them.
 
+Rising idf makes the few words that an edit puts in weigh more than what a large group of copies shares, so that its near copies
+fall apart. With `edited` (op4 and the pipeline) pairs are therefore links, too, where the idf without `rising` makes them similar
+and KEPT_WORDS of their words stand in common shingles. (A passage beside other words is no edited copy: as many shingles are common, but
+fewer words.) Texts are signed and banded by both weights, so that such pairs meet like the others.
+
 Texts of one word sequence are one class from the start; all else is about the classes' smallest doc_ids. A text has
 SAMPLES consistent weighted samples: hash bits of (shingle, sample) choose one of 65,536 triples (r, c, beta) drawn once
 from Gamma(2, 1), Gamma(2, 1) and uniform, t = floor(ln weight / r + beta), and the shingle with the smallest
@@ -51,6 +56,8 @@ SAMPLES = BANDS * ROWS
 BLOCK, MASS = 2048, 1_000_000
 #: Share of the documents, and number of them, up to which a shingle has idf 1.
 COMMON_SHARE, COMMON_LEAST = 0.1, 50
+#: Share of the words of two texts that stand in common shingles of edited copies.
+KEPT_WORDS = 0.85
 
 _draw = np.random.Generator(np.random.PCG64(20100614))
 _R, _C, _BETA = _draw.gamma(2, 1, 1 << 16), _draw.gamma(2, 1, 1 << 16), _draw.random(1 << 16)
@@ -118,9 +125,15 @@ def rising_idf(docs: np.ndarray, total: int) -> np.ndarray:
     return (1 + np.log((1 + total) / (1 + docs))) / (1 + np.log((1 + total) / 2))
 
 
-def weights(shingles: Shingles, idf: Idf, docs: np.ndarray | None = None) -> np.ndarray:
+def flat_idf(docs: np.ndarray, total: int) -> np.ndarray:
+    """Idf's values from counts of all shingles: 1 for up to a share of the documents, less for more."""
+    least = max(COMMON_SHARE * total, COMMON_LEAST)
+    return np.minimum(1.0, np.log1p(total / np.maximum(docs, least)) / np.log1p(total / least))
+
+
+def weights(shingles: Shingles, idf: Idf, docs: np.ndarray | None = None, flat: bool = False) -> np.ndarray:
     """The weight of each shingle; docs: the number of documents that hold it, where all were counted."""
-    return (1 + np.log(shingles.times)) * (idf.of(shingles.hashes) if docs is None else rising_idf(docs, idf.total))
+    return (1 + np.log(shingles.times)) * (idf.of(shingles.hashes) if docs is None else (flat_idf if flat else rising_idf)(docs, idf.total))
 
 
 def _presence(shingles: Shingles) -> np.ndarray:
@@ -317,40 +330,46 @@ def samples(shingles: Shingles, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     return shingles.of[begins], out
 
 
-def band_keys(sampled: np.ndarray) -> np.ndarray:
-    """texts x BANDS fingerprints of ROWS samples each."""
+def band_keys(sampled: np.ndarray, before: int = 0) -> np.ndarray:
+    """texts x BANDS fingerprints of ROWS samples each; bands are numbered after those before."""
     out = np.empty((len(sampled), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for b in range(BANDS):
-            key = np.full(len(sampled), b + 1, np.uint64)
+            key = np.full(len(sampled), before + b + 1, np.uint64)
             for r in range(ROWS):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sampled[:, b * ROWS + r])
             out[:, b] = key
     return out
 
 
-_SIGNED = "doc_id long, print long, print2 long, bands array<long>, samples binary, weight double, held binary"
+_SIGNED = "doc_id long, print long, print2 long, bands array<long>, samples binary, weight double, flat double, held binary"
 
 
-def _signatures(ids: np.ndarray, texts: list[bytes], idf: Idf, counted: Callable[[np.ndarray], np.ndarray] | None = None) -> pa.RecordBatch:
+def _signatures(ids: np.ndarray, texts: list[bytes], idf: Idf, counted: Callable[[np.ndarray], np.ndarray] | None = None, edited: bool = False) -> pa.RecordBatch:
     shingles = Shingles(texts)
     docs = None if counted is None else counted(shingles.hashes)
     weight = weights(shingles, idf, docs)
     have, sampled = samples(shingles, weight)
     total = np.bincount(shingles.of, weight / shingles.times, len(texts))[have]
+    keys, flat = band_keys(sampled), pa.nulls(len(have), pa.float64())
+    if edited:
+        weight = weights(shingles, idf, docs, flat=True)
+        more = samples(shingles, weight)[1]
+        sampled, keys = np.concatenate([sampled, more], 1), np.concatenate([keys, band_keys(more, BANDS)], 1)
+        flat = pa.array(np.bincount(shingles.of, weight / shingles.times, len(texts))[have])
     first, hashes = shingles.words.first, shingles.words.hashes
     prints = np.stack([sequence_digests(hashes, first[have], first[have + 1], seed) for seed in (2, 3)], 1)
-    keys = band_keys(sampled).view(np.int64)
-    values = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+    keys = np.ascontiguousarray(keys).view(np.int64)
+    values = pa.ListArray.from_arrays(pa.array(np.arange(len(have) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
     short = [row.tobytes() for row in sampled.astype("<u4")]
     held = [None] * len(have) if docs is None else [mail.planes(d) for d in np.split(docs.astype("<u4"), np.searchsorted(shingles.of, have[1:]))][: len(have)]
-    columns = [pa.array(ids[have], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), values, pa.array(short, pa.binary()), pa.array(total), pa.array(held, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "print2", "bands", "samples", "weight", "held"])
+    columns = [pa.array(ids[have], pa.int64()), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), values, pa.array(short, pa.binary()), pa.array(total), flat, pa.array(held, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "print", "print2", "bands", "samples", "weight", "flat", "held"])
 
 
 def _signed(texts: DataFrame, idf: Idf) -> DataFrame:
-    """doc_id, print (of the word sequence; texts without words are left out), bands, samples (32 bits of each), weight and held
-    (the document count of each shingle in its order, where all were counted)."""
+    """doc_id, print (of the word sequence; texts without words are left out), bands, samples (32 bits of each), weight, flat
+    (the weight of edited copies) and held (the document count of each shingle in its order, where all were counted)."""
 
     @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +414,7 @@ def _opened(letter: bytes) -> tuple[np.ndarray, np.ndarray]:
 CUT = np.uint64(8)
 
 
-def _signed_by_counts(texts: DataFrame, unit: int = mail.UNIT) -> tuple[DataFrame, Idf]:
+def _signed_by_counts(texts: DataFrame, unit: int = mail.UNIT, edited: bool = False) -> tuple[DataFrame, Idf]:
     """_signed() by the document counts of all shingles, and the idf that goes with them."""
     own, idf = mail.bucketed(texts, unit=unit), Idf(np.empty(0, np.uint64), np.empty(0), texts.count())
     groups = own.buckets
@@ -438,7 +457,7 @@ def _signed_by_counts(texts: DataFrame, unit: int = mail.UNIT) -> tuple[DataFram
             return docs
 
         ids, whole, _ = mail.ordered(left)
-        out = pa.Table.from_batches([_signatures(ids[part], whole[part], idf, counted) for part in _parts(whole)] or [_signatures(ids, whole, idf, counted)])
+        out = pa.Table.from_batches([_signatures(ids[part], whole[part], idf, counted, edited) for part in _parts(whole)] or [_signatures(ids, whole, idf, counted, edited)])
         release()
         return out
 
@@ -461,18 +480,27 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b) / np.maximum(a, b)
 
 
+def _may_be(equal: np.ndarray, weight: np.ndarray, flat: np.ndarray, least: float, prune: bool) -> np.ndarray:
+    """Whether signatures leave it open that pairs are similar enough by one of their weights. equal: which samples are; weight and flat:
+    the ratios that the total weights allow (null without a second signature)."""
+    good = (equal[:, :SAMPLES].sum(1) >= least_equal(least, prune)) & (weight >= least - 1e-9)
+    if equal.shape[1] > SAMPLES:
+        good |= (equal[:, SAMPLES:].sum(1) >= least_equal(least, prune)) & (flat >= least - 1e-9)
+    return good
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, least: float, prune: bool) -> DataFrame:
     """The pairs (a, b) that their signatures do not rule out."""
 
     @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            equal = (_rows(batch.column("sa"), "<u4") == _rows(batch.column("sb"), "<u4")).sum(1) if batch.num_rows else np.empty(0, int)
-            good = (equal >= least_equal(least, prune)) & (_ratio(batch.column("wa").to_numpy(), batch.column("wb").to_numpy()) >= least - 1e-9)
+            equal = _rows(batch.column("sa"), "<u4") == _rows(batch.column("sb"), "<u4") if batch.num_rows else np.empty((0, SAMPLES), bool)
+            good = _may_be(equal, *(_ratio(*(batch.column(c).to_numpy(zero_copy_only=False) for c in x)) for x in (("wa", "wb"), ("fa", "fb"))), least, prune)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    own = lambda x: classes.select(F.col("rep").alias(x), F.col("samples").alias(f"s{x}"), F.col("weight").alias(f"w{x}"))
-    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sa", "sb", "wa", "wb").mapInArrow(keep, "a long, b long")
+    own = lambda x: classes.select(F.col("rep").alias(x), F.col("samples").alias(f"s{x}"), F.col("weight").alias(f"w{x}"), F.col("flat").alias(f"f{x}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "sa", "sb", "wa", "wb", "fa", "fb").mapInArrow(keep, "a long, b long")
 
 
 #: A document (rep) that a block's pairs need, or the pairs themselves (a and b, packed).
@@ -501,25 +529,27 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...]
 def _across(open_: DataFrame, least: float, prune: bool) -> DataFrame:
     """Pairs of two components that meet in a bucket and that their signatures do not rule out, each once.
 
-    open_: bucket, left, right (the blocks that meet), block, rep, component, samples, weight, bands."""
+    open_: bucket, left, right (the blocks that meet), block, rep, component, samples, weight, flat, bands."""
 
     def meet(key: tuple[int, ...], group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         bucket, left, right = key
         rep, component, weight, block = (group.column(c).to_numpy() for c in ("rep", "component", "weight", "block"))
+        flat = group.column("flat").to_numpy(zero_copy_only=False)
         sampled = _rows(group.column("samples"), "<u4")
         bands = np.array(group.column("bands").to_pylist(), np.int64)
         a, b = np.flatnonzero(block == left), np.flatnonzero(block == right)
         found = [np.empty((2, 0), np.int64)]
         for at in range(0, len(a), 256):
             some = a[at : at + 256]
-            other = (component[some][:, None] != component[b]) & (_ratio(weight[some][:, None], weight[b]) >= least - 1e-9)
+            near = [_ratio(w[some][:, None], w[b]) >= least - 1e-9 for w in (weight, flat)]  # null is not near
+            other = (component[some][:, None] != component[b]) & (near[0] | near[1])
             if left == right:
                 other &= some[:, None] < b
             i, j = np.nonzero(other)
             i, j = some[i], b[j]
             for k in range(0, len(i), 65536):
                 x, y = i[k : k + 65536], j[k : k + 65536]
-                good = (sampled[x] == sampled[y]).sum(1) >= least_equal(least, prune)
+                good = _may_be(sampled[x] == sampled[y], _ratio(weight[x], weight[y]), _ratio(flat[x], flat[y]), least, prune)
                 x, y = x[good], y[good]
                 shared = bands[x] == bands[y]
                 mine = bands[x, shared.argmax(1)] == bucket
@@ -544,7 +574,7 @@ def _across(open_: DataFrame, least: float, prune: bool) -> DataFrame:
 class Vectors:
     """The distinct shingles of some texts with their weights, text after text."""
 
-    def __init__(self, texts: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None):
+    def __init__(self, texts: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None, flat: bool = False):
         hashes, weight, sizes = [], [], []
         for part in _parts(texts):
             shingles = Shingles(texts[part])
@@ -552,7 +582,7 @@ class Vectors:
             h, of = shingles.hashes[order], shingles.of[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.empty(0, bool)
             hashes.append(h[first])
-            weight.append(weights(shingles, idf, docs and np.concatenate(docs[part]))[order][first])
+            weight.append(weights(shingles, idf, docs and np.concatenate(docs[part]), flat)[order][first])
             sizes.append(np.bincount(of[first], minlength=part.stop - part.start))
         self.weight = np.concatenate(weight)
         self.distinct, self.number = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -577,12 +607,26 @@ class Vectors:
         return out
 
 
+def kept_words(a: bytes, b: bytes) -> float:
+    """The share of two texts' words that stand in shingles of both, each word once."""
+    shingles, sizes = Shingles([a, b]), []
+    own = [shingles.hashes[shingles.of == k] for k in (0, 1)]
+    words = np.diff(shingles.words.first)
+    for k in (0, 1):
+        at, step = np.flatnonzero(np.isin(own[k], own[1 - k])), np.zeros(words[k] + 1, np.int64)
+        np.add.at(step, at, 1)
+        np.add.at(step, np.minimum(at + SHINGLE, words[k]), -1)
+        sizes.append(np.count_nonzero(np.cumsum(step)))
+    both = min(sizes)
+    return both / max(words.sum() - both, 1)
+
+
 def _docs(held: list[bytes | None]) -> list[np.ndarray] | None:
     """The document counts of texts' shingles, where all were counted."""
     return None if None in held else [mail.unplanes(h, "<u4") for h in held]
 
 
-def _verified_blocks(met: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
+def _verified_blocks(met: DataFrame, texts: DataFrame, idf: Idf, least: float, edited: bool = False) -> DataFrame:
     """The packed pairs of _across() whose texts are similar enough, as rows (a, b). A task gets the texts of a block's pairs
     once, however many pairs they are in."""
     needed = met.where("rep IS NOT NULL").hint("merge").join(texts.withColumnRenamed("doc_id", "rep"), "rep").select(*_KEY, "rep", F.encode("text", "UTF-8").alias("a"), F.col("held").alias("b"))
@@ -595,8 +639,13 @@ def _verified_blocks(met: DataFrame, texts: DataFrame, idf: Idf, least: float) -
             reps = own.column("rep").to_numpy()
             pairs = group.filter(pa.compute.is_null(group.column("rep")))
             a, b = (np.frombuffer(b"".join(pairs.column(c).to_pylist()), "<i8") for c in "ab")
-            like = Vectors(own.column("a").to_pylist(), idf, _docs(own.column("b").to_pylist())).similarities(np.searchsorted(reps, a), np.searchsorted(reps, b))
-            good = like >= least - 1e-9
+            x, y = np.searchsorted(reps, a), np.searchsorted(reps, b)
+            whole, docs = own.column("a").to_pylist(), _docs(own.column("b").to_pylist())
+            good = Vectors(whole, idf, docs).similarities(x, y) >= least - 1e-9
+            if edited and not good.all():
+                rest = np.flatnonzero(~good)
+                rest = rest[Vectors(whole, idf, docs, flat=True).similarities(x[rest], y[rest]) >= least - 1e-9]
+                good[rest] = [kept_words(whole[x[i]], whole[y[i]]) >= KEPT_WORDS for i in rest]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good])], ["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
@@ -616,14 +665,14 @@ def _blocks(own: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     facing = F.when(whole, F.array(F.lit(0))).when(main, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1))
     placed = placed.withColumn("block", block).withColumn("facing", F.explode(facing))
     placed = placed.select("bucket", F.least("block", "facing").alias("left"), F.greatest("block", "facing").alias("right"), "block", "rep", "component")
-    return placed.join(classes.select("rep", "samples", "weight", "bands"), "rep")
+    return placed.join(classes.select("rep", "samples", "weight", "flat", "bands"), "rep")
 
 
-def jaccard(left: list[bytes], right: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None) -> np.ndarray:
+def jaccard(left: list[bytes], right: list[bytes], idf: Idf, docs: list[np.ndarray] | None = None, flat: bool = False) -> np.ndarray:
     """Weighted Jaccard similarity of each pair of texts."""
     n = len(left)
     shingles = Shingles(left + right)
-    w = weights(shingles, idf, docs and np.concatenate(docs))
+    w = weights(shingles, idf, docs and np.concatenate(docs), flat)
     pair, side = shingles.of % n, shingles.of >= n
     both = shingles.hashes ^ mix(pair.astype(np.uint64) + np.uint64(1))
     order = np.lexsort((side, both))
@@ -654,7 +703,18 @@ def _texts_of(ids: DataFrame, all_texts: DataFrame, signed: DataFrame | None) ->
     return Written(near, "bucket-texts", compression="zstd")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
+def _similar(left: list[bytes], right: list[bytes], idf: Idf, docs: list[np.ndarray] | None, least: float, edited: bool) -> np.ndarray:
+    """Which pairs of texts are links."""
+    good = jaccard(left, right, idf, docs) >= least - 1e-9
+    if edited and not good.all():
+        rest = np.flatnonzero(~good)
+        some = lambda x: [x[i] for i in rest]
+        rest = rest[jaccard(some(left), some(right), idf, some(docs) + some(docs[len(left) :]), flat=True) >= least - 1e-9]
+        good[rest] = [kept_words(left[i], right[i]) >= KEPT_WORDS for i in rest]
+    return good
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float, edited: bool = False) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     # One kind of join at every size, so that what is shuffled follows the input.
     own = lambda x, side: texts.select(F.col("doc_id").alias(x), F.col("text").alias(side), F.col("held").alias(f"held_{side}"))
@@ -674,28 +734,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> Dat
                     while end < len(left) and (end == at or size + len(left[end]) + len(right[end]) <= 1 << 20):
                         size += len(left[end]) + len(right[end])
                         end += 1
-                    good = jaccard(left[at:end], right[at:end], idf, _docs(held[0][at:end] + held[1][at:end])) >= least - 1e-9
+                    good = _similar(left[at:end], right[at:end], idf, _docs(held[0][at:end] + held[1][at:end]), least, edited)
                     yield pa.RecordBatch.from_arrays([pa.array(a[at:end][good]), pa.array(b[at:end][good])], ["a", "b"])
                     at = end
 
     return joined.select("a", "b", "left", "right", "held_left", "held_right").mapInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK, prune: bool = True, rising: bool = False, unit: int = mail.UNIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK, prune: bool = True, rising: bool = False, unit: int = mail.UNIT, edited: bool = False) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its near duplicates, itself included) and kept (doc_id = class_id). rising: idf by the
-    document count of every shingle."""
+    document count of every shingle. edited: with it, copies with a few edits however many copies share the rest."""
+    edited = edited and rising
     every = one_text_each(docs)
     if rising:
-        signed, idf = _signed_by_counts(every, unit)
+        signed, idf = _signed_by_counts(every, unit, edited)
     else:
         idf = count_common(every)
         signed = _signed(every, idf)
     signed = Written(signed, "signatures")
-    first = F.min_by(F.struct("bands", "samples", "weight"), "doc_id")
+    first = F.min_by(F.struct("bands", "samples", "weight", "flat"), "doc_id")
     classes = signed.df.groupBy("print", "print2").agg(F.min("doc_id").alias("rep"), first.alias("of"))
     classes = Written(classes.select("print", "print2", "rep", "of.*"), "classes")
     prints = Written(signed.df.select("doc_id", "print", "print2"), "prints").df
-    cost = F.greatest(F.lit(1.0), F.col("weight") * BLOCK / MASS).alias("cost")
+    cost = F.greatest(F.lit(1.0), F.greatest("weight", "flat") * BLOCK / MASS).alias("cost")
     placed = classes.df.select("rep", cost, F.explode("bands").alias("bucket"))
     several = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", "low")
     buckets = Written(placed.join(several, "bucket"), "buckets")
@@ -704,14 +765,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLO
     tested = Written(_likely(tested, classes.df, least, prune), "pairs")
     texts = _texts_of(buckets.df.select(F.col("rep").alias("doc_id")).distinct(), every, signed.df if rising else None)
     signed.drop()
-    links = Written(_verified(tested.df, texts.df, idf, least), "links")
+    links = Written(_verified(tested.df, texts.df, idf, least, edited), "links")
     found = components(links.df)
     own = buckets.df.select("bucket", "rep", "cost").join(found.df.select(F.col("v").alias("rep"), "component"), "rep", "left")
     own = Written(own.select("bucket", "rep", "cost", F.coalesce("component", "rep").alias("component")), "bucket-components")
     across = Written(_across(_blocks(own.df, classes.df, block), least, prune), "pairs")
     more = None
     if not across.df.isEmpty():
-        more = Written(_verified_blocks(across.df, texts.df, idf, least), "links")
+        more = Written(_verified_blocks(across.df, texts.df, idf, least, edited), "links")
         found.drop()
         found = components(links.df.unionByName(more.df))
     rep = classes.df.select("rep", "print", "print2").join(found.df.select(F.col("v").alias("rep"), "component"), "rep", "left")
@@ -723,7 +784,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, block: int = BLO
     return everyone.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY, rising: bool = False) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY, rising: bool = False, edited: bool = False) -> DataFrame:
     """The documents, with all their columns, without those that are near duplicates of a smaller doc_id; rows without doc_id stay."""
-    others = near_duplicates(docs, least, rising=rising).where(~F.col("kept")).select("doc_id")
+    others = near_duplicates(docs, least, rising=rising, edited=edited).where(~F.col("kept")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)

@@ -37,7 +37,7 @@ def op3_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weighted_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), rising=True)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), rising=True, edited=True)
 
 
 def op5_pivot_permutation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

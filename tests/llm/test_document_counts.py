@@ -103,3 +103,35 @@ def test_few_keys_are_drawn_and_the_smallest_is_found(monkeypatch):
             m.setattr(near_dup, "_drawn", lambda ln, triple: drawn_.append(len(triple)) or real(ln, triple))
             assert (near_dup.samples(texts, weight)[1] == want).all()
         assert sum(drawn_) < 0.02 * near_dup.SAMPLES * len(weight)
+
+
+def edited_copies() -> list[tuple[int, str | None]]:
+    """A text, 40 copies of it with six words changed here and there in each, and other texts."""
+    words = drawn(60, 300).split()
+    changed = lambda i: set(np.random.default_rng(61 + i).choice(60, 6, replace=False) * 5)
+    rows: list[tuple[int, str | None]] = [(0, " ".join(words))]
+    rows += [(i, " ".join(f"new{i}" if k in changed(i) else w for k, w in enumerate(words))) for i in range(1, 41)]
+    return rows + [(i, drawn(2000 + i, 60)) for i in range(41, 400)]
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 2])
+def test_edited_copies_in_a_large_group_are_found(spark, tmp_path, block):
+    """Six words of 300 cost a copy 30 of 296 shingles: similar by 0.8 but for what its own words weigh beside 40 copies."""
+    rows = edited_copies()
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(table, rising=True, edited=True, block=block).collect()}
+    assert got == {i: 0 if i <= 40 else i for i, _ in rows}
+    if block == near_dup.BLOCK:
+        table.write.parquet(f"{tmp_path}/documents.parquet")
+        assert op4_weighted_minhash_near_dup(spark, str(tmp_path)).where("class_id = 0").count() == 41
+        assert near_dup.keep_one(table, rising=True, edited=True).count() == 360
+
+
+def test_words_in_common_shingles():
+    text = drawn(70, 100).split()
+    share = lambda a, b: near_dup.kept_words(" ".join(a).encode(), " ".join(b).encode())
+    assert share(text, text) == 1 and share(text, drawn(71, 100).split()) == 0
+    assert share(text, [*text[:50], "x", *text[51:]]) == 99 / 101
+    assert share(text, [*text, *drawn(72, 25).split()]) == 100 / 125
+    assert share(text, [*text[:50], "x", *text[50:53], "y", *text[53:]]) == 97 / 105
+    assert share(["a", "b"], ["a", "b", "c"]) == 0 and share([], ["a"]) == 0
