@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from caseframe.functions.similarity import _best_window
 from caseframe.functions.text import squeeze, text
-from caseframe.operators import likeness
+from caseframe.operators import likeness, steps
 from caseframe.operators.ranges import points_in_boxes
 from caseframe.operators.words import LINE
 
@@ -39,7 +39,7 @@ def anchors_of(form: Mapping) -> list[tuple[int, str, int, str]]:
 
 def _lines(words: DataFrame, keys: list[str]) -> DataFrame:
     """Lines with their words in order (ws) and the lowest edge of them."""
-    good = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
+    good = steps.dealt(words.where((F.trim("text") != "") & (F.col("conf") >= 0)), keys)
     w = F.struct("word", "text", "x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), "h")
     return good.groupBy(*keys, "pass", *LINE).agg(F.array_sort(F.collect_list(w)).alias("ws"), F.max(F.col("y") + F.col("h")).alias("line_y1"))
 
@@ -94,7 +94,7 @@ def printed_lines(words: DataFrame, keys: list[str], form: Mapping) -> DataFrame
     """keys, bx0, by0, bx1, by1 of lines that are the form's own print: much like one of its labels or fixed texts and not much longer.
 
     Lines that hold a label as it stands are not compared by windows, and texts that a batch holds again not at all."""
-    good = words.where((F.trim("text") != "") & (F.col("conf") >= 0))
+    good = steps.dealt(words.where((F.trim("text") != "") & (F.col("conf") >= 0)), keys)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda w: w["text"]), " ")
     lines = good.groupBy(*keys, "pass", *LINE).agg(
         F.min("x").alias("bx0"), F.min("y").alias("by0"), F.max(F.col("x") + F.col("w")).alias("bx1"), F.max(F.col("y") + F.col("h")).alias("by1"), F.avg("conf").alias("conf"), F.lower(joined).alias("text")
@@ -124,13 +124,13 @@ def regions(anchors: DataFrame, pages: DataFrame, printed: DataFrame, keys: list
     doesn't reach into a printed line there: it begins below that line's middle."""
     spec = [(name, float(s["region"]["dy0"]), float(s["region"]["dy1"]), float(s["region"]["x0"]), float(s["region"]["x1"]), bool(s.get("clip", True))) for name, f in form["fields"].items() if (s := f.get("scan"))]
     table = F.broadcast(anchors.sparkSession.createDataFrame(spec, "field string, dy0 double, dy1 double, sx0 double, sx1 double, clip boolean"))  # a row a field
-    a = anchors.select(*keys, "field", F.col("y0").alias("top"), F.greatest("h", F.lit(LEAST_HEIGHT)).alias("unit")).join(table, "field").join(pages, keys)
+    a = anchors.select(*keys, "field", F.col("y0").alias("top"), F.greatest("h", F.lit(LEAST_HEIGHT)).alias("unit")).join(table, "field").join(pages.hint("merge"), keys)
     whole = lambda c: F.floor(c).cast("bigint")
     a = a.withColumn("y0", whole(F.greatest(F.lit(0.0), F.col("top") + F.col("dy0") * F.col("unit")))).withColumn("y1", whole(F.least(F.col("height"), F.col("top") + F.col("dy1") * F.col("unit"))))
     a = a.withColumn("x0", whole(F.col("sx0") * F.col("width"))).withColumn("x1", whole(F.least(F.col("width"), F.col("sx1") * F.col("width"))))
     across = lambda p: F.least(p["bx1"], F.col("x1")) - F.greatest(p["bx0"], F.col("x0")) > 0.3 * (p["bx1"] - p["bx0"])
     # a page's printed lines are few
-    a = a.join(printed.groupBy(*keys).agg(F.collect_list(F.struct("bx0", "by0", "bx1", "by1")).alias("printed")), keys, "left")
+    a = a.join(printed.groupBy(*keys).agg(F.collect_list(F.struct("bx0", "by0", "bx1", "by1")).alias("printed")).hint("merge"), keys, "left")
     above = F.filter("printed", lambda p: (p["by0"] < F.col("top") - 0.8 * F.col("unit")) & (p["by1"] > F.col("y0")) & across(p))
     cut = F.when((F.col("dy0") < 0) & F.col("clip"), F.array_max(F.transform(above, lambda p: F.floor((p["by0"] + p["by1"]) / 2))) + 1)
     return a.withColumn("y0", F.greatest("y0", F.coalesce(cut, F.lit(0)))).select(*keys, "field", "x0", "y0", "x1", "y1")
@@ -226,13 +226,14 @@ def scan_fields(words: DataFrame, pages: DataFrame, keys: list[str], form: Mappi
     """Every field of a scanned form whose label is found: its region, what stands there and what it comes to.
 
     pages: keys, width, height. ink: keys, field, blue, dark, dark_clean and, with a model, model_value. page_values: keys, field,
-    page_value, page_conf."""
+    page_value, page_conf. Tables with rows for each page are merged, however small their files look: none is broadcast. Regions are
+    found once, though words are sought in them and they are kept where none lie."""
     anchors = find_anchors(words, keys, form)
-    boxes = regions(anchors, pages, printed_lines(words, keys, form), keys, form)
+    boxes = steps.written(regions(anchors, pages, printed_lines(words, keys, form), keys, form), "regions")
     said = own_letters(words_in_regions(words, boxes, keys), keys, form)
-    found = boxes.where("y1 - y0 >= 10 AND x1 - x0 >= 10").join(said, [*keys, "field"], "left").join(ink, [*keys, "field"], "left")
+    found = boxes.where("y1 - y0 >= 10 AND x1 - x0 >= 10").join(said.hint("merge"), [*keys, "field"], "left").join(ink.hint("merge"), [*keys, "field"], "left")
     if page_values is None:
         found = found.withColumns({"page_value": F.lit(None).cast("string"), "page_conf": F.lit(None).cast("double")})
     else:
-        found = found.join(page_values, [*keys, "field"], "left")
+        found = found.join(page_values.hint("merge"), [*keys, "field"], "left")
     return field_values(found.fillna(0.0, ["blue", "dark", "dark_clean"]), by_hand, model)

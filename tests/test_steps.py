@@ -27,6 +27,11 @@ def test_pages_of_passports_are_not_broadcast(spark):
     assert "Broadcast" not in query_plan(spark, "passport_main_text")
 
 
+def test_pages_of_scans_are_not_broadcast(spark):
+    """Their files are small, their rows are not: a word each, a field each."""
+    assert "Broadcast" not in query_plan(spark, "fields_of_scans")
+
+
 def test_quotes_are_aligned_once(spark):
     assert "ArrowEvalPython" not in query_plan(spark, "answers_placed")  # they are a step before
     assert query_plan(spark, "model_answers").count("ArrowEvalPython") == 1
