@@ -47,3 +47,17 @@ def test_fields_are_read_once(spark, name):
 @needs_data
 def test_rows_of_small_files_are_spread(spark):
     assert QUERIES["checks_of_issuers"](spark, SF).rdd.getNumPartitions() >= 16
+
+
+def test_number_words_and_a_sections_lines_are_read_once(spark):
+    from caseframe.functions import dates
+    from caseframe.plans import forms
+
+    one = spark.createDataFrame([], "x string")
+    assert plan_of(one.select(dates.parse_date_words("x"))).count("одиннадцат") <= 4
+    assert plan_of(one.select(forms.new_owner_section(F.col("x")))).count("ООО") <= 4
+
+
+@needs_data
+def test_cases_are_not_joined_with_themselves(spark):
+    assert plan_of(QUERIES["export_of_cases"](spark, SF)).count("Join") == 1  # the kinds of cases
